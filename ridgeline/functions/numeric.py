@@ -20,6 +20,11 @@ def float_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, (DoubleType, FloatType))]
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def existing(df: DataFrame, wanted: list[str] | tuple[str, ...]) -> list[str]:
     """Those of ``wanted`` that the frame has, in the wanted order."""
     have = set(df.columns)
@@ -36,6 +41,12 @@ def require(df: DataFrame, *cols: str) -> None:
         raise ValueError(f"required column(s) missing: {', '.join(missing)}")
 
 
+def finite_sql(name: str) -> str:
+    """SQL text of a double column with NaN and infinities read as NULL."""
+    c = quoted(name)
+    return f"CASE WHEN isnan({c}) OR abs({c}) = double('Infinity') THEN NULL ELSE {c} END"
+
+
 def finite(c: Column) -> Column:
     """NULL for NaN and for both infinities."""
     return F.when(F.isnan(c) | (F.abs(c) == F.lit(INF)), None).otherwise(c)

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ridgeline.functions.numeric import clip, existing, finite, float_columns, numeric_columns, pct_change, require
+from ridgeline.functions.numeric import (
+    clip, existing, finite, finite_sql, float_columns, not_nan, numeric_columns, pct_change, quoted, require,
+)
+from ridgeline.functions.sizing import durable
 from ridgeline.operators.quantiles import exact_quantiles, quantile_struct
 from ridgeline.operators.segments import drop_neighbours, number_rows, over_rows, with_neighbours
-from ridgeline.panel import NATIONAL, Panel, trailing
+from ridgeline.panel import NATIONAL, Panel, so_far, trailing
 
 # Column names of the three daily sources.
 CASE_MEASURES = ("confirmed", "deaths", "new_cases", "new_deaths")
@@ -42,9 +45,12 @@ def fill(df: DataFrame, panel: Panel = NATIONAL, cols: list[str] | None = None,
         cols = [c for c in cols if c != "pos"]
     if not cols:
         return df
-    sides = {"ffill": ["_prev_"], "bfill": ["_next_"], "ffill_bfill": ["_prev_", "_next_"]}[how]
-    near = with_neighbours(df, panel, cols)
-    filled = {c: F.coalesce(*[F.col(f"{s}{c}")["v"] for s in sides]) for c in cols}
+    sides = {"ffill": ("prev",), "bfill": ("next",), "ffill_bfill": ("prev", "next")}[how]
+    if not panel.long:
+        order = {"prev": so_far(panel.window()), "next": so_far(panel.latest_first())}
+        return df.withColumns({c: F.coalesce(*[F.last(c, True).over(order[s]) for s in sides]) for c in cols})
+    near = with_neighbours(df, panel, cols, sides)
+    filled = {c: F.coalesce(*[F.col(f"_{s}_{c}")["v"] for s in sides]) for c in cols}
     return drop_neighbours(near.withColumns(filled), cols, keep_pos)
 
 
@@ -56,11 +62,11 @@ def mean_fill(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def constant_fill(df: DataFrame, cols: list[str], value: float = 0.0) -> DataFrame:
-    return df.withColumns({c: F.coalesce(finite_or_same(df, c), F.lit(value)) for c in existing(df, cols)})
-
-
-def finite_or_same(df: DataFrame, c: str):
-    return finite(F.col(c)) if c in float_columns(df) else F.col(c)
+    """Replace NULL, NaN and infinities by one value."""
+    floats = set(float_columns(df))
+    return df.withColumns(
+        {c: F.coalesce(finite(F.col(c)) if c in floats else F.col(c), F.lit(value)) for c in existing(df, cols)}
+    )
 
 
 def fill_missing(df: DataFrame, method: str = "interpolate", panel: Panel = NATIONAL) -> DataFrame:
@@ -146,11 +152,16 @@ def impute_median(df: DataFrame, panel: Panel = NATIONAL, cols: list[str] | None
     cols = [c for c in numeric_columns(df) if c not in panel.keys] if cols is None else existing(df, cols)
     if not cols:
         return df
-    tidy = df.withColumns({c: finite_or_same(df, c) for c in cols})
+    floats = set(float_columns(df))
+    tidy = df.selectExpr(*[f"{finite_sql(c)} AS {quoted(c)}" if c in floats and c in cols else quoted(c) for c in df.columns])
+    bounded = not panel.series and not panel.long
+    if not bounded:
+        tidy = durable(tidy)  # read three more times for the medians: store it once
     base = tidy if fit_on is None else tidy.filter(fit_on)
-    medians = quantile_struct(base, cols, [0.5], bounded=not panel.series and not panel.long)
-    framed = tidy.withColumn("_med", medians)
-    return framed.withColumns({c: F.coalesce(F.col(c), F.col("_med")[c][0]) for c in cols}).drop("_med")
+    framed = tidy.withColumn("_med", quantile_struct(base, cols, [0.5], bounded=bounded))
+    return framed.selectExpr(
+        *[f"coalesce({quoted(c)}, _med.{quoted(c)}[0]) AS {quoted(c)}" if c in cols else quoted(c) for c in tidy.columns]
+    )
 
 
 def _as_dates(df: DataFrame, col: str) -> DataFrame:
@@ -221,16 +232,12 @@ def confirmed_growth(df: DataFrame, panel: Panel, col: str = "confirmed", name:
     carried = fill(df.withColumn(known, F.col(col).cast("double")), panel, [known], how="ffill")
 
     def build(w):
-        rate = F.coalesce(finite_nan(pct_change(F.col(known), F.lag(known, 1).over(w))), F.lit(0.0)) * 100
+        rate = F.coalesce(not_nan(pct_change(F.col(known), F.lag(known, 1).over(w))), F.lit(0.0)) * 100
         return {name: clip(rate, -100.0, 500.0)}
 
     return over_rows(carried, panel, build, back=1).drop(known)
 
 
-def finite_nan(c):
-    return F.when(F.isnan(c), None).otherwise(c)
-
-
 def clean_all(datasets: dict[str, DataFrame], panels: dict[str, Panel]) -> dict[str, DataFrame]:
     """Clean whichever of cases / mobility / weather are present; everything stays lazy."""
     out = dict(datasets)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -137,11 +138,13 @@ def normality(df: DataFrame, by: Iterable[str] = ("model",)) -> DataFrame:
     return stats.withColumn("jarque_bera", jb).withColumn("p_value", F.exp(-F.col("jarque_bera") / 2))
 
 
-@F.pandas_udf("double")
-def _two_sided_p(z: pd.Series) -> pd.Series:
-    import math
+def _two_sided_p(z: Column) -> Column:
+    """2 * (1 - Phi(|z|)); Spark has no error function, and there is one z per group."""
 
-    return z.map(lambda v: None if v is None or math.isnan(v) else math.erfc(abs(v) / math.sqrt(2)))
+    def tail(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2)))
+
+    return F.pandas_udf(tail, "double")(z)
 
 
 def diebold_mariano(
@@ -161,4 +164,4 @@ def diebold_mariano(
     )
     out = pairs.groupBy(*by).agg(F.count("d").alias("n"), F.avg("d").alias("mean_d"), F.stddev_samp("d").alias("std_d"))
     out = out.withColumn("dm_stat", F.try_divide(F.col("mean_d"), F.col("std_d") / F.sqrt("n")))
-    return out.withColumn("p_value", _two_sided_p("dm_stat")) if p_value else out
+    return out.withColumn("p_value", _two_sided_p(F.col("dm_stat"))) if p_value else out

@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.functions.numeric import INF, pearson
+from ridgeline.functions.numeric import INF, pearson, quoted
 from ridgeline.operators.quantiles import exact_quantiles
 from ridgeline.operators.segments import number_rows, over_rows
-from ridgeline.panel import NATIONAL, Panel
+from ridgeline.panel import NATIONAL, Panel, trailing
 
 
 def _long(row: DataFrame, cols: list[str], label: str, fields: list[str]) -> DataFrame:
@@ -121,29 +121,41 @@ def topk_abs(corrs: DataFrame, k: int = 4) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pairwise-complete correlations as (row, column, r), from one aggregation."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    row = df.agg(*[pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in pairs])
-    cells = [
-        F.struct(F.lit(x).alias("row"), F.lit(y).alias("column"), F.col(f"{a}__{b}").alias("r"))
-        for a, b in pairs
-        for x, y in {(a, b), (b, a)}
-    ]
-    return row.select(F.inline(F.array(*cells)))
+    """Pairwise-complete correlations as (row, column, r).
+
+    Each row of data is unrolled into its column pairs and combined map-side, which keeps the
+    aggregate narrow: a few buffers per pair instead of hundreds side by side.
+    """
+    pairs = ", ".join(
+        f"struct('{a}' AS row, '{b}' AS column, double({quoted(a)}) AS x, double({quoted(b)}) AS y)"
+        for i, a in enumerate(cols)
+        for b in cols[i:]
+    )
+    half = df.selectExpr(f"inline(array({pairs}))").groupBy("row", "column").agg(pearson(F.col("x"), F.col("y")).alias("r"))
+    both = F.array(
+        F.struct(F.col("row"), F.col("column"), F.col("r")),
+        F.struct(F.col("column").alias("row"), F.col("row").alias("column"), F.col("r")),
+    )
+    mirrored = F.when(F.col("row") == F.col("column"), F.slice(both, 1, 1)).otherwise(both)
+    return half.select(F.inline(mirrored))
 
 
 def lag_corr(df: DataFrame, cols: list[str], target: str, panel: Panel = NATIONAL, max_lag: int = 20) -> DataFrame:
     """(column, lag, r): correlation of the target with each column shifted by 0..max_lag rows."""
-    shifts = [(c, k) for c in cols for k in range(max_lag + 1)]
+    block = F.struct(*[F.col(c).cast("double").alias(c) for c in cols])
 
     def build(w) -> dict[str, Column]:
-        return {f"_{c}_{k}": F.lag(c, k).over(w) if k else F.col(c) for c, k in shifts}
+        return {"_earlier": F.collect_list(block).over(trailing(w, max_lag + 1))}
 
+    # One frame of the last max_lag + 1 rows per row; element size - k is k rows earlier.
     shifted = over_rows(df.select(*panel.keys, target, *cols), panel, build, back=max_lag)
-    y = F.col(target).cast("double")
-    row = shifted.agg(*[pearson(F.col(f"_{c}_{k}").cast("double"), y).alias(f"_{c}_{k}") for c, k in shifts])
-    cells = [F.struct(F.lit(c).alias("column"), F.lit(k).alias("lag"), F.col(f"_{c}_{k}").alias("r")) for c, k in shifts]
-    return row.select(F.inline(F.array(*cells)))
+    cells = ", ".join(
+        f"struct('{c}' AS column, {k} AS lag, get(_earlier, size(_earlier) - {k + 1}).{quoted(c)} AS x)"
+        for c in cols
+        for k in range(max_lag + 1)
+    )
+    long = shifted.selectExpr(f"double({quoted(target)}) AS y", f"inline(array({cells}))")
+    return long.groupBy("column", "lag").agg(pearson(F.col("x"), F.col("y")).alias("r"))
 
 
 def best_lag(lagged: DataFrame) -> DataFrame:

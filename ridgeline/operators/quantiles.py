@@ -5,13 +5,17 @@ for groups bounded by the calendar and wrong for a whole table.  For those, a me
 sketch brackets each wanted rank, one more aggregation counts what lies below the bracket,
 and only the values inside it are ranked.  Ranks outside their bracket raise an error, so
 a result is exact or absent.
+
+The expressions are SQL text because there is one group of them per column and quantile.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.functions.numeric import quoted
+
 SKETCH_ACCURACY = 10_000
 
 
@@ -26,11 +30,14 @@ def exact_quantiles(
     """One row per group with, for each column, the array of its quantiles.
 
     ``bounded=True`` states that a group is small by construction (a daily series).
+    The unbounded plan reads ``df`` three times; pass a stored frame if it is costly.
     """
     by = list(by)
     if bounded:
-        fractions = F.array(*[F.lit(float(p)) for p in probs])
-        return df.groupBy(*by).agg(*[F.percentile(F.col(c).cast("double"), fractions).alias(c) for c in cols])
+        fractions = f"array({', '.join(f'{float(p)}D' for p in probs)})"
+        return df.groupBy(*by).agg(
+            *[F.expr(f"percentile(cast({quoted(c)} AS double), {fractions}) AS {quoted(c)}") for c in cols]
+        )
     return _bracketed(df, cols, probs, by, accuracy)
 
 
@@ -39,72 +46,56 @@ def quantile_struct(df: DataFrame, cols: list[str], probs: list[float], bounded:
     return exact_quantiles(df, cols, probs, bounded=bounded).select(F.struct(*cols)).scalar()
 
 
+def _match(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Null-safe join on ``keys`` with the key columns appearing once."""
+    renamed = right.selectExpr(*[f"{quoted(c)} AS `_k_{c}`" if c in keys else quoted(c) for c in right.columns])
+    on = " AND ".join(f"{quoted(k)} <=> `_k_{k}`" for k in keys)
+    return left.join(renamed, F.expr(on), how).drop(*[f"_k_{k}" for k in keys])
+
+
 def _bracketed(df: DataFrame, cols: list[str], probs: list[float], by: list[str], accuracy: int) -> DataFrame:
     slack = 10.0 / accuracy
     edges = [e for p in probs for e in (max(p - slack, 0.0), min(p + slack, 1.0))]
-    values = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
-    sketch = values.groupBy(*by).agg(
-        F.struct(*[F.percentile_approx(c, edges, accuracy).alias(c) for c in cols]).alias("_edges")
+    keys = [quoted(b) for b in by]
+    values = df.selectExpr(*keys, *[f"cast({quoted(c)} AS double) AS {quoted(c)}" for c in cols])
+    wanted = f"array({', '.join(f'{e!r}D' for e in edges)})"
+    sketches = ", ".join(f"percentile_approx({quoted(c)}, {wanted}, {accuracy}) AS {quoted(c)}" for c in cols)
+    sketch = values.groupBy(*by).agg(F.expr(f"struct({sketches}) AS _edges"))
+    framed = _match(values, sketch, by, "left") if by else values.withColumn("_edges", sketch.scalar())
+
+    # A slot is one (column, quantile) pair.
+    slots = [(s, c, i) for s, (c, i) in enumerate((c, i) for c in cols for i in range(len(probs)))]
+    low = {s: f"_edges.{quoted(c)}[{2 * i}]" for s, c, i in slots}
+    high = {s: f"_edges.{quoted(c)}[{2 * i + 1}]" for s, c, i in slots}
+    counted = ", ".join(
+        f"struct({s} AS slot, count({quoted(c)}) AS n, count_if({quoted(c)} < {low[s]}) AS below)" for s, c, i in slots
     )
-    if by:
-        sk = sketch.select(*[F.col(b).alias(f"_r_{b}") for b in by], "_edges")
-        cond = F.lit(True)
-        for b in by:
-            cond = cond & values[b].eqNullSafe(sk[f"_r_{b}"])
-        framed = values.join(sk, cond, "left").drop(*[f"_r_{b}" for b in by])
-    else:
-        framed = values.withColumn("_edges", sketch.select("_edges").scalar())
-
-    def edge(c: str, i: int) -> Column:
-        return F.col("_edges")[c][i]
-
-    slots = [(c, i) for c in cols for i in range(len(probs))]
-    counts = framed.groupBy(*by).agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(s).alias("slot"),
-                    F.count(c).alias("n"),
-                    F.count_if(F.col(c) < edge(c, 2 * i)).alias("below"),
-                )
-                for s, (c, i) in enumerate(slots)
-            ]
-        ).alias("_counts")
+    counts = framed.groupBy(*by).agg(F.expr(f"array({counted}) AS _counts")).selectExpr(*keys, "inline(_counts)")
+    inside = ", ".join(
+        f"CASE WHEN {quoted(c)} BETWEEN {low[s]} AND {high[s]} THEN struct({s} AS slot, {quoted(c)} AS v) END" for s, c, i in slots
     )
-    counts = counts.select(*by, F.inline("_counts"))
-    inside = [
-        F.when(
-            F.col(c).between(edge(c, 2 * i), edge(c, 2 * i + 1)),
-            F.struct(F.lit(s).alias("slot"), F.col(c).alias("v")),
-        )
-        for s, (c, i) in enumerate(slots)
-    ]
-    band = framed.select(*by, F.inline(F.array_compact(F.array(*inside))))
+    band = framed.selectExpr(*keys, f"inline(array_compact(array({inside})))")
     band = band.groupBy(*by, "slot", "v").agg(F.count(F.lit(1)).alias("k"))
-    upto = Window.partitionBy(*by, "slot").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    band = band.withColumn("upto", F.sum("k").over(upto))
-
-    prob_of = F.element_at(F.array(*[F.lit(float(probs[i])) for _, i in slots]), F.col("slot") + 1)
-    keys = [*by, "slot"]
-    bd = band.select(*[F.col(k).alias(f"_b_{k}") for k in keys], "v", "upto")
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & counts[k].eqNullSafe(bd[f"_b_{k}"])
-    ranked = counts.withColumn("target", prob_of * (F.col("n") - 1)).join(bd, cond, "left")
-    reach = F.col("below") + F.col("upto")
-    picked = ranked.groupBy(*keys, "n", "below", "target").agg(
-        F.min(F.when(reach > F.floor("target"), F.col("v"))).alias("lo"),
-        F.min(F.when(reach > F.ceil("target"), F.col("v"))).alias("hi"),
+    part = ", ".join([*keys, "slot"])
+    band = band.selectExpr(
+        *keys, "slot", "v", f"sum(k) OVER (PARTITION BY {part} ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto"
+    )
+    fractions = f"array({', '.join(f'{float(probs[i])}D' for _, _, i in slots)})"
+    targets = counts.selectExpr("*", f"{fractions}[slot] * (n - 1) AS target")
+    picked = _match(targets, band, [*by, "slot"], "left").groupBy(*by, "slot", "n", "below", "target").agg(
+        F.expr("min(CASE WHEN below + upto > floor(target) THEN v END) AS lo"),
+        F.expr("min(CASE WHEN below + upto > ceil(target) THEN v END) AS hi"),
+    )
+    solved = picked.selectExpr(
+        *keys,
+        "slot",
+        "CASE WHEN n = 0 THEN NULL WHEN below > floor(target) OR lo IS NULL OR hi IS NULL "
+        "THEN cast(raise_error('quantile rank outside its sketch bracket') AS double) "
+        "ELSE lo + (hi - lo) * (target - floor(target)) END AS q",
     )
-    missed = (F.col("below") > F.floor("target")) | F.col("lo").isNull() | F.col("hi").isNull()
-    value = F.when(F.col("n") == 0, None).when(
-        missed, F.raise_error(F.lit("quantile rank outside its sketch bracket")).cast("double")
-    ).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("target") - F.floor("target")))
-    solved = picked.select(*keys, value.alias("q"))
 
     def of(c: str) -> Column:
-        return F.array(
-            *[F.max(F.when(F.col("slot") == s, F.col("q"))) for s, (cc, _) in enumerate(slots) if cc == c]
-        ).alias(c)
+        mine = ", ".join(f"max(CASE WHEN slot = {s} THEN q END)" for s, cc, _ in slots if cc == c)
+        return F.expr(f"array({mine}) AS {quoted(c)}")
 
     return solved.groupBy(*by).agg(*[of(c) for c in cols])

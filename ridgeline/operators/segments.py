@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ridgeline.functions.sizing import durable
-from ridgeline.panel import Panel, from_here, so_far
+from ridgeline.panel import Panel, so_far
 
 POS = "pos"
 SEGMENT = "_segment"
@@ -124,36 +124,48 @@ def running_sum(df: DataFrame, panel: Panel, sums: dict[str, str]) -> DataFrame:
     return out if given_pos else out.drop(POS)
 
 
-def with_neighbours(df: DataFrame, panel: Panel, cols: list[str]) -> DataFrame:
+BOTH = ("prev", "next")
+
+
+def with_neighbours(df: DataFrame, panel: Panel, cols: list[str], sides: tuple[str, ...] = BOTH) -> DataFrame:
     """Add ``_prev_c`` / ``_next_c``: the nearest known value at or before / at or after
-    each row as ``struct(pos, v)``, and the row's own ``pos``."""
+    each row as ``struct(pos, v)``, and the row's own ``pos``.
+
+    Looking forward is a running frame over the reversed order: a frame that ends at
+    unbounded following would be re-read for every row.
+    """
     placed = df if POS in df.columns else number_rows(df, panel)
     known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(POS).alias("pos"), F.col(c).alias("v"))) for c in cols}
     if not panel.long:
-        w = panel.window()
-        near = {f"_prev_{c}": F.last(k, True).over(so_far(w)) for c, k in known.items()}
-        near |= {f"_next_{c}": F.first(k, True).over(from_here(w)) for c, k in known.items()}
-        return placed.withColumns(near)
+        order = {"prev": panel.window(), "next": panel.latest_first()}
+        return placed.withColumns(
+            {f"_{s}_{c}": F.last(k, True).over(so_far(order[s])) for s in sides for c, k in known.items()}
+        )
     placed = placed.withColumn(SEGMENT, _segment_of(panel))
     group = [*panel.series, SEGMENT]
     ends = placed.groupBy(*group).agg(
-        *[F.max(k).alias(f"_hi_{c}") for c, k in known.items()],
-        *[F.min(k).alias(f"_lo_{c}") for c, k in known.items()],
+        *[F.max(k).alias(f"_prev_{c}") for c, k in known.items()],
+        *[F.min(k).alias(f"_next_{c}") for c, k in known.items()],
     )
-    order = Window.partitionBy(*panel.series).orderBy(SEGMENT)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(1, Window.unboundedFollowing)
+    across = Window.partitionBy(*panel.series)
+    outer = {"prev": across.orderBy(SEGMENT), "next": across.orderBy(F.col(SEGMENT).desc())}
     carried = ends.select(
         *group,
-        *[F.last(f"_hi_{c}", True).over(before).alias(f"_cp_{c}") for c in cols],
-        *[F.first(f"_lo_{c}", True).over(after).alias(f"_cn_{c}") for c in cols],
+        *[
+            F.last(f"_{s}_{c}", True).over(outer[s].rowsBetween(Window.unboundedPreceding, -1)).alias(f"_carry_{s}_{c}")
+            for s in sides
+            for c in cols
+        ],
     )
     joined = _join(placed, carried, group)
-    w = Window.partitionBy(*group).orderBy(POS)
-    near = {f"_prev_{c}": F.coalesce(F.last(k, True).over(so_far(w)), F.col(f"_cp_{c}")) for c, k in known.items()}
-    near |= {f"_next_{c}": F.coalesce(F.first(k, True).over(from_here(w)), F.col(f"_cn_{c}")) for c, k in known.items()}
-    helpers = [f"_cp_{c}" for c in cols] + [f"_cn_{c}" for c in cols]
-    return joined.withColumns(near).drop(SEGMENT, *helpers)
+    inside = Window.partitionBy(*group)
+    inner = {"prev": inside.orderBy(POS), "next": inside.orderBy(F.col(POS).desc())}
+    near = {
+        f"_{s}_{c}": F.coalesce(F.last(k, True).over(so_far(inner[s])), F.col(f"_carry_{s}_{c}"))
+        for s in sides
+        for c, k in known.items()
+    }
+    return joined.withColumns(near).drop(SEGMENT, *[f"_carry_{s}_{c}" for s in sides for c in cols])
 
 
 def drop_neighbours(df: DataFrame, cols: list[str], keep_pos: bool = False) -> DataFrame:

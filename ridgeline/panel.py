@@ -75,10 +75,6 @@ def so_far(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, 0)
 
 
-def from_here(w: WindowSpec) -> WindowSpec:
-    return w.rowsBetween(0, Window.unboundedFollowing)
-
-
 def same_keys(left: str, right: str, keys: tuple[str, ...]) -> Column:
     """Null-safe equality of ``keys`` between two aliased frames."""
     cond = F.lit(True)

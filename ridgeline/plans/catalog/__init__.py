@@ -6,9 +6,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ridgeline.functions.numeric import float_columns
+from ridgeline.functions.numeric import float_columns, quoted
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,7 +34,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded so that the order of additions does not show."""
     cols = set(float_columns(df))
-    return df.select(*[F.round(F.col(c), digits).alias(c) if c in cols else F.col(c) for c in df.columns])
+    return df.selectExpr(*[f"round({quoted(c)}, {digits}) AS {quoted(c)}" if c in cols else quoted(c) for c in df.columns])
 
 
 def load() -> dict[str, Entry]:

@@ -168,9 +168,9 @@ def clean_mobility(spark, sf):
     return rounded(clean.clean_mobility(views.mobility(spark, sf), BY_STATE))
 
 
-@query("clean_weather", sql(f"SELECT state, date, {rs(WX)} FROM i", "raw_weather", extra={"i": interp_sql("raw_weather", ["state", "date"], WX, "state")}))
+@query("clean_weather", sql(f"SELECT state, date, {rs(WX, 9)} FROM i", "raw_weather", extra={"i": interp_sql("raw_weather", ["state", "date"], WX, "state")}))
 def clean_weather(spark, sf):
-    return rounded(clean.clean_weather(raw_weather(spark, sf), BY_STATE))
+    return rounded(clean.clean_weather(raw_weather(spark, sf), BY_STATE), 9)
 
 
 _growth = f"coalesce({pct_sql('confirmed', 'before')}, 0) * 100"

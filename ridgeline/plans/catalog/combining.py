@@ -88,11 +88,11 @@ def restored_weights(spark, sf):
 # Sums behind the two small solves, for the SQL twins of the optimal and stacked weights.
 _pairs = [("naive", "naive"), ("naive", "seasonal"), ("naive", "ma7"), ("seasonal", "seasonal"), ("seasonal", "ma7"), ("ma7", "ma7")]
 _short = {"naive": "a", "seasonal": "b", "ma7": "c"}
-_sums = ", ".join(f"sum({x} * {y}) AS {_short[x]}{_short[y]}" for x, y in _pairs) + ", " + ", ".join(f"sum({m} * y_true) AS {_short[m]}y" for m in MODELS)
+_sums = ", ".join(f"sum({x} * {y}) AS {_short[x]}{_short[y]}" for x, y in _pairs) + ", " + ", ".join(f"sum({m} * y_true) AS y{_short[m]}" for m in MODELS)
 _cov = {
     "q": f"SELECT count(*) AS n, sum(y_true) AS sy, sum(naive) AS sa, sum(seasonal) AS sb, sum(ma7) AS sc, {_sums} FROM base",
     "z": "SELECT n, sy, sa, sb, sc, aa - sa * sa / n + 1 AS m11, ab - sa * sb / n AS m12, ac - sa * sc / n AS m13, bb - sb * sb / n + 1 AS m22, bc - sb * sc / n AS m23, cc - sc * sc / n + 1 AS m33, "
-    "ay - sa * sy / n AS v1, by - sb * sy / n AS v2, cy - sc * sy / n AS v3 FROM q",
+    "ya - sa * sy / n AS v1, yb - sb * sy / n AS v2, yc - sc * sy / n AS v3 FROM q",
     "dt": "SELECT *, m11 * (m22 * m33 - m23 * m23) - m12 * (m12 * m33 - m23 * m13) + m13 * (m12 * m23 - m22 * m13) AS det FROM z",
     "cf": "SELECT *, (v1 * (m22 * m33 - m23 * m23) - m12 * (v2 * m33 - m23 * v3) + m13 * (v2 * m23 - m22 * v3)) / det AS wa, "
     "(m11 * (v2 * m33 - m23 * v3) - v1 * (m12 * m33 - m23 * m13) + m13 * (m12 * v3 - v2 * m13)) / det AS wb, "

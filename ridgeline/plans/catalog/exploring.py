@@ -40,7 +40,7 @@ _describe = rows_sql(
     [
         {
             "column": f"'{c}'", "count": f"count({c})", "mean": f"round(avg({c}), 6) + 0.0", "std": f"round(stddev_samp({c}), 6) + 0.0",
-            "min": f"min({c})", "q25": f"round(quantile_cont({c}, 0.25), 6) + 0.0", "q50": f"round(quantile_cont({c}, 0.5), 6) + 0.0",
+            "min": f"min({c}) + 0.0", "q25": f"round(quantile_cont({c}, 0.25), 6) + 0.0", "q50": f"round(quantile_cont({c}, 0.5), 6) + 0.0",
             "q75": f"round(quantile_cont({c}, 0.75), 6) + 0.0", "max": f"max({c})",
         }
         for c in LINE_MEASURES

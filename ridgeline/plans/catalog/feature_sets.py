@@ -189,9 +189,9 @@ def _bins(pick: int) -> str:
 WEATHER = f"{_bins(0)} AS temp_category, ({_bins(1)})::INTEGER AS temp_category_encoded, coalesce((humidity_mean > 70)::INTEGER, 0) AS humidity_high, coalesce((precipitation > 0)::INTEGER, 0) AS has_precipitation"
 
 
-@query("temp_category", sql(f"SELECT state, date, {', '.join(WX)}, {WEATHER} FROM weather", "weather"))
+@query("temp_category", sql(f"SELECT state, date, {rs(WX, 9)}, {WEATHER} FROM weather", "weather"))
 def temp_category(spark, sf):
-    return features.weather_features(views.weather(spark, sf))
+    return rounded(features.weather_features(views.weather(spark, sf)), 9)
 
 
 _inter = {
@@ -271,9 +271,9 @@ def prepare_xy(spark, sf):
     return ready.select("date", "label", F.size(values).alias("n_features"), F.round(total, 3).alias("feature_sum"))
 
 
-@query("feature_minmax", sql("SELECT feature, min, max, CASE WHEN max = min THEN 1.0::DOUBLE ELSE max - min END AS range FROM (SELECT unnest([" + ", ".join(f"{{'feature': '{c}', 'min': min({c})::DOUBLE, 'max': max({c})::DOUBLE}}" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")) + "], recursive := true) FROM lineitem)"))
+@query("feature_minmax", sql("SELECT feature, min, max, CASE WHEN max = min THEN 1.0::DOUBLE ELSE max - min END AS range FROM (SELECT unnest([" + ", ".join(f"{{'feature': '{c}', 'min': min({c}) + 0.0::DOUBLE, 'max': max({c})::DOUBLE}}" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")) + "], recursive := true) FROM lineitem)"))
 def feature_minmax(spark, sf):
-    return features.feature_minmax(views.table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return rounded(features.feature_minmax(views.table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
 
 
 @query("min_max_scale", f"SELECT l_orderkey, l_linenumber, {r('(l_quantity - (SELECT min(l_quantity) FROM lineitem)) / (SELECT max(l_quantity) - min(l_quantity) FROM lineitem)', 'l_quantity')}, {r('(l_tax - (SELECT min(l_tax) FROM lineitem)) / (SELECT max(l_tax) - min(l_tax) FROM lineitem)', 'l_tax')} FROM lineitem")

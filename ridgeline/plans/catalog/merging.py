@@ -57,10 +57,10 @@ _left = {"m": "SELECT * FROM cases LEFT JOIN mob_nat USING (date) LEFT JOIN wx_n
 
 @query(
     "merge_national",
-    sql(f"SELECT date, {', '.join(NUM)}, {rs(MOB + WX)} FROM f", "cases", "mob_nat", "wx_nat", extra=_left | {"f": fill_sql("m", ["date"], NUM + MOB + WX)}),
+    sql(f"SELECT date, {', '.join(NUM)}, {rs(MOB + WX, 9)} FROM f", "cases", "mob_nat", "wx_nat", extra=_left | {"f": fill_sql("m", ["date"], NUM + MOB + WX)}),
 )
 def merge_national(spark, sf):
-    return rounded(merge.merge_national(views.cases(spark, sf), views.mobility(spark, sf), views.weather(spark, sf)))
+    return rounded(merge.merge_national(views.cases(spark, sf), views.mobility(spark, sf), views.weather(spark, sf)), 9)
 
 
 @query(
@@ -90,18 +90,18 @@ def allocate_by_population(spark, sf):
     return merge.allocate_by_population(views.cases(spark, sf), views.demographics(spark, sf))
 
 
-@query("merge_panel", sql(f"SELECT state, date, {', '.join(NUM)}, {rs(MOB + WX)} FROM f", "panel", extra={"f": fill_sql("panel", ["state", "date"], NUM + MOB + WX, "state")}))
+@query("merge_panel", sql(f"SELECT state, date, {', '.join(NUM)}, {rs(MOB + WX, 9)} FROM f", "panel", extra={"f": fill_sql("panel", ["state", "date"], NUM + MOB + WX, "state")}))
 def merge_panel(spark, sf):
-    return rounded(merge.merge_panel(views.cases_by_state(spark, sf), views.mobility(spark, sf), views.weather(spark, sf)))
+    return rounded(merge.merge_panel(views.cases_by_state(spark, sf), views.mobility(spark, sf), views.weather(spark, sf)), 9)
 
 
 @query(
     "merge_fill_panel",
-    sql(f"SELECT state, date, {rs(MOB + WX)} FROM f", "mobility", "weather",
+    sql(f"SELECT state, date, {rs(MOB + WX, 9)} FROM f", "mobility", "weather",
         extra={"m": "SELECT * FROM mobility JOIN weather USING (state, date)", "f": fill_sql("m", ["state", "date"], MOB + WX, "state")}),
 )
 def merge_fill_panel(spark, sf):
-    return rounded(merge.fill_numeric(views.mobility(spark, sf).join(views.weather(spark, sf), ["state", "date"]), BY_STATE))
+    return rounded(merge.fill_numeric(views.mobility(spark, sf).join(views.weather(spark, sf), ["state", "date"]), BY_STATE), 9)
 
 
 _master_cols = ["new_cases", "new_deaths", "confirmed", "deaths", "population_millions", "estimated_population"]
@@ -109,7 +109,7 @@ _master_cols = ["new_cases", "new_deaths", "confirmed", "deaths", "population_mi
 
 @query(
     "master_dataset",
-    sql(f"SELECT state, date, {', '.join(_master_cols)}, {rs(MOB + WX)} FROM f", "cases", "share", "mobility", "weather",
+    sql(f"SELECT state, date, {', '.join(_master_cols)}, {rs(MOB + WX, 9)} FROM f", "cases", "share", "mobility", "weather",
         extra={"a": _alloc, "m": "SELECT * FROM a LEFT JOIN mobility USING (state, date) LEFT JOIN weather USING (state, date)",
                "f": fill_sql("m", ["state", "date"], _master_cols + MOB + WX, "state")}),
 )
@@ -120,7 +120,7 @@ def master_dataset(spark, sf):
         "weather": views.weather(spark, sf),
         "demographics": views.demographics(spark, sf),
     }
-    return rounded(merge.master_dataset(datasets, "state"))
+    return rounded(merge.master_dataset(datasets, "state"), 9)
 
 
 

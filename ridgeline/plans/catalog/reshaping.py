@@ -10,8 +10,10 @@ from ridgeline.plans.catalog import query, rounded
 from ridgeline.plans.oracle import MOB, WX, r, rs, sql
 from ridgeline.sources import readers
 
-# The day columns of the wide stand-in: the first of every month of the covered years.
-YEARS = range(1995, 2002)
+# The day columns of the wide stand-in: the first of every month.  Two-digit years are read
+# as 20xx, so the stand-in is dated 25 years after the orders.
+SHIFT_YEARS = 25
+YEARS = range(1995 + SHIFT_YEARS, 2002 + SHIFT_YEARS)
 MONTHS = [f"{m}/1/{y % 100:02d}" for y in YEARS for m in range(1, 13)]
 DEATH_MONTHS = MONTHS[:-12]
 COUNTRY = "NATION_7"
@@ -25,7 +27,7 @@ def wide_orders(spark, sf, months, only_status=None):
     labelled = orders.select(
         F.col("o_custkey").alias("c_custkey"),
         F.col("o_orderpriority").alias(readers.PROVINCE_COLUMN),
-        F.date_format(F.trunc("o_orderdate", "month"), readers.WIDE_DATE).alias("month"),
+        F.date_format(F.add_months(F.trunc("o_orderdate", "month"), 12 * SHIFT_YEARS), readers.WIDE_DATE).alias("month"),
     ).groupBy("c_custkey", readers.PROVINCE_COLUMN, "month").agg(F.count(F.lit(1)).alias("n"))
     customer = views.table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     named = labelled.join(customer, "c_custkey").join(views.nations(spark, sf, "c_nationkey"), "c_nationkey")
@@ -35,8 +37,8 @@ def wide_orders(spark, sf, months, only_status=None):
 
 _month_grid = (
     "SELECT c.country, m.date, {cols} FROM (SELECT n_name AS country FROM nation) c CROSS JOIN "
-    "(SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH))::DATE AS date) m LEFT JOIN "
-    "(SELECT n_name AS country, date_trunc('month', o_orderdate)::DATE AS date, count(*) AS c, count(*) FILTER (WHERE o_orderstatus = 'F') AS d "
+    "(SELECT unnest(generate_series(DATE '2020-01-01', DATE '2026-12-01', INTERVAL 1 MONTH))::DATE AS date) m LEFT JOIN "
+    "(SELECT n_name AS country, (date_trunc('month', o_orderdate) + INTERVAL 25 YEAR)::DATE AS date, count(*) AS c, count(*) FILTER (WHERE o_orderstatus = 'F') AS d "
     "FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) x USING (country, date)"
 )
 
@@ -51,7 +53,7 @@ def scan_wide_long(spark, sf):
     sql(
         "SELECT country, date, confirmed, deaths, greatest(coalesce(confirmed - lag(confirmed) OVER (ORDER BY date), 0), 0)::DOUBLE AS new_cases, "
         "greatest(coalesce(deaths - lag(deaths) OVER (ORDER BY date), 0), 0)::DOUBLE AS new_deaths FROM g WHERE country = 'NATION_7'",
-        extra={"g": _month_grid.format(cols="coalesce(c, 0)::DOUBLE AS confirmed, CASE WHEN date >= DATE '2001-01-01' THEN 0 ELSE coalesce(d, 0) END::DOUBLE AS deaths")},
+        extra={"g": _month_grid.format(cols="coalesce(c, 0)::DOUBLE AS confirmed, CASE WHEN date >= DATE '2026-01-01' THEN 0 ELSE coalesce(d, 0) END::DOUBLE AS deaths")},
     ),
 )
 def wide_to_long(spark, sf):
@@ -90,7 +92,7 @@ def rename_map(spark, sf):
     return merge.rename_map(raw_report(spark, sf), readers.MOBILITY_NAMES)
 
 
-@query("json_arrays_to_rows", sql(f"SELECT state, date, {rs(WX)} FROM weather", "weather"))
+@query("json_arrays_to_rows", sql(f"SELECT state, date, {rs(WX, 9)} FROM weather", "weather"))
 def json_arrays_to_rows(spark, sf):
     rows = views.weather(spark, sf)
     # One document per state and year: at most 366 elements per array.
@@ -105,7 +107,7 @@ def json_arrays_to_rows(spark, sf):
             F.col("d.humidity_mean").alias("relative_humidity_2m_mean"),
         ).alias("daily")
     )
-    return rounded(readers.weather_from_json(by_year.select("state", F.to_json(doc).alias("doc")), "doc"))
+    return rounded(readers.weather_from_json(by_year.select("state", F.to_json(doc).alias("doc")), "doc"), 9)
 
 
 @query(

@@ -60,7 +60,7 @@ def calendar_folds(spark, sf):
 
 @query(
     "rolling_origin_cutoffs",
-    sql("SELECT state, (mx - 30 - 30 * k)::DATE AS cutoff FROM (SELECT state, mn, mx, unnest(range(0, greatest(floor((mx - mn - 210) / 30)::BIGINT + 1, 0))) AS k FROM (SELECT state, min(date) AS mn, max(date) AS mx FROM state_daily GROUP BY 1))", "state_daily"),
+    sql("SELECT state, (mx - 30 - 30 * k::INTEGER)::DATE AS cutoff FROM (SELECT state, mn, mx, unnest(range(0, greatest(floor((mx - mn - 210) / 30)::BIGINT + 1, 0))) AS k FROM (SELECT state, min(date) AS mn, max(date) AS mx FROM state_daily GROUP BY 1))", "state_daily"),
 )
 def rolling_origin_cutoffs(spark, sf):
     return splits.rolling_origin_cutoffs(state_cases(spark, sf), BY_STATE, 180, 30, 30)

@@ -52,7 +52,7 @@ def interp_sql(src: str, keep: list[str], cols: list[str], part: str = "", order
             f"first_value({c} IGNORE NULLS) {over(part, FROM, 'pos')} AS nv_{c}",
             f"first_value({at} IGNORE NULLS) {over(part, FROM, 'pos')} AS np_{c}",
         ]
-        line = f"pv_{c} + (nv_{c} - pv_{c}) * (pos - pp_{c})::DOUBLE / nullif(np_{c} - pp_{c}, 0)"
+        line = f"pv_{c} + (nv_{c} - pv_{c}) * ((pos - pp_{c})::DOUBLE / nullif(np_{c} - pp_{c}, 0))"
         out.append(f"coalesce({c}, {line}, pv_{c}, nv_{c})::DOUBLE AS {c}")
     return (
         f"SELECT {', '.join(keep + out)} FROM (SELECT *, {', '.join(near)} FROM "
@@ -89,8 +89,8 @@ _raw_mob = ", ".join(
     f"CASE WHEN l_returnflag = '{f}' AND l_linestatus = '{s}' THEN l_quantity END AS {n}" for n, (f, s) in zip(MOB, _FLAGS)
 )
 _wx = (
-    "round(avg(l_quantity), 6) AS temperature_mean, round(sum(l_discount) / count(*), 6) AS precipitation, "
-    "round(sum(l_tax) / count(*) * 1000, 4) AS humidity_mean"
+    "avg(l_quantity) AS temperature_mean, sum(round(l_discount * 100)::BIGINT)::DOUBLE / (count(*) * 100) AS precipitation, "
+    "(sum(round(l_tax * 100)::BIGINT) * 10)::DOUBLE / count(*) AS humidity_mean"
 )
 _totals = "CAST(sum(new_cases) OVER ({p}ORDER BY date) AS BIGINT) AS confirmed, CAST(sum(new_deaths) OVER ({p}ORDER BY date) AS BIGINT) AS deaths"
 _line = "l_suppkey, CAST(l_shipdate AS DATE) AS date, l_orderkey, l_linenumber, l_partkey"

@@ -98,17 +98,23 @@ def mobility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(state, date) with temperature, precipitation and humidity stand-ins."""
+    """(state, date) with temperature, precipitation and humidity stand-ins.
+
+    Rates are summed in whole hundredths, so thresholds never depend on the order of additions.
+    """
     partial = {
-        "_t": F.col("l_quantity"), "_p": F.col("l_discount"), "_h": F.col("l_tax"), "_n": F.lit(1).cast("long"),
+        "_t": F.col("l_quantity"),
+        "_p": F.round(F.col("l_discount") * 100).cast("long"),
+        "_h": F.round(F.col("l_tax") * 100).cast("long"),
+        "_n": F.lit(1).cast("long"),
     }
     sums = _shipments(spark, sf_dir, ["l_quantity", "l_discount", "l_tax"], partial)
     return sums.select(
         "state",
         "date",
-        F.round(F.col("_t") / F.col("_n"), 6).alias("temperature_mean"),
-        F.round(F.col("_p") / F.col("_n"), 6).alias("precipitation"),
-        F.round(F.col("_h") / F.col("_n") * 1000, 4).alias("humidity_mean"),
+        (F.col("_t") / F.col("_n")).alias("temperature_mean"),
+        (F.col("_p") / (F.col("_n") * 100)).alias("precipitation"),
+        (F.col("_h") * 10 / F.col("_n")).alias("humidity_mean"),
     )
 
 
