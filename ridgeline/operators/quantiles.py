@@ -67,12 +67,16 @@ def _bracketed(df: DataFrame, cols: list[str], probs: list[float], by: list[str]
     slots = [(s, c, i) for s, (c, i) in enumerate((c, i) for c in cols for i in range(len(probs)))]
     low = {s: f"_edges.{quoted(c)}[{2 * i}]" for s, c, i in slots}
     high = {s: f"_edges.{quoted(c)}[{2 * i + 1}]" for s, c, i in slots}
+    # A bracket with equal ends is one repeated value: counting it is enough, and none of its
+    # (possibly very many) copies has to be ranked.
     counted = ", ".join(
-        f"struct({s} AS slot, count({quoted(c)}) AS n, count_if({quoted(c)} < {low[s]}) AS below)" for s, c, i in slots
+        f"struct({s} AS slot, count({quoted(c)}) AS n, count_if({quoted(c)} < {low[s]}) AS below, "
+        f"count_if({quoted(c)} <= {low[s]}) AS through, first({low[s]}) AS edge)"
+        for s, c, i in slots
     )
     counts = framed.groupBy(*by).agg(F.expr(f"array({counted}) AS _counts")).selectExpr(*keys, "inline(_counts)")
     inside = ", ".join(
-        f"CASE WHEN {quoted(c)} BETWEEN {low[s]} AND {high[s]} THEN struct({s} AS slot, {quoted(c)} AS v) END" for s, c, i in slots
+        f"CASE WHEN {low[s]} < {high[s]} AND {quoted(c)} BETWEEN {low[s]} AND {high[s]} THEN struct({s} AS slot, {quoted(c)} AS v) END" for s, c, i in slots
     )
     band = framed.selectExpr(*keys, f"inline(array_compact(array({inside})))")
     band = band.groupBy(*by, "slot", "v").agg(F.count(F.lit(1)).alias("k"))
@@ -82,14 +86,16 @@ def _bracketed(df: DataFrame, cols: list[str], probs: list[float], by: list[str]
     )
     fractions = f"array({', '.join(f'{float(probs[i])}D' for _, _, i in slots)})"
     targets = counts.selectExpr("*", f"{fractions}[slot] * (n - 1) AS target")
-    picked = _match(targets, band, [*by, "slot"], "left").groupBy(*by, "slot", "n", "below", "target").agg(
+    picked = _match(targets, band, [*by, "slot"], "left").groupBy(
+        *by, "slot", "n", "below", "through", "edge", "target"
+    ).agg(
         F.expr("min(CASE WHEN below + upto > floor(target) THEN v END) AS lo"),
         F.expr("min(CASE WHEN below + upto > ceil(target) THEN v END) AS hi"),
     )
     solved = picked.selectExpr(
         *keys,
         "slot",
-        "CASE WHEN n = 0 THEN NULL WHEN below > floor(target) OR lo IS NULL OR hi IS NULL "
+        "CASE WHEN n = 0 THEN NULL WHEN below <= floor(target) AND through > ceil(target) THEN edge WHEN below > floor(target) OR lo IS NULL OR hi IS NULL "
         "THEN cast(raise_error('quantile rank outside its sketch bracket') AS double) "
         "ELSE lo + (hi - lo) * (target - floor(target)) END AS q",
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from ridgeline.functions.sizing import durable
 from ridgeline.operators import additive, learners
 from ridgeline.operators.evaluate import metrics_all
 from ridgeline.operators.features import LAGS, WINDOWS, feature_columns, lag_features, rolling_features, temporal_features
@@ -29,12 +32,13 @@ def learning_frame(spark, sf):
     cases = views.daily_cases_by_state(spark, sf).drop("new_deaths")
     out = temporal_features(split_by_date(cases, BY_STATE))
     out = lag_features(out, BY_STATE, lags=LAGS)
-    return rolling_features(out, BY_STATE, windows=WINDOWS, closed="left").na.drop()
+    # Boosting and scoring read the features many times: they are stored once.
+    return durable(rolling_features(out, BY_STATE, windows=WINDOWS, closed="left").na.drop())
 
 
 def _fit_trees(spark, sf):
     df = learning_frame(spark, sf)
-    trees = learners.BoostedTrees(n_estimators=10, max_depth=4, features=tuple(feature_columns(df)))
+    trees = replace(TREES, features=tuple(feature_columns(df)))
     return df, trees, trees.fit(df.filter("role = 'train'"), df.filter("role = 'val'"))
 
 
@@ -97,7 +101,7 @@ def rolling_origin(spark, sf):
 @query("sequence_forecast")
 def sequence_forecast(spark, sf):
     df = split_by_date(views.daily_cases_by_state(spark, sf), BY_STATE)
-    lagged = lag_features(df, BY_STATE, lags=(1, 7)).na.drop()
+    lagged = durable(lag_features(df, BY_STATE, lags=(1, 7)).na.drop())
     return rounded(learners.sequence_forecast(lagged, ["new_cases_lag_1", "new_cases_lag_7"], BY_STATE))
 
 
