@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions.numeric import quoted
 
 SKETCH_ACCURACY = 10_000
+PARTS = 256
 
 
 def exact_quantiles(
@@ -59,7 +60,13 @@ def _bracketed(df: DataFrame, cols: list[str], probs: list[float], by: list[str]
     keys = [quoted(b) for b in by]
     values = df.selectExpr(*keys, *[f"cast({quoted(c)} AS double) AS {quoted(c)}" for c in cols])
     wanted = f"array({', '.join(f'{e!r}D' for e in edges)})"
-    sketches = ", ".join(f"percentile_approx({quoted(c)}, {wanted}, {accuracy}) AS {quoted(c)}" for c in cols)
+
+    def bracket(c: str) -> str:
+        # Neighbouring ranks of a small group lie further apart than the slack: take all of it.
+        whole = ", ".join(f"min({c}), max({c})" for _ in probs)
+        return f"CASE WHEN count({c}) <= {accuracy} THEN array({whole}) ELSE percentile_approx({c}, {wanted}, {accuracy}) END AS {c}"
+
+    sketches = ", ".join(bracket(quoted(c)) for c in cols)
     sketch = values.groupBy(*by).agg(F.expr(f"struct({sketches}) AS _edges"))
     framed = _match(values, sketch, by, "left") if by else values.withColumn("_edges", sketch.scalar())
 
@@ -70,38 +77,49 @@ def _bracketed(df: DataFrame, cols: list[str], probs: list[float], by: list[str]
     # A bracket with equal ends is one repeated value: counting it is enough, and none of its
     # (possibly very many) copies has to be ranked.
     counted = ", ".join(
-        f"struct({s} AS slot, count({quoted(c)}) AS n, count_if({quoted(c)} < {low[s]}) AS below, "
-        f"count_if({quoted(c)} <= {low[s]}) AS through, first({low[s]}) AS edge)"
+        f"struct({s} AS _slot, count({quoted(c)}) AS _n, count_if({quoted(c)} < {low[s]}) AS _below, "
+        f"count_if({quoted(c)} <= {low[s]}) AS _through, first({low[s]}) AS _edge)"
         for s, c, i in slots
     )
     counts = framed.groupBy(*by).agg(F.expr(f"array({counted}) AS _counts")).selectExpr(*keys, "inline(_counts)")
     inside = ", ".join(
-        f"CASE WHEN {low[s]} < {high[s]} AND {quoted(c)} BETWEEN {low[s]} AND {high[s]} THEN struct({s} AS slot, {quoted(c)} AS v) END" for s, c, i in slots
+        f"CASE WHEN {low[s]} < {high[s]} AND {quoted(c)} BETWEEN {low[s]} AND {high[s]} THEN struct({s} AS _slot, {quoted(c)} AS _v, "
+        f"least(floor(({quoted(c)} - {low[s]}) / ({high[s]} - {low[s]}) * {PARTS}), {PARTS - 1}) AS _part) END"
+        for s, c, i in slots
     )
     band = framed.selectExpr(*keys, f"inline(array_compact(array({inside})))")
-    band = band.groupBy(*by, "slot", "v").agg(F.count(F.lit(1)).alias("k"))
-    part = ", ".join([*keys, "slot"])
-    band = band.selectExpr(
-        *keys, "slot", "v", f"sum(k) OVER (PARTITION BY {part} ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto"
+    band = band.groupBy(*by, "_slot", "_part", "_v").agg(F.count(F.lit(1)).alias("_copies"))
+    # Even a bracket grows with the data, so it is ranked part by part: the small table of part
+    # sizes gives each part its starting rank.
+    group = ", ".join([*keys, "_slot"])
+    sizes = band.groupBy(*by, "_slot", "_part").agg(F.sum("_copies").alias("_size"))
+    starts = sizes.selectExpr(
+        *keys, "_slot", "_part", f"sum(_size) OVER (PARTITION BY {group} ORDER BY _part) - _size AS _start"
+    )
+    band = _match(band, starts, [*by, "_slot", "_part"], "inner").selectExpr(
+        *keys,
+        "_slot",
+        "_v",
+        f"_start + sum(_copies) OVER (PARTITION BY {group}, _part ORDER BY _v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _upto",
     )
     fractions = f"array({', '.join(f'{float(probs[i])}D' for _, _, i in slots)})"
-    targets = counts.selectExpr("*", f"{fractions}[slot] * (n - 1) AS target")
-    picked = _match(targets, band, [*by, "slot"], "left").groupBy(
-        *by, "slot", "n", "below", "through", "edge", "target"
+    targets = counts.selectExpr("*", f"{fractions}[_slot] * (_n - 1) AS _target")
+    picked = _match(targets, band, [*by, "_slot"], "left").groupBy(
+        *by, "_slot", "_n", "_below", "_through", "_edge", "_target"
     ).agg(
-        F.expr("min(CASE WHEN below + upto > floor(target) THEN v END) AS lo"),
-        F.expr("min(CASE WHEN below + upto > ceil(target) THEN v END) AS hi"),
+        F.expr("min(CASE WHEN _below + _upto > floor(_target) THEN _v END) AS _lo"),
+        F.expr("min(CASE WHEN _below + _upto > ceil(_target) THEN _v END) AS _hi"),
     )
     solved = picked.selectExpr(
         *keys,
-        "slot",
-        "CASE WHEN n = 0 THEN NULL WHEN below <= floor(target) AND through > ceil(target) THEN edge WHEN below > floor(target) OR lo IS NULL OR hi IS NULL "
+        "_slot",
+        "CASE WHEN _n = 0 THEN NULL WHEN _below <= floor(_target) AND _through > ceil(_target) THEN _edge WHEN _below > floor(_target) OR _lo IS NULL OR _hi IS NULL "
         "THEN cast(raise_error('quantile rank outside its sketch bracket') AS double) "
-        "ELSE lo + (hi - lo) * (target - floor(target)) END AS q",
+        "ELSE _lo + (_hi - _lo) * (_target - floor(_target)) END AS _q",
     )
 
     def of(c: str) -> Column:
-        mine = ", ".join(f"max(CASE WHEN slot = {s} THEN q END)" for s, cc, _ in slots if cc == c)
+        mine = ", ".join(f"max(CASE WHEN _slot = {s} THEN _q END)" for s, cc, _ in slots if cc == c)
         return F.expr(f"array({mine}) AS {quoted(c)}")
 
     return solved.groupBy(*by).agg(*[of(c) for c in cols])
