@@ -98,7 +98,7 @@ def tail_mean(df: DataFrame, cols: list[str], panel: Panel = NATIONAL, rows: int
 def share_of_rows(df: DataFrame, col: str) -> DataFrame:
     """Row count and share of each value of a column."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("rows"))
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    total = counts.agg(F.sum("rows").alias("n")).scalar()  # over the counts, not the rows again
     return counts.withColumn("share", F.col("rows") / total)
 
 

@@ -11,8 +11,8 @@ from ridgeline.functions.numeric import existing, numeric_columns, require
 from ridgeline.operators.clean import MOBILITY, WEATHER, daily_mean, fill
 from ridgeline.panel import BY_STATE, NATIONAL, Panel
 
-# Slices the population table is cut into when every state is paired with every day.
-PRODUCT_SLICES = 64
+# Slices of the population table per shuffle partition when every state meets every day.
+SLICES_PER_PARTITION = 4
 
 
 def fill_numeric(df: DataFrame, panel: Panel) -> DataFrame:
@@ -48,7 +48,7 @@ def density_proxy(demographics: DataFrame) -> DataFrame:
 
 
 def allocate_by_population(
-    cases: DataFrame, demographics: DataFrame, slices: int = PRODUCT_SLICES
+    cases: DataFrame, demographics: DataFrame, slices: int | None = None
 ) -> DataFrame:
     """Give every state its population share of each national day, rounded half to even.
 
@@ -56,6 +56,8 @@ def allocate_by_population(
     each (calendar-bounded) day is sent once to every slice, so the pairing is an ordinary
     equi-join: it is spread over the slices and needs no broadcast of the growing side.
     """
+    if slices is None:
+        slices = SLICES_PER_PARTITION * int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     require(cases, "date")
     require(demographics, "state", "population_millions")
     share = population_share(demographics).select(

@@ -121,7 +121,30 @@ def weights_optimal(spark, sf):
     return rounded(en.weights_optimal(predictions(spark, sf), ["naive", "seasonal"]))
 
 
-@query("weights_optimal_by_state")
+# Three models on the simplex: the free optimum if it is inside, else the best edge.
+_A, _B, _C = "naive", "seasonal", "ma7"
+
+
+def _edge(p: str, q: str) -> str:
+    t = f"sum((y_true - {q}) * ({p} - {q})) / nullif(sum(({p} - {q}) * ({p} - {q})), 0)"
+    return f"greatest(least(coalesce({t}, 1), 1), 0)"
+
+
+def _loss(w: str) -> str:
+    return f"sum(pow(y_true - {w}[1] * naive - {w}[2] * seasonal - {w}[3] * ma7, 2))"
+
+
+_simplex = {
+    "e": f"SELECT state, {_edge(_A, _B)} AS tab, {_edge(_A, _C)} AS tac, {_edge(_B, _C)} AS tbc, sum((naive - ma7) * (naive - ma7)) AS p, sum((naive - ma7) * (seasonal - ma7)) AS q, "
+    "sum((seasonal - ma7) * (seasonal - ma7)) AS s, sum((naive - ma7) * (y_true - ma7)) AS u, sum((seasonal - ma7) * (y_true - ma7)) AS v FROM state_base GROUP BY 1",
+    "f": "SELECT *, (u * s - q * v) / (p * s - q * q) AS wa, (p * v - q * u) / (p * s - q * q) AS wb FROM e",
+    "h": "SELECT state, [wa, wb, 1 - wa - wb] AS free, [tab, 1 - tab, 0] AS ab, [tac, 0, 1 - tac] AS ac, [0, tbc, 1 - tbc] AS bc FROM f",
+    "l": f"SELECT state, any_value(free) AS free, any_value(ab) AS ab, any_value(ac) AS ac, any_value(bc) AS bc, {_loss('ab')} AS lab, {_loss('ac')} AS lac, {_loss('bc')} AS lbc FROM state_base JOIN h USING (state) GROUP BY state, free, ab, ac, bc",
+    "b": "SELECT state, CASE WHEN free[1] >= 0 AND free[2] >= 0 AND free[3] >= 0 THEN free WHEN lab <= lac AND lab <= lbc THEN ab WHEN lac <= lbc THEN ac ELSE bc END AS w FROM l",
+}
+
+
+@query("weights_optimal_by_state", sql("SELECT state, unnest(['naive', 'seasonal', 'ma7']) AS model, unnest([round(w[1], 6) + 0.0, round(w[2], 6) + 0.0, round(w[3], 6) + 0.0]) AS weight FROM b", "state_base", extra=_simplex))
 def weights_optimal_by_state(spark, sf):
     return rounded(en.weights_optimal(state_predictions(spark, sf), MODELS, BY_STATE, by=["state"]))
 

@@ -232,11 +232,28 @@ def peak_candidates(spark, sf):
     return rounded(explore.peak_candidates(smoothed(spark, sf), "v", BY_STATE, 1.5))
 
 
-@query("peaks")
+_greedy = _steps | {
+    "c": "SELECT state, pos, value, row_number() OVER (PARTITION BY state ORDER BY value DESC, pos DESC) AS rk FROM (SELECT state, floor((pos + np - 1) / 2)::BIGINT AS pos, v AS value FROM k WHERE pv < v AND nv < v AND v >= 1.5)",
+    "g": "SELECT DISTINCT state, 0::BIGINT AS rk, []::BIGINT[] AS kept FROM c UNION ALL SELECT g.state, c.rk, CASE WHEN len(list_filter(g.kept, lambda x: abs(x - c.pos) < 60)) = 0 THEN list_append(g.kept, c.pos) ELSE g.kept END FROM g JOIN c ON c.state = g.state AND c.rk = g.rk + 1",
+}
+_peaks = sql(
+    "SELECT c.state, c.pos, round(c.value, 6) + 0.0 AS value, p.date FROM c JOIN (SELECT state, arg_max(kept, rk) AS kept FROM g GROUP BY 1) z "
+    "ON c.state = z.state AND list_contains(z.kept, c.pos) JOIN p ON p.state = c.state AND p.pos = c.pos",
+    "state_daily", extra=_greedy,
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("peaks", _peaks)
 def peaks(spark, sf):
-    return explore.peaks(smoothed(spark, sf), "v", BY_STATE, height=1.5, distance=60)
+    return rounded(explore.peaks(smoothed(spark, sf), "v", BY_STATE, height=1.5, distance=60))
 
 
 @query("recent_window", sql("SELECT state, date, new_cases, new_deaths FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY date DESC) AS k FROM state_daily) WHERE k <= 14", "state_daily"))
 def recent_window(spark, sf):
     return explore.recent_rows(views.daily_cases_by_state(spark, sf), BY_STATE, 14)
+
+
+@query("head", sql("SELECT state, date, new_cases FROM state_daily ORDER BY date, state LIMIT 15", "state_daily"))
+def head(spark, sf):
+    """First rows of the panel in date order: a top-k, not a full sort."""
+    return views.daily_cases_by_state(spark, sf).select("state", "date", "new_cases").orderBy("date", "state").limit(15)

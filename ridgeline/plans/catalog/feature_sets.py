@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ridgeline.functions.numeric import pct_change as pct_change_of
 from ridgeline.operators import clean, features
 from ridgeline.operators.merge import merge_outer
-from ridgeline.operators.segments import number_rows, running_sum
+from ridgeline.operators.segments import number_rows, over_rows, running_sum
 from ridgeline.panel import BY_STATE, NATIONAL
 from ridgeline.plans import views
 from ridgeline.plans.catalog import query, rounded
@@ -309,3 +310,34 @@ def position(spark, sf):
 @query("position_rows", sql(f"SELECT {', '.join(LINE_KEYS)}, row_number() {over('l_suppkey', '', LINE_ORDER)} - 1 AS pos FROM lines", "lines"))
 def position_rows(spark, sf):
     return number_rows(lines(spark, sf).select(*LINE_KEYS), LINES)
+
+
+_pct = pct_sql("new_deaths", "before")
+
+
+@query("pct_change", sql(f"SELECT state, date, CASE WHEN isinf(p) THEN sign(p) * 999.0 ELSE round(p, 6) + 0.0 END::DOUBLE AS pct FROM (SELECT state, date, {_pct} AS p FROM (SELECT *, lag(new_deaths) OVER ({S}) AS before FROM state_daily))", "state_daily"))
+def pct_change(spark, sf):
+    """Ratio to the previous row; the infinity over a zero base is shown as 999."""
+    cases = views.daily_cases_by_state(spark, sf)
+    out = over_rows(
+        cases, BY_STATE, lambda w: {"pct": pct_change_of(F.col("new_deaths").cast("double"), F.lag("new_deaths", 1).over(w))}, back=1
+    )
+    shown = F.when(F.abs("pct") == F.lit(float("inf")), F.signum("pct") * 999.0).otherwise(F.round("pct", 6))
+    return out.select("state", "date", shown.alias("pct"))
+
+
+@query("mobility_features", sql(f"SELECT state, date, {rs(MOB)}, {r(INDEX, 'mobility_index')}, {rs(MOB_LAGS)} FROM (SELECT *, {MOB_LAG_SQL} FROM mobility)", "mobility"))
+def mobility_features(spark, sf):
+    return rounded(features.mobility_features(views.mobility(spark, sf), BY_STATE))
+
+
+@query("weather_features", sql(f"SELECT state, date, {rs(WX, 9)}, {WEATHER} FROM weather", "weather"))
+def weather_features(spark, sf):
+    return rounded(features.weather_features(views.weather(spark, sf)), 9)
+
+
+@query("feature_columns", sql(f"SELECT state, date, {rs([c for c in _panel_cols if c not in ('new_cases', 'confirmed', 'deaths')])} FROM f3", "panel", extra=_panel_extra))
+def feature_columns(spark, sf):
+    """The feature table cut down to its keys and the columns a model may see."""
+    built = features.build_all_features(joined_panel(spark, sf), BY_STATE)
+    return as_doubles(built.select("state", "date", *features.feature_columns(built)))

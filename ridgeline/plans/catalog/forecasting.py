@@ -13,6 +13,7 @@ from ridgeline.operators.splits import split_by_date
 from ridgeline.panel import BY_STATE, NATIONAL
 from ridgeline.plans import views
 from ridgeline.plans.catalog import query, rounded
+from ridgeline.plans.oracle import sql
 
 SMALL = additive.AdditiveSpec(changepoints=10, yearly=4, weekly=2, regressors=("workplaces", "retail_recreation"))
 PANEL_SPEC = additive.AdditiveSpec(changepoints=5, yearly=2, weekly=2)
@@ -77,6 +78,11 @@ def forecast_horizon(spark, sf):
     return rounded(additive.forecast_horizon(df, model, calendar(spark), 30, spec=SMALL))
 
 
+@query("future_dates", sql("SELECT state, (mx + k)::DATE AS date FROM (SELECT state, max(date) AS mx FROM state_daily GROUP BY 1), (SELECT unnest(range(1, 31))::INTEGER AS k)", "state_daily"))
+def future_dates(spark, sf):
+    return additive.future_dates(views.daily_cases_by_state(spark, sf), BY_STATE, 30)
+
+
 @query("score_at_dates")
 def score_at_dates(spark, sf):
     df = split_by_date(national(spark, sf), NATIONAL, 0.15, 0.1)

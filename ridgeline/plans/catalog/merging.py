@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.operators import clean, merge
 from ridgeline.operators.clean import MOBILITY
-from ridgeline.panel import BY_STATE
+from ridgeline.panel import BY_STATE, NATIONAL
 from ridgeline.plans import views
 from ridgeline.plans.catalog import query, rounded
 from ridgeline.plans.oracle import MOB, WX, fill_sql, r, rs, sql
@@ -137,3 +137,20 @@ def _holiday(month: int, day: int, name: str) -> str:
 def holiday_features(spark, sf):
     calendar = merge.holiday_calendar(spark, 1994, 2024)
     return merge.holiday_features(views.daily_cases(spark, sf).drop("new_deaths"), calendar, merge.HOLIDAY_NAMES)
+
+
+@query(
+    "merge_fill_national",
+    sql(f"SELECT date, {rs(MOB + WX, 9)} FROM f", "mob_nat", "wx_nat",
+        extra={"m": "SELECT * FROM wx_nat LEFT JOIN mob_nat USING (date)", "f": fill_sql("m", ["date"], MOB + WX)}),
+)
+def merge_fill_national(spark, sf):
+    sources = merge.merge_on_date(
+        clean.daily_mean(views.weather(spark, sf), clean.WEATHER), clean.daily_mean(views.mobility(spark, sf)), "left"
+    )
+    return rounded(merge.fill_numeric(sources, NATIONAL), 9)
+
+
+@query("distinct_series", "SELECT DISTINCT n_name AS state FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def distinct_series(spark, sf):
+    return views.daily_cases_by_state(spark, sf).select("state").distinct()

@@ -150,3 +150,21 @@ _mom = {
 @query("normality", sql(f"SELECT model, n, {rs(['skewness', 'excess_kurtosis', 'jarque_bera'])}, {r('exp(-jarque_bera / 2)', 'p_value')} FROM j", "preds", extra=_mom))
 def normality(spark, sf):
     return rounded(ev.normality(predictions(spark, sf)))
+
+
+def _one_metric(name: str):
+    """Each metric of the registry on its own, per state and model."""
+
+    def run(spark, sf):
+        preds = state_predictions(spark, sf)
+        if name == "mda":
+            return rounded(ev.mean_directional_accuracy(preds, ["state", "model"], BY_STATE))
+        value = ev.METRICS[name](F.col("y_true"), F.col("y_pred")).alias(name)
+        return rounded(preds.groupBy("state", "model").agg(value))
+
+    return run
+
+
+_state_metrics = {"sm": metrics_sql("state_preds", ["state", "model"], ["state", "model"])}
+for _name in ("mae", "rmse", "mape", "mda", "r2"):
+    query(_name, sql(f"SELECT state, model, {_name} FROM sm", "state_preds", extra=_state_metrics))(_one_metric(_name))
