@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ridgeline.functions.sizing import scratch_path
 from ridgeline.operators import merge
+from ridgeline.operators.ensemble import weights_inverse_rmse
 from ridgeline.plans import views
 from ridgeline.plans.catalog import query, rounded
+from ridgeline.plans.catalog.exploring import predictions
 from ridgeline.plans.oracle import MOB, WX, r, rs, sql
-from ridgeline.sources import readers
+from ridgeline.sources import readers, writers
 
 # The day columns of the wide stand-in: the first of every month.  Two-digit years are read
 # as 20xx, so the stand-in is dated 25 years after the orders.
@@ -132,3 +135,35 @@ def dim_density(spark, sf):
 )
 def union_states(spark, sf):
     return merge.union_states([views.cases_by_state(spark, sf), rounded(views.mobility(spark, sf))])
+
+
+@query("scan_wide_csv", sql(_month_grid.format(cols="coalesce(c, 0)::DOUBLE AS confirmed")))
+def scan_wide_csv(spark, sf):
+    """The wide table written as CSV and scanned back under a schema built from its header."""
+    path = scratch_path(spark, "wide")
+    writers.write_csv(wide_orders(spark, sf, MONTHS), path)
+    return readers.wide_rows_to_days(readers.read_wide_csv(spark, path, id_cols=2), "confirmed")
+
+
+@query("sink_csv", sql(f"SELECT state, date, {rs(WX)} FROM weather", "weather"))
+def sink_csv(spark, sf):
+    path = scratch_path(spark, "weather")
+    writers.write_csv(views.weather(spark, sf).select("state", "date", *WX), path)
+    return rounded(readers.read_dates_csv(spark, path, "state string, date date, " + ", ".join(f"{c} double" for c in WX)))
+
+
+@query("sink_json", sql("SELECT model, round(weight, 9) + 0.0 AS weight FROM weights", "weights"))
+def sink_json(spark, sf):
+    """Weights written as JSON and restored."""
+    path = scratch_path(spark, "weights")
+    writers.write_json(weights_inverse_rmse(predictions(spark, sf)), path)
+    return rounded(writers.read_weights(spark, path, {"naive": 0.3, "seasonal": 0.4, "ma7": 0.3}), 9)
+
+
+@query("sink_panel", sql(f"SELECT state, date, {', '.join(f'{c}' for c in ('new_cases', 'new_deaths'))} FROM state_daily", "state_daily"))
+def sink_panel(spark, sf):
+    """The panel stored once in buckets of its series, then reused."""
+    path = scratch_path(spark, "panel")
+    writers.write_panel(views.daily_cases_by_state(spark, sf), path, "state", 8)
+    stored = writers.reuse_or_build(spark, path, lambda: views.daily_cases_by_state(spark, sf))
+    return stored.select("state", "date", "new_cases", "new_deaths")
