@@ -31,7 +31,8 @@ def exact_quantiles(
     """One row per group with, for each column, the array of its quantiles.
 
     ``bounded=True`` states that a group is small by construction (a daily series).
-    The unbounded plan reads ``df`` three times; pass a stored frame if it is costly.
+    The unbounded plan reads ``df`` three times; pass a stored frame if it is costly.  Without
+    ``by`` its first reading, the sketch, happens at once.
     """
     by = list(by)
     if bounded:
@@ -47,6 +48,10 @@ def quantile_struct(df: DataFrame, cols: list[str], probs: list[float], bounded:
     return exact_quantiles(df, cols, probs, bounded=bounded).select(F.struct(*cols)).scalar()
 
 
+def _literal(value: float | None) -> str:
+    return "cast(NULL AS double)" if value is None else f"double('{value!r}')"
+
+
 def _match(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Null-safe join on ``keys`` with the key columns appearing once."""
     renamed = right.selectExpr(*[f"{quoted(c)} AS `_k_{c}`" if c in keys else quoted(c) for c in right.columns])
@@ -68,12 +73,18 @@ def _bracketed(df: DataFrame, cols: list[str], probs: list[float], by: list[str]
 
     sketches = ", ".join(bracket(quoted(c)) for c in cols)
     sketch = values.groupBy(*by).agg(F.expr(f"struct({sketches}) AS _edges"))
-    framed = _match(values, sketch, by, "left") if by else values.withColumn("_edges", sketch.scalar())
-
     # A slot is one (column, quantile) pair.
     slots = [(s, c, i) for s, (c, i) in enumerate((c, i) for c in cols for i in range(len(probs)))]
-    low = {s: f"_edges.{quoted(c)}[{2 * i}]" for s, c, i in slots}
-    high = {s: f"_edges.{quoted(c)}[{2 * i + 1}]" for s, c, i in slots}
+    if by:
+        framed = _match(values, sketch, by, "left")
+        low = {s: f"_edges.{quoted(c)}[{2 * i}]" for s, c, i in slots}
+        high = {s: f"_edges.{quoted(c)}[{2 * i + 1}]" for s, c, i in slots}
+    else:
+        # Two numbers per slot, whatever the size of the frame: they become literals, which the
+        # scans below can filter on.
+        framed, found = values, sketch.first()["_edges"]
+        low = {s: _literal(found[c][2 * i]) for s, c, i in slots}
+        high = {s: _literal(found[c][2 * i + 1]) for s, c, i in slots}
     # A bracket with equal ends is one repeated value: counting it is enough, and none of its
     # (possibly very many) copies has to be ranked.
     counted = ", ".join(
@@ -87,7 +98,11 @@ def _bracketed(df: DataFrame, cols: list[str], probs: list[float], by: list[str]
         f"least(floor(({quoted(c)} - {low[s]}) / ({high[s]} - {low[s]}) * {PARTS}), {PARTS - 1}) AS _part) END"
         for s, c, i in slots
     )
-    band = framed.selectExpr(*keys, f"inline(array_compact(array({inside})))")
+    near = framed
+    if not by:
+        open_slots = [f"{quoted(c)} BETWEEN {low[s]} AND {high[s]}" for s, c, _ in slots if low[s] != high[s]]
+        near = framed.filter(" OR ".join(open_slots) if open_slots else "false")
+    band = near.selectExpr(*keys, f"inline(array_compact(array({inside})))")
     band = band.groupBy(*by, "_slot", "_part", "_v").agg(F.count(F.lit(1)).alias("_copies"))
     # Even a bracket grows with the data, so it is ranked part by part: the small table of part
     # sizes gives each part its starting rank.
