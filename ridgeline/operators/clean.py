@@ -11,7 +11,7 @@ from ridgeline.functions.numeric import (
 )
 from ridgeline.functions.sizing import durable
 from ridgeline.operators.quantiles import exact_quantiles, quantile_struct
-from ridgeline.operators.segments import drop_neighbours, number_rows, over_rows, with_neighbours
+from ridgeline.operators.segments import drop_neighbours, over_rows, with_neighbours
 from ridgeline.panel import NATIONAL, Panel, so_far, trailing
 
 # Column names of the three daily sources.

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ridgeline.operators import ensemble as en
 from ridgeline.operators import evaluate as ev
 from ridgeline.operators.baselines import baselines
