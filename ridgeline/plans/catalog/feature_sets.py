@@ -272,7 +272,7 @@ def prepare_xy(spark, sf):
     return ready.select("date", "label", F.size(values).alias("n_features"), F.round(total, 3).alias("feature_sum"))
 
 
-@query("feature_minmax", sql("SELECT feature, min, max, CASE WHEN max = min THEN 1.0::DOUBLE ELSE max - min END AS range FROM (SELECT unnest([" + ", ".join(f"{{'feature': '{c}', 'min': min({c}) + 0.0::DOUBLE, 'max': max({c})::DOUBLE}}" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")) + "], recursive := true) FROM lineitem)"))
+@query("feature_minmax", sql("SELECT feature, min, max, CASE WHEN max = min THEN 1.0::DOUBLE ELSE round(max - min, 6) END AS range FROM (SELECT unnest([" + ", ".join(f"{{'feature': '{c}', 'min': min({c}) + 0.0::DOUBLE, 'max': max({c})::DOUBLE}}" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")) + "], recursive := true) FROM lineitem)"))
 def feature_minmax(spark, sf):
     return rounded(features.feature_minmax(views.table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
 

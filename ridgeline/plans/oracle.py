@@ -156,5 +156,5 @@ def metrics_sql(src: str, by: list[str], part: list[str], y: str = "y_true") ->
     return (
         f"SELECT {keys}, {r(f'avg(abs({y} - y_pred))', 'mae')}, {r(f'sqrt(avg(({y} - y_pred) * ({y} - y_pred)))', 'rmse')}, "
         f"{r(f'avg(abs(({y} - y_pred) / nullif({y}, 0))) * 100', 'mape')}, {r('avg(hit) * 100', 'mda')}, "
-        f"{r(f'1 - {sse} / nullif({sst}, 0)', 'r2')} FROM (SELECT *, {hit} AS hit FROM {src} WINDOW w AS (PARTITION BY {p} ORDER BY date)) GROUP BY {keys}"
+        f"{r(f'CASE WHEN {sst} = 0 THEN CASE WHEN {sse} = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE 1 - {sse} / nullif({sst}, 0) END', 'r2')} FROM (SELECT *, {hit} AS hit FROM {src} WINDOW w AS (PARTITION BY {p} ORDER BY date)) GROUP BY {keys}"
     )
