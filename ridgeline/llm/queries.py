@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm import mixing, packing, secret_ledger
+from ridgeline.llm import chosen_path, fixity, line_quality, mixing, packing, secret_ledger, sharding, url_templates
 from ridgeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,29 @@ def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_ledger.digest(docs, secret_ledger.update(docs))
 
 
+def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_templates.judge(table(spark, folder, "pages"))
+
+
+def op5_line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return line_quality.score(docs, line_quality.train(docs, table(spark, folder, "labels")))
+
+
+def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard(table(spark, folder, "documents"))
+
+
+def op7_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    records = fixity.index(pages)
+    return fixity.compare(records, fixity.decayed(pages, records))
+
+
+def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return chosen_path.join(table(spark, folder, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -35,6 +58,11 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_secret_scan": op2_secret_scan,
+    "op4_url_filter": op4_url_filter,
+    "op5_line_quality": op5_line_quality,
+    "op6_sharding": op6_sharding,
+    "op7_fixity": op7_fixity,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_mixing": op9_mixing,
 }
 
