@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import Batches, blocks, components, local_roots, stored, whole_groups
+from ridgeline.llm.common import Batches, blocks, components, local_roots, overlaps, stored, whole_groups
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -218,29 +218,6 @@ def _sketch_filter(threshold: float):  # noqa: ANN202
     return run
 
 
-def shared(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
-    """Sizes of the intersections of all sets of two lists (of one list with itself), as products of
-    incidence blocks over the shingles that occur in more than one set."""
-    sets = left if right is None else [*left, *right]
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    often = counts > 1
-    column = np.cumsum(often) - 1
-    keep = often[inverse]
-    owner, column = owner[keep], column[inverse[keep]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    n, total, width = len(sets), int(often.sum()), 2048
-    k = len(left)
-    out = np.zeros((k, n if right is None else n - k), np.float32)
-    for at in range(0, total, width):
-        a, b = np.searchsorted(column, [at, at + width])
-        block = np.zeros((n, min(width, total - at)), np.float32)
-        block[owner[a:b], column[a:b] - at] = 1
-        out += block[:k] @ (block if right is None else block[k:]).T
-    return out
-
-
 LINKS = "set_id binary, links long, root binary"
 
 
@@ -265,7 +242,7 @@ def _exact(threshold: float):  # noqa: ANN202
                     both = np.zeros((2, 2), np.float32)
                     both[0, 1] = both[1, 0] = len(np.intersect1d(*mine, assume_unique=True))
                 else:
-                    both = shared(mine, other)
+                    both = overlaps(mine, other)
                 n = np.array([len(s) for s in mine])
                 m = n if inside else np.array([len(s) for s in other])
                 # whole numbers: similarity >= threshold exactly when 1000 * both >= 1000 * threshold * union
@@ -273,15 +250,18 @@ def _exact(threshold: float):  # noqa: ANN202
                 near = np.round(both * 1000) >= np.round(threshold * 1000) * np.round(union)
                 if inside:
                     near = np.triu(near, 1)
-                here = int(bucket[a])
                 x, y = np.nonzero(near)
+                if not len(x):
+                    continue
                 linked = np.zeros(b - a, np.int64)
-                first = np.array([_first_home(homes[left[i]], homes[right[j]]) == here for i, j in zip(x, y, strict=True)], bool) if len(x) else np.zeros(0, bool)
+                # A pair that shares a smaller bucket is counted there.
+                smaller = [[h[h < bucket[a]] for h in (np.array(homes[i], np.int64) for i in side)] for side in (left, right)]
+                first = overlaps(smaller[0], None if inside else smaller[1])[x, y] == 0
                 x, y = np.array(left)[x], np.array(right)[y]
                 np.add.at(linked, x[first] - a, docs[y[first]])
                 np.add.at(linked, y[first] - a, docs[x[first]])
                 root = local_roots(b - a, x - a, y - a)
-                for i in np.unique(np.concatenate([x, y])) if len(x) else ():
+                for i in np.unique(np.concatenate([x, y])):
                     out_id.append(ids[i])
                     out_links.append(int(linked[i - a]))
                     out_root.append(ids[a + root[i - a]])
@@ -291,17 +271,6 @@ def _exact(threshold: float):  # noqa: ANN202
     return run
 
 
-def _first_home(a: list[int], b: list[int]) -> int:
-    """The smallest bucket of both sets (sorted lists)."""
-    i = j = 0
-    while a[i] != b[j]:
-        if a[i] < b[j]:
-            i += 1
-        else:
-            j += 1
-    return a[i]
-
-
 def _items(batches: Batches) -> Batches:
     for batch in batches:
         packed = [shingles(t.as_py()).tobytes() for t in batch.column("text")]
@@ -326,7 +295,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
 
     sketch = some.select(F.col("set_id").alias("s"), "load", F.col("hashes").alias("h"))
     sketched = placed.join(sketch, F.col("set_id") == F.col("s")).select("set_id", "bucket", "load", "h").mapInArrow(_to_sketch, "set_id binary, bucket long, load int, sketch binary")
-    cut = blocks(sketched, "bucket", "set_id", "load", BLOCK_ROWS, 2**62)
+    cut = blocks(sketched, "bucket", "set_id", "load", BLOCK_ROWS, 2**62, placed.select("bucket", F.lit(1).alias("load")))
     likely = stored(cut.mapInArrow(_sketch_filter(threshold), "set_id binary, bucket long").distinct(), "likely")
 
     homes = likely.groupBy(F.col("set_id").alias("s")).agg(F.sort_array(F.collect_list("bucket")).alias("homes"))
@@ -336,7 +305,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     full = wanted.join(fetched.withColumnRenamed("item", "f"), F.col("item") == F.col("f")).select(
         F.col("item").alias("set_id"), F.explode("homes").alias("bucket"), "homes", "load", "docs", "items"
     )
-    exact = blocks(full, "bucket", "set_id", "load", BLOCK_ROWS, BLOCK_LOAD).mapInArrow(_exact(threshold), LINKS)
+    counted = wanted.select(F.explode("homes").alias("bucket"), "load")
+    exact = blocks(full, "bucket", "set_id", "load", BLOCK_ROWS, BLOCK_LOAD, counted).mapInArrow(_exact(threshold), LINKS)
     found = stored(exact, "links")
 
     joined = components(found.select(F.col("set_id").alias("a"), F.col("root").alias("b")))

@@ -58,16 +58,18 @@ def ranked(df: DataFrame, group: list[str], order: list[str], name: str, bucket_
     )
 
 
-def blocks(members: DataFrame, bucket: str, item: str, load: str, max_rows: int, max_load: int) -> DataFrame:
+def blocks(members: DataFrame, bucket: str, item: str, load: str, max_rows: int, max_load: int, counted: DataFrame | None = None) -> DataFrame:
     """Cut each bucket into blocks so that pairs can be compared a bounded piece at a time.
 
     A bucket within both limits is one block.  A larger one is dealt by hash into c chunks, and
     block (lo, hi) holds the chunks lo and hi: every pair of the bucket meets in exactly one block
     as (chunk lo, chunk hi), or inside a chunk when lo = hi.  Buckets of one row have no pairs and
-    are left out.  Adds chunk, lo and hi; rows are placed and sorted by (bucket, lo, hi).
+    are left out.  Adds chunk, lo and hi; rows are placed and sorted by (bucket, lo, hi).  ``counted``
+    has the same rows with bucket and load alone, where counting them must not build the wide ones.
     """
     sizes = (
-        members.groupBy(F.col(bucket).alias("_b"))
+        (members if counted is None else counted)
+        .groupBy(F.col(bucket).alias("_b"))
         .agg(F.count(F.lit(1)).alias("_n"), F.sum(load).alias("_load"))
         .filter("_n > 1")
         .select("_b", F.ceil(F.greatest(F.col("_n") / max_rows, F.col("_load") / max_load)).alias("_c"))
@@ -132,6 +134,29 @@ def binaries_of(rows: pa.Table, name: str) -> list[bytes]:
     return rows.column(name).to_pylist()
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """Sizes of the intersections of all sets of two lists (of one list with itself), as products of
+    incidence blocks over the shingles that occur in more than one set."""
+    sets = left if right is None else [*left, *right]
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = counts > 1
+    column = np.cumsum(often) - 1
+    keep = often[inverse]
+    owner, column = owner[keep], column[inverse[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    n, total, width = len(sets), int(often.sum()), 2048
+    k = len(left)
+    out = np.zeros((k, n if right is None else n - k), np.float32)
+    for at in range(0, total, width):
+        a, b = np.searchsorted(column, [at, at + width])
+        block = np.zeros((n, min(width, total - at)), np.float32)
+        block[owner[a:b], column[a:b] - at] = 1
+        out += block[:k] @ (block if right is None else block[k:]).T
+    return out
+
+
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest index joined to each of n indices by the edges a-b (a few rounds of minima)."""
     root = np.arange(n)
