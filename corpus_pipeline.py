@@ -1,4 +1,8 @@
-"""The corpus pipeline: each stage reads what the one before kept, as Parquet."""
+"""The corpus pipeline: each stage reads what the one before kept, as Parquet.
+
+A stage takes (spark, docs, sf_dir) and returns the columns of documents, but for the last, which returns
+the packed pieces.  Null texts count as empty, repeated rows as copies, and an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -7,29 +11,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ridgeline.functions.sizing import scratch_path
-from ridgeline.llm import mixing, packing, secret_ledger
+from ridgeline.llm import chosen_path, line_quality, mixing, packing, secret_ledger
 from ridgeline.llm.common import table
 from ridgeline.llm.queries import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def of_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return line_quality.keep_good(docs, line_quality.train(docs, table(spark, folder, "labels")))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each class of near duplicates stays, the one with the smallest id."""
+    return chosen_path.one_of_each(docs, chosen_path.join(docs))
+
+
 def without_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Every document stays; what the ledger's scan finds in its text is replaced by a mark."""
     return secret_ledger.redact(docs, secret_ledger.update(docs.select("text")))
 
 
+def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Every document as often as the mix takes it, the last copy of a source cut where its target is met."""
+    return mixing.taken_copies(docs, mixing.mix(docs))
+
+
 def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One row per piece of the sequences."""
     return packing.pack(docs, vocabulary())
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality", of_quality),
+    ("near_duplicates", without_near_duplicates),
     ("secrets", without_secrets),
+    ("mixing", mixed),
     ("packing", packed),
 ]
 
-#: Tokenization and the scans of whole texts have no SQL form; the tests hold the stages against brute force.
+#: The learned classifier and the tokenizer have no SQL form; the tests hold every stage against brute force.
 ORACLE_SQL = None
 
 

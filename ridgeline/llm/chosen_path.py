@@ -11,7 +11,7 @@ the number of documents in it, and only classes are joined:
    ``LEVELS`` deep.  ``branching`` coordinates are sampled on average for a pair at the threshold.
 3. In each final bucket all pairs are compared, in blocks of bounded size when a bucket stays large (a
    large group of near copies agrees everywhere and never splits).  Sketches decide which sets have
-   a possible partner; the others leave before any shingle moves.
+   a possible partner that they meet in no smaller bucket; the others leave before any shingle moves.
 4. The remaining sets meet again with their whole shingle sets, and the exact similarity decides.  A
    pair that meets in several buckets counts in the smallest of them only, so links are counted
    without listing the pairs of a group, and each block hands on no more edges than it has sets.
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import Batches, blocks, components, local_roots, overlaps, stored, whole_groups
+from ridgeline.llm.common import Batches, components, cut_buckets, in_blocks, lists_of, local_roots, overlaps, stored, whole_groups
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -189,8 +189,15 @@ def _sides(chunk: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi)
 
 
+def _first_here(homes: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, bucket: int) -> np.ndarray:
+    """Whether each pair of rows shares no bucket smaller than this one."""
+    smaller = [[h[h < bucket] for h in (homes[at[i] : at[i + 1]] for i in side)] for side in (left, right)]
+    inside = len(left) == len(right) and (left == right).all()
+    return overlaps(smaller[0], None if inside else smaller[1]) == 0
+
+
 def _sketch_filter(threshold: float):  # noqa: ANN202
-    """Sets of each block with a possible partner there: (set_id, bucket)."""
+    """Sets of each block with a possible partner that they meet in no smaller bucket: (set_id, bucket)."""
     # Eight-bit sketches agree by chance in 1 of 256.
     spread = math.sqrt(threshold * (1 - threshold) / COORDINATES)
     least = COORDINATES * (threshold - MARGIN * spread)
@@ -199,10 +206,12 @@ def _sketch_filter(threshold: float):  # noqa: ANN202
         for rows, cuts in whole_groups(batches, ["bucket", "lo", "hi"]):
             sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
             size = rows.column("load").to_numpy()
-            chunk, lo, hi = (rows.column(c).to_numpy() for c in ("chunk", "lo", "hi"))
+            bucket, chunk, lo, hi = (rows.column(c).to_numpy() for c in ("bucket", "chunk", "lo", "hi"))
+            homes, home_at = lists_of(rows, "homes")
             kept = np.zeros(rows.num_rows, bool)
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 left, right = _sides(chunk[a:b], lo[a], hi[a])
+                near = np.zeros((len(left), len(right)), bool)
                 for at in range(0, len(left), 64):
                     some = left[at : at + 64]
                     like = (sketch[a + some][:, None, :] == sketch[a + right][None]).sum(axis=2) >= least
@@ -211,8 +220,11 @@ def _sketch_filter(threshold: float):  # noqa: ANN202
                     # In small sets few tokens stand behind the sketch: their sizes alone decide here.
                     like |= (np.minimum(s, t) < FEW) & (np.minimum(s, t) >= threshold * np.maximum(s, t))
                     like &= some[:, None] != right[None]
-                    kept[a + some] |= like.any(axis=1)
-                    kept[a + right] |= like.any(axis=0)
+                    near[at : at + 64] = like
+                if near.any():
+                    near &= _first_here(homes, home_at[a : b + 1], left, right, bucket[a])
+                    kept[a + left] |= near.any(axis=1)
+                    kept[a + right] |= near.any(axis=0)
             yield from rows.filter(pa.array(kept)).select(["set_id", "bucket"]).to_batches()
 
     return run
@@ -226,7 +238,8 @@ def _exact(threshold: float):  # noqa: ANN202
 
     def run(batches: Batches) -> Batches:
         for rows, cuts in whole_groups(batches, ["bucket", "lo", "hi"]):
-            ids, packed, homes = (rows.column(c).to_pylist() for c in ("set_id", "items", "homes"))
+            ids, packed = (rows.column(c).to_pylist() for c in ("set_id", "items"))
+            homes, home_at = lists_of(rows, "homes")
             docs = rows.column("docs").to_numpy()
             bucket, chunk, lo, hi = (rows.column(c).to_numpy() for c in ("bucket", "chunk", "lo", "hi"))
             out_id, out_links, out_root = [], [], []
@@ -255,9 +268,9 @@ def _exact(threshold: float):  # noqa: ANN202
                     continue
                 linked = np.zeros(b - a, np.int64)
                 # A pair that shares a smaller bucket is counted there.
-                smaller = [[h[h < bucket[a]] for h in (np.array(homes[i], np.int64) for i in side)] for side in (left, right)]
-                first = overlaps(smaller[0], None if inside else smaller[1])[x, y] == 0
-                x, y = np.array(left)[x], np.array(right)[y]
+                left, right = np.array(left), np.array(right)
+                first = _first_here(homes, home_at, left, right, bucket[a])[x, y]
+                x, y = left[x], right[y]
                 np.add.at(linked, x[first] - a, docs[y[first]])
                 np.add.at(linked, y[first] - a, docs[x[first]])
                 root = local_roots(b - a, x - a, y - a)
@@ -293,20 +306,21 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     some = sets.filter("load > 0")
     placed = buckets(some, runs_for(recall, threshold, branching), branching, threshold)
 
-    sketch = some.select(F.col("set_id").alias("s"), "load", F.col("hashes").alias("h"))
-    sketched = placed.join(sketch, F.col("set_id") == F.col("s")).select("set_id", "bucket", "load", "h").mapInArrow(_to_sketch, "set_id binary, bucket long, load int, sketch binary")
-    cut = blocks(sketched, "bucket", "set_id", "load", BLOCK_ROWS, 2**62, placed.select("bucket", F.lit(1).alias("load")))
-    likely = stored(cut.mapInArrow(_sketch_filter(threshold), "set_id binary, bucket long").distinct(), "likely")
+    homes = placed.groupBy("set_id").agg(F.sort_array(F.collect_list("bucket")).alias("homes"))
+    sketched = homes.join(some.withColumnRenamed("set_id", "s"), F.col("set_id") == F.col("s")).select("set_id", "homes", "load", "docs", "key", "hashes")
+    sketched = sketched.mapInArrow(_to_sketch, "set_id binary, homes array<long>, load int, docs long, key long, sketch binary")
+    sketched = stored(sketched.withColumnRenamed("set_id", "s"), "sketches")
+    cut = cut_buckets(placed.withColumn("one", F.lit(1)), "bucket", "one", BLOCK_ROWS, 2**62).drop("one")
+    rough = in_blocks(cut.join(sketched.select("s", "homes", "load", "sketch"), F.col("set_id") == F.col("s")).drop("s"), "bucket", "set_id")
+    likely = stored(rough.mapInArrow(_sketch_filter(threshold), "set_id binary, bucket long").distinct(), "likely")
 
-    homes = likely.groupBy(F.col("set_id").alias("s")).agg(F.sort_array(F.collect_list("bucket")).alias("homes"))
-    wanted = homes.join(sets, F.col("s") == F.col("set_id")).select(F.col("s").alias("item"), "homes", "load", "docs", F.col("key").alias("k"))
+    wanted = sketched.join(likely.select("set_id"), F.col("s") == F.col("set_id"), "left_semi").select(F.col("s").alias("item"), "homes", "load", "docs", F.col("key").alias("k"))
     wanted = stored(wanted, "wanted")
     fetched = texts.join(wanted.select("item", "k"), F.col("key") == F.col("k")).dropDuplicates(["item"]).select("item", "text").mapInArrow(_items, "item binary, items binary")
-    full = wanted.join(fetched.withColumnRenamed("item", "f"), F.col("item") == F.col("f")).select(
-        F.col("item").alias("set_id"), F.explode("homes").alias("bucket"), "homes", "load", "docs", "items"
-    )
-    counted = wanted.select(F.explode("homes").alias("bucket"), "load")
-    exact = blocks(full, "bucket", "set_id", "load", BLOCK_ROWS, BLOCK_LOAD, counted).mapInArrow(_exact(threshold), LINKS)
+    full = wanted.join(fetched.withColumnRenamed("item", "f"), F.col("item") == F.col("f")).select("item", "homes", "load", "docs", "items")
+    loads = likely.join(wanted.select("item", F.col("load").alias("n")), F.col("set_id") == F.col("item")).select("set_id", "bucket", "n")
+    cut = cut_buckets(loads, "bucket", "n", BLOCK_ROWS, BLOCK_LOAD).drop("n")
+    exact = in_blocks(cut.join(full, F.col("set_id") == F.col("item")).drop("item"), "bucket", "set_id").mapInArrow(_exact(threshold), LINKS)
     found = stored(exact, "links")
 
     joined = components(found.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
@@ -330,14 +344,11 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
 
 
 def _to_sketch(batches: Batches) -> Batches:
-    """Eight bits of each min-hash."""
+    """Eight bits of each min-hash in place of all."""
     for batch in batches:
-        values = np.frombuffer(b"".join(batch.column("h").to_pylist()), np.uint64)
+        values = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.uint64)
         low = (values & np.uint64(255)).astype(np.uint8).reshape(-1, COORDINATES)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("set_id"), batch.column("bucket"), batch.column("load"), pa.array([r.tobytes() for r in low], pa.binary())],
-            names=["set_id", "bucket", "load", "sketch"],
-        )
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([r.tobytes() for r in low], pa.binary())], names=[*batch.schema.names[:-1], "sketch"])
 
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:

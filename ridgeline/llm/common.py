@@ -58,29 +58,31 @@ def ranked(df: DataFrame, group: list[str], order: list[str], name: str, bucket_
     )
 
 
-def blocks(members: DataFrame, bucket: str, item: str, load: str, max_rows: int, max_load: int, counted: DataFrame | None = None) -> DataFrame:
-    """Cut each bucket into blocks so that pairs can be compared a bounded piece at a time.
-
-    A bucket within both limits is one block.  A larger one is dealt by hash into c chunks, and
-    block (lo, hi) holds the chunks lo and hi: every pair of the bucket meets in exactly one block
-    as (chunk lo, chunk hi), or inside a chunk when lo = hi.  Buckets of one row have no pairs and
-    are left out.  Adds chunk, lo and hi; rows are placed and sorted by (bucket, lo, hi).  ``counted``
-    has the same rows with bucket and load alone, where counting them must not build the wide ones.
-    """
+def cut_buckets(members: DataFrame, bucket: str, load: str, max_rows: int, max_load: int) -> DataFrame:
+    """Adds ``chunks``, the pieces that each bucket of ``members`` is cut into, so that pairs can be compared a
+    bounded piece at a time: 1 for a bucket within both limits.  Buckets of one row have no pairs and are
+    left out.  Pass narrow rows (item, bucket, load); what is wide is joined afterwards."""
     sizes = (
-        (members if counted is None else counted)
-        .groupBy(F.col(bucket).alias("_b"))
+        members.groupBy(F.col(bucket).alias("_b"))
         .agg(F.count(F.lit(1)).alias("_n"), F.sum(load).alias("_load"))
         .filter("_n > 1")
-        .select("_b", F.ceil(F.greatest(F.col("_n") / max_rows, F.col("_load") / max_load)).alias("_c"))
+        .select("_b", F.ceil(F.greatest(F.col("_n") / max_rows, F.col("_load") / max_load)).alias("chunks"))
     )
+    return members.join(sizes, F.col(bucket) == F.col("_b")).drop("_b")
+
+
+def in_blocks(members: DataFrame, bucket: str, item: str) -> DataFrame:
+    """Rows dealt to blocks (bucket, lo, hi), placed and sorted by them.
+
+    Items fall by hash into the bucket's ``chunks``; block (lo, hi) holds the chunks lo and hi, so every
+    pair of a bucket meets in exactly one block: as (chunk lo, chunk hi), or inside one when lo = hi.
+    """
     return (
-        members.join(sizes, F.col(bucket) == F.col("_b"))
-        .withColumn("chunk", F.pmod(F.xxhash64(item), F.col("_c")))
-        .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
+        members.withColumn("chunk", F.pmod(F.xxhash64(item), F.col("chunks")))
+        .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .withColumn("lo", F.least("chunk", "_j"))
         .withColumn("hi", F.greatest("chunk", "_j"))
-        .drop("_b", "_c", "_j")
+        .drop("chunks", "_j")
         .repartition(bucket, "lo", "hi")
         .sortWithinPartitions(bucket, "lo", "hi")
     )

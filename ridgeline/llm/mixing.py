@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import same, stored
@@ -34,10 +34,14 @@ def sized(docs: DataFrame) -> DataFrame:
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.coalesce("text", F.lit(""))))).alias("turn"),
+        turn_of(F.col("doc_id"), F.col("text")).alias("turn"),
     )
 
 
+def turn_of(doc_id: Column, text: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """(source, source_size, target) from (source, source_size): the budget by weight, none above ``most`` times its size.
 
@@ -113,3 +117,25 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     per = per.select(F.col("doc_id").alias("d"), F.col("turn").alias("t"), F.col("source").alias("s"), F.col("after").alias("a"), "taken")
     match = same(F.col("doc_id"), F.col("d")) & (F.col("turn") == F.col("t")) & same(F.col("source"), F.col("s")) & (F.col("after") == F.col("a")) & (F.col("size") > 0)
     return line.join(per, match, "left").select("doc_id", "source", "turn", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def taken_copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The documents' rows as the mix takes them: as many whole copies as fit in ``taken``, and a last
+    copy cut after the words that remain (n_chars follows).  Rows repeated in full are taken alike."""
+    per = mixed.groupBy("turn", "source").agg(F.max("size").alias("size"), F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))
+    per = per.select(F.col("turn").alias("m_turn"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), F.col("taken").alias("m_taken")).filter("m_taken > 0")
+    # Rows repeated in full share what their copies take: one row stands for them.
+    rows = docs.select(F.struct("*").alias("row"), turn_of(F.col("doc_id"), F.col("text")).alias("turn"), "source").dropDuplicates(["turn", "source"])
+    both = rows.join(per, (F.col("turn") == F.col("m_turn")) & same(F.col("source"), F.col("m_source")))
+    copies = F.sequence(F.lit(0), F.floor((F.col("m_taken") - 1) / F.col("m_size")).cast("int"))
+    served = both.select("row", "m_size", "m_taken", F.explode(copies).alias("copy"))
+    words = F.least(F.col("m_size"), F.col("m_taken") - F.col("copy") * F.col("m_size"))
+    # The start of the text that holds so many words: its first words, each with the white space before it.
+    pieces = F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    start = F.array_join(F.slice(pieces, F.lit(1), F.col("words").cast("int")), "")
+    cut = served.withColumn("words", words).withColumn("text_out", F.when(F.col("words") == F.col("m_size"), F.col("row.text")).otherwise(start))
+    out = [
+        F.col("text_out").alias(c) if c == "text" else F.when(F.col("words") == F.col("m_size"), F.col("row.n_chars")).otherwise(F.length("text_out")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c)
+        for c in docs.columns
+    ]
+    return cut.select(*out)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ridgeline.llm import chosen_path, fixity, line_quality, mixing, packing, secret_ledger, sharding, url_templates
+from ridgeline.llm import chosen_path, fixity, line_quality, mixing, packing, posting_lists, secret_ledger, sharding, tree_forest, url_templates
 from ridgeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,11 @@ def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_ledger.digest(docs, secret_ledger.update(docs))
 
 
+def op3_posting_lists(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return posting_lists.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_templates.judge(table(spark, folder, "pages"))
 
@@ -55,15 +61,21 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_tree_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return tree_forest.near_duplicates(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_secret_scan": op2_secret_scan,
+    "op3_posting_lists": op3_posting_lists,
     "op4_url_filter": op4_url_filter,
     "op5_line_quality": op5_line_quality,
     "op6_sharding": op6_sharding,
     "op7_fixity": op7_fixity,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_mixing": op9_mixing,
+    "op10_tree_forest": op10_tree_forest,
 }
 
 MIXING_SQL = r"""
