@@ -206,6 +206,15 @@ def _prober(index: Index, held: np.ndarray, top: int):  # noqa: ANN202
     return run
 
 
+def _once(order: np.ndarray, names: np.ndarray, top: int) -> np.ndarray:
+    """The first ``top`` positions of each row with names not met before in it; short rows repeat their last."""
+    out = []
+    for row in order:
+        first = np.sort(np.unique(names[row], return_index=True)[1])[:top]
+        out.append(row[np.append(first, np.repeat(first[-1], top - len(first)))])
+    return np.array(out)
+
+
 def _search(top: int):  # noqa: ANN202
     """Per block: each query's nearest vectors of the list chunk, exactly."""
 
@@ -220,11 +229,13 @@ def _search(top: int):  # noqa: ANN202
                 dim = (offsets[b] - offsets[a]) // (b - a)
                 x = values[offsets[a] : offsets[b]].reshape(b - a, dim)
                 posted, names = x[p - a], ids[p]
+                distinct = len(np.unique(names)) == len(names)
                 for at in range(0, len(q), 32):
                     some = q[at : at + 32]
                     d = np.sqrt(((x[some - a][:, None, :] - posted[None]) ** 2).sum(axis=2))
                     d[ids[some][:, None] == names[None]] = np.inf
-                    order = np.lexsort((np.broadcast_to(names, d.shape), d), axis=1)[:, :top]
+                    order = np.lexsort((np.broadcast_to(names, d.shape), d), axis=1)
+                    order = order[:, :top] if distinct else _once(order, names, top)
                     near = np.take_along_axis(d, order, 1)
                     i, j = np.nonzero(np.isfinite(near))
                     yield pa.RecordBatch.from_arrays(

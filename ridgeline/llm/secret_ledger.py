@@ -125,7 +125,8 @@ def digest(docs: DataFrame, ledger: DataFrame) -> DataFrame:
     """Counts by kind, the hash of the base spans, and all spans, for every document."""
     kinds = [r.kind for r in BASE]
     rows = attach(docs.select("doc_id", "text"), ledger)
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(kinds)]
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(kinds)]
     base = spelled(F.filter("spans", lambda s: s["kind"] < len(kinds)), kinds)
     return rows.select(F.col("row.doc_id").alias("doc_id"), *counts, F.sha2(base, 256).alias("base_sha256"), spelled(F.col("spans"), kinds).alias("spans"))
 
