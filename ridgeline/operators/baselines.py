@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.functions.keys import attach
 from ridgeline.operators.clean import fill
 from ridgeline.operators.segments import over_rows
 from ridgeline.panel import NATIONAL, Panel, trailing
@@ -59,7 +60,7 @@ def moving_average_lagged(
     if not panel.series:
         return out.withColumn(name, F.coalesce(F.col(name), df.agg(F.avg(target).alias("m")).scalar()))
     means = df.groupBy(*panel.series).agg(F.avg(target).alias("_mean"))
-    return out.join(means, list(panel.series)).withColumn(name, F.coalesce(name, "_mean")).drop("_mean")
+    return attach(out, means, panel.series).withColumn(name, F.coalesce(name, "_mean")).drop("_mean")
 
 
 def baselines(df: DataFrame, panel: Panel = NATIONAL, target: str = "new_cases") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from ridgeline.functions.keys import attach
 from ridgeline.operators.evaluate import metrics_all
 from ridgeline.operators.explore import recent_rows
 from ridgeline.panel import NATIONAL, Panel
@@ -49,14 +50,18 @@ def weights_inverse_rmse(
 ) -> DataFrame:
     """Weights proportional to 1/RMSE over the last ``lookback`` rows of each group.
 
-    Groups with fewer rows take the ``fallback`` weights (equal ones if not given).
+    Groups in which some series has fewer rows take the ``fallback`` weights (equal ones if not given).
     """
     by = list(by)
     inner = Panel(panel.order, tuple(dict.fromkeys([*by, "model", *panel.series])), panel.ties)
     recent = recent_rows(df, inner, lookback)
     e = F.col("y_true") - F.col("y_pred")
-    errors = recent.groupBy(*by, "model").agg(
-        F.greatest(F.sqrt(F.avg(e * e)), F.lit(SMALLEST_ERROR)).alias("rmse"), F.count(F.lit(1)).alias("rows")
+    per_series = recent.groupBy(*inner.series).agg(
+        F.sum(e * e).alias("_sse"), F.count(e * e).alias("_n"), F.count(F.lit(1)).alias("_rows")
+    )
+    errors = per_series.groupBy(*by, "model").agg(
+        F.greatest(F.sqrt(F.try_divide(F.sum("_sse"), F.sum("_n"))), F.lit(SMALLEST_ERROR)).alias("rmse"),
+        F.min("_rows").alias("rows"),
     )
     group = Window.partitionBy(*by)
     inverse = 1 / F.col("rmse")
@@ -85,11 +90,15 @@ def align_predictions(df: DataFrame, models: list[str], panel: Panel = NATIONAL)
 def ensemble_predict(
     df: DataFrame, weights: DataFrame, panel: Panel = NATIONAL, by: Iterable[str] = (), name: str = "ensemble"
 ) -> DataFrame:
-    """Weighted sum per date over the dates that every weighted model predicts, in long form."""
+    """Weighted sum per date over the dates that every weighted model predicts, in long form.
+
+    Weighted models without any prediction are left aside; the others' weights stay as they are.
+    """
     by = list(by)
-    needed = weights.groupBy(*by).agg(F.count(F.lit(1)).alias("_models"))
-    sized = weights.join(needed, by) if by else weights.withColumn("_models", needed.scalar())
-    joined = df.join(sized, [*by, "model"])
+    present = attach(weights, df.select(*by, "model").distinct(), [*by, "model"], "left_semi")
+    needed = present.groupBy(*by).agg(F.count(F.lit(1)).alias("_models"))
+    sized = attach(present, needed, by) if by else present.withColumn("_models", needed.scalar())
+    joined = attach(df, sized, [*by, "model"])
     out = joined.groupBy(*panel.keys).agg(
         F.max("y_true").alias("y_true"),
         F.sum(F.col("weight") * F.col("y_pred")).alias("y_pred"),

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.functions.keys import attach
 from ridgeline.functions.numeric import INF
 from ridgeline.operators.explore import share_of_rows
 from ridgeline.operators.segments import over_rows
@@ -82,11 +83,12 @@ def metrics_by_horizon(
 
 def rank_models(metrics: DataFrame, by: str = "mae") -> DataFrame:
     """Add the rank of each model; the metrics table has one row per model."""
-    return metrics.withColumn("rank", F.row_number().over(Window.orderBy(F.col(by), "model")))
+    return metrics.withColumn("rank", F.row_number().over(Window.orderBy(F.col(by).asc_nulls_last(), "model")))
 
 
 def best_model(metrics: DataFrame, by: str = "mae") -> DataFrame:
-    return metrics.orderBy(by, "model").limit(1)
+    """The model with the smallest metric; one without a metric is never better."""
+    return metrics.orderBy(F.col(by).asc_nulls_last(), "model").limit(1)
 
 
 def model_comparison(metrics: DataFrame, baseline: str) -> DataFrame:
@@ -99,7 +101,7 @@ def model_comparison(metrics: DataFrame, baseline: str) -> DataFrame:
 def with_regime(df: DataFrame, col: str = "y_true", panel: Panel = NATIONAL) -> DataFrame:
     """Label rows Surge / Endemic / Low by one population standard deviation around the mean."""
     stats = df.groupBy(*panel.series).agg(F.struct(F.avg(col).alias("mu"), F.stddev_pop(col).alias("sd")).alias("_s"))
-    framed = df.join(stats, list(panel.series)) if panel.series else df.withColumn("_s", stats.scalar())
+    framed = attach(df, stats, panel.series) if panel.series else df.withColumn("_s", stats.scalar())
     mu, sd = F.col("_s.mu"), F.col("_s.sd")
     label = F.when(F.col(col) > mu + sd, "Surge").when(F.col(col) < mu - sd, "Low").otherwise("Endemic")
     return framed.withColumn("regime", label).drop("_s")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.functions.keys import attach
 from ridgeline.functions.numeric import INF, pearson, quoted
 from ridgeline.operators.quantiles import exact_quantiles
 from ridgeline.operators.segments import number_rows, over_rows
@@ -192,7 +193,7 @@ def histogram_density(df: DataFrame, col: str, bins: int = 30, by: list[str] | N
     range_ = known.groupBy(*by).agg(
         F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count("_v").alias("n")).alias("_b")
     )
-    framed = known.join(range_, by) if by else known.withColumn("_b", range_.scalar())
+    framed = attach(known, range_, by) if by else known.withColumn("_b", range_.scalar())
     width = (F.col("_b.hi") - F.col("_b.lo")) / bins
     place = F.least(F.floor(F.try_divide(F.col("_v") - F.col("_b.lo"), width)), F.lit(bins - 1))
     counted = framed.select(*by, "_b", F.coalesce(place, F.lit(0)).cast("int").alias("bin")).groupBy(*by, "_b", "bin")

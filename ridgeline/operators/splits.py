@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.functions.keys import attach
 from ridgeline.operators.segments import number_rows, series_length
 from ridgeline.panel import NATIONAL, Panel
 
@@ -91,7 +92,7 @@ def calendar_folds(
         F.struct(F.min(panel.order).alias("first"), F.max(panel.order).alias("last")).alias("_span")
     )
     if panel.series:
-        placed = df.join(span, list(panel.series))
+        placed = attach(df, span, panel.series)
     else:
         placed = df.withColumn("_span", span.scalar())
     day = F.col(panel.order)
@@ -107,7 +108,7 @@ def calendar_folds(
 
     folds = _explode_folds(placed, n_splits, role_of).drop("_span")
     tested = folds.filter("role = 'test'").select(*panel.series, "fold").distinct()
-    return folds.join(tested, [*panel.series, "fold"], "left_semi")
+    return attach(folds, tested, [*panel.series, "fold"], "left_semi")
 
 
 def rolling_origin_cutoffs(

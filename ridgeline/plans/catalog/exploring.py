@@ -164,12 +164,12 @@ def best_lag(spark, sf):
     return rounded(explore.best_lag(explore.lag_corr(merged(spark, sf), MOB, "new_cases")))
 
 
-_trend = rows_sql([{"column": f"'{c}'", "slope": f"regr_slope(new_cases, {c})", "intercept": f"regr_intercept(new_cases, {c})", "lo": f"min({c})", "hi": f"max({c})"} for c in MOB[:4]])
+_trend = rows_sql([{"column": f"'{c}'", "slope": f"regr_slope(new_cases, {c})", "intercept": f"regr_intercept(new_cases, {c})", "lo": f"min({c})", "hi": f"max({c})"} for c in MOB])
 
 
 @query("linear_trend", sql(f"SELECT \"column\", {rs(['slope', 'intercept'])}, point::INTEGER AS point, {r('lo + (hi - lo) * point / 99', 'x')}, {r('intercept + slope * (lo + (hi - lo) * point / 99)', 'y')} FROM (SELECT {_trend} FROM inner_merged), (SELECT unnest(range(100)) AS point)", "inner_merged"))
 def linear_trend(spark, sf):
-    return rounded(explore.linear_trend(merged(spark, sf), MOB[:4], "new_cases"))
+    return rounded(explore.linear_trend(merged(spark, sf), MOB, "new_cases"))
 
 
 @query(

@@ -47,9 +47,9 @@ def read_weights(spark: SparkSession, path: str, defaults: dict[str, float]) ->
 
 
 def reuse_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read a stage's table when it exists, otherwise build and store it first."""
-    if not path_exists(spark, path):
-        build().write.mode("ignore").parquet(path)
+    """Read a stage's table when it was written to the end, otherwise build and store it first."""
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

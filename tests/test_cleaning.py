@@ -9,19 +9,17 @@ from ridgeline.operators.quantiles import exact_quantiles
 N = None
 
 
-def test_negatives_are_clipped(daily):
-    df = daily(
-        "confirmed long, deaths long, new_cases long",
-        confirmed=list(range(10)), deaths=list(range(10)), new_cases=[-5, 10, 20, -3, 30, 40, 50, 60, 70, 80],
-    )
-    assert clean.clean_cases(df).filter("new_cases < 0").count() == 0
-
-
-def test_derived_columns_appear(daily, ordered):
-    out = clean.cases_derived(daily("confirmed long, deaths long", confirmed=list(range(10, 20)), deaths=list(range(10))))
-    assert {"new_cases", "new_cases_7day_avg", "growth_rate", "case_fatality_rate"} <= set(out.columns)
-    assert ordered(out, "new_cases")[:3] == [0.0, 1.0, 1.0]
-    assert ordered(out, "growth_rate")[1] == pytest.approx(10.0)
+def test_corrections_below_zero_count_as_zero(daily, ordered):
+    df = daily("confirmed long, deaths long, new_cases long", confirmed=[4, 4, 3, 9], deaths=[0, 1, 1, 1], new_cases=[4, 0, -1, 6])
+    assert ordered(clean.clean_cases(df), "new_cases") == [4, 0, 0, 6]
+
+
+def test_derived_columns_have_hand_computed_values(daily, ordered):
+    out = clean.cases_derived(daily("confirmed long, deaths long", confirmed=[20, 50, 50, 80], deaths=[1, 1, 5, 4]))
+    assert ordered(out, "new_cases") == [0, 30, 0, 30]
+    assert ordered(out, "new_cases_7day_avg") == pytest.approx([0, 15, 10, 15])
+    assert ordered(out, "case_fatality_rate") == pytest.approx([5, 2, 10, 5])
+    assert ordered(out, "growth_rate")[1:] == pytest.approx([150, 0, 60])
 
 
 def test_interpolation_fills_inner_and_end_gaps(daily, ordered):

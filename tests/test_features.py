@@ -11,12 +11,15 @@ from ridgeline.operators import features
 N = None
 
 
-def test_temporal_and_lag_columns(daily):
-    df = daily(new_cases=[float(i) for i in range(30)])
+def test_temporal_and_lag_values(daily, ordered):
+    df = daily(start=dt.date(2022, 4, 29), new_cases=[8.0, 6.0, N, 7.0, 5.0])  # a Friday
     out = features.temporal_features(df)
-    assert {"day_of_week", "month", "is_weekend"} <= set(out.columns)
-    lagged = features.lag_features(df, lags=[1, 7])
-    assert {"new_cases_lag_1", "new_cases_lag_7"} <= set(lagged.columns)
+    assert ordered(out, "day_of_week") == [4, 5, 6, 0, 1]
+    assert ordered(out, "month") == [4, 4, 5, 5, 5]
+    assert ordered(out, "is_weekend") == [0, 1, 1, 0, 0]
+    lagged = features.lag_features(df, lags=[2, 3])
+    assert ordered(lagged, "new_cases_lag_2") == [N, N, 8, 6, N]
+    assert ordered(lagged, "new_cases_lag_3") == [N, N, N, 8, 6]
 
 
 def test_iso_week_and_holidays(spark):
