@@ -113,4 +113,23 @@ FROM queue q LEFT JOIN words w ON q.doc_id IS NOT DISTINCT FROM w.doc_id AND q.t
   AND q.source IS NOT DISTINCT FROM w.source AND q.after = w.after AND q.size > 0
 """
 
-ORACLES: dict[str, str] = {"op9_mixing": MIXING_SQL}
+FIXITY_SQL = r"""
+WITH pieces AS (
+  SELECT page_id, coalesce(floor(page_id / 1000.0)::BIGINT, -1 - coalesce(length(url), 0) % 1000) AS archive,
+         coalesce(url, '') AS url, coalesce(html, '') AS html, chr(13) || chr(10) AS nl
+  FROM pages
+), records AS (
+  SELECT archive, page_id, html,
+         'WARC/1.1' || nl || 'WARC-Type: response' || nl || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, 'none') || '>' || nl
+         || 'WARC-Target-URI: ' || url || nl || 'Content-Length: ' || strlen(html) || nl || nl || html || nl || nl AS record
+  FROM pieces
+), places AS (
+  SELECT archive, page_id, html, strlen(record)::BIGINT AS length,
+         row_number() OVER w - 1 AS ordinal, (sum(strlen(record)) OVER w - strlen(record))::BIGINT AS "offset"
+  FROM records WINDOW w AS (PARTITION BY archive ORDER BY page_id, sha256(record) ROWS UNBOUNDED PRECEDING)
+)
+SELECT archive, ordinal, "offset", length, page_id, CASE WHEN page_id % 89 = 7 THEN 'missing' ELSE 'changed' END AS state
+FROM places WHERE page_id % 89 = 7 OR (page_id % 97 = 13 AND '#' || substring(html, 2) <> html)
+"""
+
+ORACLES: dict[str, str] = {"op7_fixity": FIXITY_SQL, "op9_mixing": MIXING_SQL}

@@ -198,7 +198,8 @@ def test_query_equals_its_twin(spark, name):
     for t in ("documents", "embeddings", "pages", "labels", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
-    cur = con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})")
+    cols = ", ".join(f'"{c}"' for c in df.columns)
+    cur = con.execute(f"SELECT {cols} FROM ({ORACLES[name]})")
     assert sorted(map(tuple, df.collect()), key=str) == sorted(cur.fetchall(), key=str)
 
 
