@@ -137,35 +137,38 @@ def price(duals: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.nd
     return float(best[room]), counts
 
 
-def patterns_for(sizes: np.ndarray, demand: np.ndarray, room: int, seeds: list[np.ndarray], gap: float = 2e-4, rounds: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+def patterns_for(sizes: np.ndarray, demand: np.ndarray, room: int, seeds: list[np.ndarray], known: int, gap: float = 2e-4, rounds: int = 1500) -> tuple[np.ndarray, np.ndarray]:
     """The cutting-stock linear program by column generation: (patterns, how often each is used).
 
-    A revised simplex over one row per size, into which the ``seeds`` are priced first.  It ends when no pattern is worth more than one
+    A revised simplex over one row per size, into which the ``seeds`` are priced first.  It ends when the
+    prices prove that no plan beats the ``known`` number of sequences, when no pattern is worth more than one
     sequence, when the number of sequences is within ``gap`` of the bound that the prices prove, when
     300 columns have gained less than a hundredth of that, or after ``rounds`` columns; every state on
-    the way is a feasible packing, only less tight.
+    the way is a feasible packing, only less tight.  The inverse is updated in place; should rounding
+    errors gather, ``plan`` still lays exactly the demand, as it only takes what is left.
     """
     m = len(sizes)
     columns = np.zeros((m, m), np.int64)
     np.fill_diagonal(columns, room // sizes)
     inverse = np.diag(1.0 / (room // sizes))
-    used = inverse @ demand
+    used = (inverse * demand).sum(axis=1)
     earlier, waiting = np.inf, list(seeds)
     for step in range(rounds):
         duals = inverse.sum(axis=0)
-        while waiting and duals @ waiting[-1] <= 1 + 1e-9:
+        while waiting and (duals * waiting[-1]).sum() <= 1 + 1e-9:
             waiting.pop()
         if waiting:
             new = waiting.pop()
         else:
             worth, new = price(duals, sizes, room)
-            if worth <= 1 + 1e-9 or used.sum() <= (duals @ demand) / worth * (1 + gap):
+            bound = float((duals * demand).sum()) / max(worth, 1.0)
+            if worth <= 1 + 1e-9 or used.sum() <= bound * (1 + gap) or np.ceil(bound - 1e-6) >= known:
                 break
             if step % 300 == 299:
                 if earlier - used.sum() < 0.01 * gap * used.sum():
                     break
                 earlier = used.sum()
-        move = inverse @ new
+        move = (inverse * new).sum(axis=1)  # small matrices: threads of a matrix product only wait here
         rising = move > 1e-9
         if not rising.any():
             break
@@ -173,13 +176,10 @@ def patterns_for(sizes: np.ndarray, demand: np.ndarray, room: int, seeds: list[n
         ratio[rising] = np.maximum(used[rising], 0) / move[rising]
         out = int(ratio.argmin())
         columns[:, out] = new
-        if step % 200 == 199:
-            inverse = np.linalg.inv(columns.astype(float))
-        else:
-            pivot = inverse[out] / move[out]
-            inverse -= np.outer(move, pivot)
-            inverse[out] = pivot
-        used = inverse @ demand
+        pivot = inverse[out] / move[out]
+        inverse -= np.outer(move, pivot)
+        inverse[out] = pivot
+        used = (inverse * demand).sum(axis=1)
     return columns.T, used
 
 
@@ -237,7 +237,7 @@ def plan(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[np.ndar
     if not len(sizes):
         return []
     seeds = filled(sizes, demand, room)
-    found, used = patterns_for(sizes, demand, room, [p for p, _ in reversed(seeds)])
+    found, used = patterns_for(sizes, demand, room, [p for p, _ in reversed(seeds)], sum(times for _, times in seeds))
     left, out = demand.copy(), []
     for k in np.argsort(-used):
         times = int(np.floor(used[k] + 1e-7))
