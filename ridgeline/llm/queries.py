@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm import chosen_path, fixity, line_quality, mixing, packing, posting_lists, secret_ledger, sharding, tree_forest, url_templates
 from ridgeline.llm.common import table
+from ridgeline.llm.twins import FOREST_SQL, JACCARD_SQL, SECRETS_SQL, URL_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -132,4 +133,11 @@ SELECT archive, ordinal, "offset", length, page_id, CASE WHEN page_id % 89 = 7 T
 FROM places WHERE page_id % 89 = 7 OR (page_id % 97 = 13 AND '#' || substring(html, 2) <> html)
 """
 
-ORACLES: dict[str, str] = {"op7_fixity": FIXITY_SQL, "op9_mixing": MIXING_SQL}
+ORACLES: dict[str, str] = {
+    "op2_secret_scan": SECRETS_SQL,
+    "op4_url_filter": URL_SQL,
+    "op7_fixity": FIXITY_SQL,
+    "op8_jaccard_join": JACCARD_SQL,
+    "op9_mixing": MIXING_SQL,
+    "op10_tree_forest": FOREST_SQL,
+}
