@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -143,17 +144,25 @@ CALENDAR_SCHEMA = "holiday string, ds date, lower_window int, upper_window int"
 
 def holiday_calendar(spark, first_year: int = 2020, last_year: int = 2024, window: int = 1) -> DataFrame:
     """Annual holidays for the years asked for, plus the listed festival days inside them."""
-    years = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("y"))
+    return calendar_of_years(spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("y")), window)
+
+
+def calendar_for(df: DataFrame, order: str = "date", window: int = 1, festivals: Iterable[str] = FESTIVAL_DATES) -> DataFrame:
+    """The holidays of the frame's own years and of a year on either side, so that windows and forecasts
+    that cross into one are covered.  ``festivals`` lists the moving days; name those of the data's years."""
+    seen = df.select(F.year(order).alias("y")).filter("y is not null").distinct()
+    return calendar_of_years(seen.select(F.explode(F.sequence(F.col("y") - 1, F.col("y") + 1)).alias("y")).distinct(), window, festivals)
+
+
+def calendar_of_years(years: DataFrame, window: int = 1, festivals: Iterable[str] = FESTIVAL_DATES) -> DataFrame:
+    """Annual holidays of each year ``y``, plus the listed festival days inside these years."""
     annual = F.array(
         *[F.struct(F.lit(n).alias("holiday"), F.make_date("y", F.lit(m), F.lit(d)).alias("ds")) for n, m, d in ANNUAL_HOLIDAYS]
     )
     fixed = years.select(F.inline(annual))
-    moving = (
-        spark.range(1)
-        .select(F.explode(F.array(*[F.lit(d) for d in FESTIVAL_DATES])).alias("d"))
-        .select(F.lit("Diwali").alias("holiday"), F.to_date("d").alias("ds"))
-        .filter(F.year("ds").between(first_year, last_year))
-    )
+    days = F.array(*[F.lit(d) for d in festivals]).cast("array<string>")
+    moving = years.select("y", F.explode(days).alias("d")).select("y", F.lit("Diwali").alias("holiday"), F.to_date("d").alias("ds"))
+    moving = moving.filter(F.year("ds") == F.col("y")).drop("y")
     return fixed.unionByName(moving).select(
         "holiday", "ds", F.lit(-window).alias("lower_window"), F.lit(window).alias("upper_window")
     )

@@ -104,21 +104,25 @@ def _bracketed(df: DataFrame, cols: list[str], probs: list[float], by: list[str]
         near = framed.filter(" OR ".join(open_slots) if open_slots else "false")
     band = near.selectExpr(*keys, f"inline(array_compact(array({inside})))")
     band = band.groupBy(*by, "_slot", "_part", "_v").agg(F.count(F.lit(1)).alias("_copies"))
-    # Even a bracket grows with the data, so it is ranked part by part: the small table of part
-    # sizes gives each part its starting rank.
+    # Even a bracket grows with the data, so it is cut into parts.  The small table of part sizes gives
+    # each part its starting rank and tells which one or two parts hold a wanted rank: only they are ranked.
     group = ", ".join([*keys, "_slot"])
     sizes = band.groupBy(*by, "_slot", "_part").agg(F.sum("_copies").alias("_size"))
     starts = sizes.selectExpr(
-        *keys, "_slot", "_part", f"sum(_size) OVER (PARTITION BY {group} ORDER BY _part) - _size AS _start"
+        *keys, "_slot", "_part", "_size", f"sum(_size) OVER (PARTITION BY {group} ORDER BY _part) - _size AS _start"
     )
-    band = _match(band, starts, [*by, "_slot", "_part"], "inner").selectExpr(
+    fractions = f"array({', '.join(f'{float(probs[i])}D' for _, _, i in slots)})"
+    targets = counts.selectExpr("*", f"{fractions}[_slot] * (_n - 1) AS _target")
+    holding = _match(starts, targets, [*by, "_slot"], "inner").filter(
+        "_below + _start <= ceil(_target) AND _below + _start + _size > floor(_target)"
+    )
+    holding = holding.selectExpr(*keys, "_slot", "_part", "_start")
+    band = _match(band, holding, [*by, "_slot", "_part"], "inner").selectExpr(
         *keys,
         "_slot",
         "_v",
         f"_start + sum(_copies) OVER (PARTITION BY {group}, _part ORDER BY _v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _upto",
     )
-    fractions = f"array({', '.join(f'{float(probs[i])}D' for _, _, i in slots)})"
-    targets = counts.selectExpr("*", f"{fractions}[_slot] * (_n - 1) AS _target")
     picked = _match(targets, band, [*by, "_slot"], "left").groupBy(
         *by, "_slot", "_n", "_below", "_through", "_edge", "_target"
     ).agg(

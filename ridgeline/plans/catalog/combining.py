@@ -110,15 +110,6 @@ def stacking_predict(spark, sf):
     return rounded(en.stacking_predict(preds, en.stacking_fit(preds, MODELS)))
 
 
-# Two models on the simplex: the free optimum clipped to [0, 1].
-_two = "SELECT CASE WHEN t < 0 THEN 0 WHEN t > 1 THEN 1 ELSE t END::DOUBLE AS t FROM (SELECT sum((y_true - seasonal) * (naive - seasonal)) / sum((naive - seasonal) * (naive - seasonal)) AS t FROM base)"
-
-
-@query("weights_optimal", sql("SELECT unnest([{'model': 'naive', 'weight': round(t, 6) + 0.0}, {'model': 'seasonal', 'weight': round(1 - t, 6) + 0.0}], recursive := true) FROM o", "base", extra={"o": _two}))
-def weights_optimal(spark, sf):
-    return rounded(en.weights_optimal(predictions(spark, sf), ["naive", "seasonal"]))
-
-
 # Three models on the simplex: the free optimum if it is inside, else the best edge.
 _A, _B, _C = "naive", "seasonal", "ma7"
 
@@ -142,6 +133,11 @@ _simplex = {
 }
 
 
+@query("weights_optimal", sql("SELECT unnest(['naive', 'seasonal', 'ma7']) AS model, unnest([round(w[1], 6) + 0.0, round(w[2], 6) + 0.0, round(w[3], 6) + 0.0]) AS weight FROM b", "base", extra={"state_base": "SELECT 'all' AS state, * FROM base"} | _simplex))
+def weights_optimal(spark, sf):
+    return rounded(en.weights_optimal(predictions(spark, sf), MODELS))
+
+
 @query("weights_optimal_by_state", sql("SELECT state, unnest(['naive', 'seasonal', 'ma7']) AS model, unnest([round(w[1], 6) + 0.0, round(w[2], 6) + 0.0, round(w[3], 6) + 0.0]) AS weight FROM b", "state_base", extra=_simplex))
 def weights_optimal_by_state(spark, sf):
     return rounded(en.weights_optimal(state_predictions(spark, sf), MODELS, BY_STATE, by=["state"]))

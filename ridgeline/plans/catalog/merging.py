@@ -130,13 +130,18 @@ def _holiday(month: int, day: int, name: str) -> str:
     return f"CASE WHEN date BETWEEN {hs} - 1 AND {hs} + 1 THEN 1 ELSE 0 END::INTEGER AS {name}"
 
 
+# The festival's days in the years of the orders.
+FESTIVALS = ("1995-10-23", "1996-11-10", "1997-10-30", "1998-10-19", "1999-11-07", "2000-10-26", "2001-11-14")
+_festival = "CASE WHEN " + " OR ".join(f"date BETWEEN DATE '{d}' - 1 AND DATE '{d}' + 1" for d in FESTIVALS) + " THEN 1 ELSE 0 END::INTEGER AS holiday_diwali"
+
+
 @query(
     "holiday_features",
-    sql(f"SELECT date, new_cases, {_holiday(1, 26, 'holiday_republic_day')}, {_holiday(8, 15, 'holiday_independence_day')}, {_holiday(10, 2, 'holiday_gandhi_jayanti')}, 0::INTEGER AS holiday_diwali FROM daily", "daily"),
+    sql(f"SELECT date, new_cases, {_holiday(1, 26, 'holiday_republic_day')}, {_holiday(8, 15, 'holiday_independence_day')}, {_holiday(10, 2, 'holiday_gandhi_jayanti')}, {_festival} FROM daily", "daily"),
 )
 def holiday_features(spark, sf):
-    calendar = merge.holiday_calendar(spark, 1994, 2024)
-    return merge.holiday_features(views.daily_cases(spark, sf).drop("new_deaths"), calendar, merge.HOLIDAY_NAMES)
+    daily = views.daily_cases(spark, sf).drop("new_deaths")
+    return merge.holiday_features(daily, merge.calendar_for(daily, festivals=FESTIVALS), merge.HOLIDAY_NAMES)
 
 
 @query(

@@ -13,20 +13,27 @@ from ridgeline.plans.catalog.exploring import predictions
 from ridgeline.plans.oracle import MOB, WX, r, rs, sql
 from ridgeline.sources import readers, writers
 
-# The day columns of the wide stand-in: the first of every month.  Two-digit years are read
-# as 20xx, so the stand-in is dated 25 years after the orders.
+# The day columns of the wide stand-in: the first of every month from the first to the last order.
+# Two-digit years are read as 20xx, so the stand-in is dated 25 years after the orders.
 SHIFT_YEARS = 25
-YEARS = range(1995 + SHIFT_YEARS, 2002 + SHIFT_YEARS)
-MONTHS = [f"{m}/1/{y % 100:02d}" for y in YEARS for m in range(1, 13)]
-DEATH_MONTHS = MONTHS[:-12]
 COUNTRY = "NATION_7"
 
 
-def wide_orders(spark, sf, months, only_status=None):
+def months_of(orders):
+    """The months from the first to the last order, as column names: two dates reach the driver."""
+    month = F.add_months(F.trunc("o_orderdate", "month"), 12 * SHIFT_YEARS)
+    first, last = orders.agg(F.min(month), F.max(month)).first()
+    if first is None:
+        return []
+    return [f"{m % 12 + 1}/1/{m // 12 % 100:02d}" for m in range(first.year * 12 + first.month - 1, last.year * 12 + last.month)]
+
+
+def wide_orders(spark, sf, only_status=None):
     """Orders by priority and nation, one column per month, as a wide daily table."""
     orders = views.table(spark, sf, "orders")
     if only_status:
         orders = orders.filter(F.col("o_orderstatus") == only_status)
+    months = months_of(orders)
     labelled = orders.select(
         F.col("o_custkey").alias("c_custkey"),
         F.col("o_orderpriority").alias(readers.PROVINCE_COLUMN),
@@ -40,7 +47,7 @@ def wide_orders(spark, sf, months, only_status=None):
 
 _month_grid = (
     "SELECT c.country, m.date, {cols} FROM (SELECT n_name AS country FROM nation) c CROSS JOIN "
-    "(SELECT unnest(generate_series(DATE '2020-01-01', DATE '2026-12-01', INTERVAL 1 MONTH))::DATE AS date) m LEFT JOIN "
+    "(SELECT unnest(generate_series((SELECT date_trunc('month', min(o_orderdate)) + INTERVAL 25 YEAR FROM orders), (SELECT date_trunc('month', max(o_orderdate)) + INTERVAL 25 YEAR FROM orders), INTERVAL 1 MONTH))::DATE AS date) m LEFT JOIN "
     "(SELECT n_name AS country, (date_trunc('month', o_orderdate) + INTERVAL 25 YEAR)::DATE AS date, count(*) AS c, count(*) FILTER (WHERE o_orderstatus = 'F') AS d "
     "FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) x USING (country, date)"
 )
@@ -48,7 +55,7 @@ _month_grid = (
 
 @query("scan_wide_long", sql(_month_grid.format(cols="coalesce(c, 0)::DOUBLE AS confirmed")))
 def scan_wide_long(spark, sf):
-    return readers.wide_rows_to_days(wide_orders(spark, sf, MONTHS), "confirmed")
+    return readers.wide_rows_to_days(wide_orders(spark, sf), "confirmed")
 
 
 @query(
@@ -56,12 +63,12 @@ def scan_wide_long(spark, sf):
     sql(
         "SELECT country, date, confirmed, deaths, greatest(coalesce(confirmed - lag(confirmed) OVER (ORDER BY date), 0), 0)::DOUBLE AS new_cases, "
         "greatest(coalesce(deaths - lag(deaths) OVER (ORDER BY date), 0), 0)::DOUBLE AS new_deaths FROM g WHERE country = 'NATION_7'",
-        extra={"g": _month_grid.format(cols="coalesce(c, 0)::DOUBLE AS confirmed, CASE WHEN date >= DATE '2026-01-01' THEN 0 ELSE coalesce(d, 0) END::DOUBLE AS deaths")},
+        extra={"g": _month_grid.format(cols="coalesce(c, 0)::DOUBLE AS confirmed, coalesce(d, 0)::DOUBLE AS deaths")},
     ),
 )
 def wide_to_long(spark, sf):
-    confirmed = wide_orders(spark, sf, MONTHS)
-    deaths = wide_orders(spark, sf, DEATH_MONTHS, "F")
+    confirmed = wide_orders(spark, sf)
+    deaths = wide_orders(spark, sf, "F")
     return readers.wide_to_long(confirmed, deaths, COUNTRY)
 
 
@@ -141,7 +148,7 @@ def union_states(spark, sf):
 def scan_wide_csv(spark, sf):
     """The wide table written as CSV and scanned back under a schema built from its header."""
     path = scratch_path(spark, "wide")
-    writers.write_csv(wide_orders(spark, sf, MONTHS), path)
+    writers.write_csv(wide_orders(spark, sf), path)
     return readers.wide_rows_to_days(readers.read_wide_csv(spark, path, id_cols=2), "confirmed")
 
 

@@ -134,9 +134,18 @@ def diebold_mariano(spark, sf):
     return rounded(ev.diebold_mariano(predictions(spark, sf), "seasonal", "naive", "mae", p_value=False))
 
 
-@query("diebold_mariano_p")
+_tail = "list_reduce(list_prepend(1.0::DOUBLE, list_reverse(range(1, 201))::DOUBLE[]), lambda acc, k: 1 + z * z / (2 * k + 1) * acc)"
+_dm_p = {
+    "d": "SELECT state, pow(y_true - ma7, 2) - pow(y_true - naive, 2) AS d FROM state_base",
+    "g": "SELECT state, count(d) AS n, avg(d) AS mean_d, stddev_samp(d) AS std_d FROM d GROUP BY 1",
+    "h": "SELECT *, mean_d / nullif(std_d / sqrt(n), 0) AS dm_stat FROM g",
+    "i": "SELECT *, CASE WHEN dm_stat IS NOT NULL THEN least(abs(dm_stat), 9) END AS z FROM h",
+}
+
+
+@query("diebold_mariano_p", sql(f"SELECT state, n, {rs(['mean_d', 'std_d', 'dm_stat'])}, {r(f'CASE WHEN z IS NOT NULL THEN greatest(1 - sqrt(2 / pi()) * z * exp(-z * z / 2) * {_tail}, 0) END', 'p_value')} FROM i", "state_base", extra=_dm_p))
 def diebold_mariano_p(spark, sf):
-    return ev.diebold_mariano(state_predictions(spark, sf), "ma7", "naive", "mse", by=["state"], panel=BY_STATE)
+    return rounded(ev.diebold_mariano(state_predictions(spark, sf), "ma7", "naive", "mse", by=["state"], panel=BY_STATE))
 
 
 _mom = {

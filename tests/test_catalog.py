@@ -12,14 +12,7 @@ from ridgeline.plans.catalog import load
 SF = "/root/testdata/sf0.001"
 TABLES = "nation customer supplier orders lineitem".split()
 CATALOG = load()
-# Whole-catalog runs belong to tools/check.py; these cover each module.
-TWINS = [
-    "national_daily", "wide_to_long", "scan_filtered", "json_arrays_to_rows", "union_states", "interpolate_linear", "ffill_rows",
-    "clip_iqr", "clip_iqr_rows", "clean_covid", "clean_weather", "merge_national", "merge_panel", "master_dataset", "describe",
-    "corr_matrix", "best_lag", "histogram_density", "pivot_mean", "lag_features_rows", "growth_features", "build_all_features",
-    "quick_process", "sequences", "calendar_folds", "metrics_by_horizon", "model_comparison", "weight_history", "stacking",
-    "weights_optimal", "ensemble_report",
-]
+TWINS = sorted(n for n, e in CATALOG.items() if e.sql is not None)
 
 
 @pytest.fixture(scope="module")
