@@ -1,14 +1,15 @@
 """Additive forecasts: piecewise-linear trend, yearly and weekly seasonality, holidays and
 regressors, fitted per series by ridge regression.
 
-The design row of every date is a Spark array expression.  Rows travel narrow (date, target,
-regressors) to their series, are widened there, and each series - at most one row per day -
-is reduced to a coefficient array by one small solve.  Scoring is a JVM-side dot product.
+The design row of every date is a Spark array expression.  Each partition sums its rows' products
+per series (a Gram matrix), only these sums are shuffled, and one small solve per series turns
+their total into a coefficient array; no task gathers the rows of a series.  Scoring is a JVM-side
+dot product.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from statistics import NormalDist
 
@@ -16,8 +17,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
+from ridgeline.functions.keys import attach
 from ridgeline.operators.evaluate import metrics_all
 from ridgeline.operators.explore import recent_rows
 from ridgeline.operators.merge import HOLIDAY_NAMES, holiday_column, holiday_features
@@ -26,6 +28,8 @@ from ridgeline.panel import NATIONAL, Panel
 
 YEAR_DAYS = 365.25
 WEEK_DAYS = 7.0
+#: Series whose sums a task holds before it hands them on.
+HELD_SERIES = 512
 
 
 @dataclass(frozen=True)
@@ -106,25 +110,43 @@ def fit(
         ).alias("scale")
     )
     rows = holiday_features(narrow, calendar, list(spec.holidays))
-    if keys:
-        rows = rows.repartition(*keys).join(spans, keys)
-    else:
-        rows = rows.coalesce(1).withColumn("scale", spans.scalar())
+    rows = attach(rows, spans, keys) if keys else rows.withColumn("scale", spans.scalar())
     wide = rows.select(*keys, (F.col("y") / F.col("scale.y_scale")).alias("y"), _design(F.col(panel.order), F.col("scale"), spec).alias("x"))
-    penalty = np.diag(spec.penalties())
-    schema = StructType(
-        [f for f in wide.schema if f.name in keys]
-        + [StructField("beta", ArrayType(DoubleType())), StructField("sigma", DoubleType())]
-    )
+    named = [f for f in wide.schema if f.name in keys]
+    sums = StructType([*named, StructField("rows", LongType()), StructField("gram", BinaryType())])
+    schema = StructType([*named, StructField("beta", ArrayType(DoubleType())), StructField("sigma", DoubleType())])
+    size, penalty = len(spec.terms()) + 1, np.diag(spec.penalties())
+
+    def add_up(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list] = {}
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame([(*k, n, g.tobytes()) for k, (n, g) in held.items()], columns=sums.names)
+            held.clear()
+            return out
+
+        for pdf in batches:
+            groups = pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)]
+            for key, part in groups:
+                key = tuple(None if pd.isna(k) else k for k in key)
+                xy = np.column_stack([np.stack(part["x"].to_numpy()), part["y"].to_numpy()])
+                total = held.setdefault(key, [0, np.zeros((size, size))])
+                total[0] += len(xy)
+                total[1] += xy.T @ xy
+            if len(held) >= HELD_SERIES:
+                yield flush()
+        if held:
+            yield flush()
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy()
-        beta = np.linalg.lstsq(x.T @ x + penalty, x.T @ y, rcond=None)[0]
-        sigma = float(np.sqrt(np.mean((y - x @ beta) ** 2)))
-        return pd.DataFrame([(*[pdf[k].iloc[0] for k in keys], beta.tolist(), sigma)], columns=[f.name for f in schema])
+        gram = sum(np.frombuffer(g).reshape(size, size) for g in pdf["gram"])
+        xx, xy, yy = gram[:-1, :-1], gram[:-1, -1], gram[-1, -1]
+        beta = np.linalg.lstsq(xx + penalty, xy, rcond=None)[0]
+        sigma = float(np.sqrt(max(yy - 2 * beta @ xy + beta @ xx @ beta, 0.0) / pdf["rows"].sum()))
+        return pd.DataFrame([(*[pdf[k].iloc[0] for k in keys], beta.tolist(), sigma)], columns=schema.names)
 
-    betas = wide.groupBy(*keys).applyInPandas(solve, schema)
-    return betas.join(spans, keys) if keys else betas.withColumn("scale", spans.scalar())
+    betas = wide.mapInPandas(add_up, sums).groupBy(*keys).applyInPandas(solve, schema)
+    return attach(betas, spans, keys) if keys else betas.withColumn("scale", spans.scalar())
 
 
 def score(
@@ -140,7 +162,7 @@ def score(
     keys = [*panel.series, *by]
     dated = holiday_features(df, calendar, list(spec.holidays))
     if keys:
-        joined = dated.join(model, keys)
+        joined = attach(dated, model, keys)
     else:
         one = model.select(F.struct("beta", "sigma", "scale").alias("m")).scalar()
         joined = dated.withColumn("_m", one).select("*", "_m.beta", "_m.sigma", "_m.scale")
@@ -220,9 +242,13 @@ def rolling_origin(
         F.lit("additive").alias("model"),
         F.col(target).cast("double").alias("y_true"),
         F.col("yhat").alias("y_pred"),
+        F.col("yhat_lower").alias("y_lower"),
+        F.col("yhat_upper").alias("y_upper"),
     )
 
 
 def rolling_origin_metrics(predictions: DataFrame, panel: Panel = NATIONAL) -> DataFrame:
-    """Metrics by days ahead, over all cutoffs."""
-    return metrics_all(predictions, ["model", "horizon"], panel)
+    """Metrics by days ahead, over all cutoffs, and the share of truths inside their interval."""
+    metrics = metrics_all(predictions, ["model", "horizon"], panel)
+    inside = F.col("y_true").between(F.col("y_lower"), F.col("y_upper")).cast("double")
+    return metrics.join(predictions.groupBy("model", "horizon").agg(F.avg(inside).alias("coverage")), ["model", "horizon"])

@@ -16,8 +16,7 @@ from ridgeline.plans.catalog import query, rounded
 from ridgeline.plans.catalog.merging import FESTIVALS
 from ridgeline.plans.oracle import sql
 
-SMALL = additive.AdditiveSpec(changepoints=10, yearly=4, weekly=2, regressors=("workplaces", "retail_recreation"))
-PANEL_SPEC = additive.AdditiveSpec(changepoints=5, yearly=2, weekly=2)
+WITH_MOBILITY = additive.AdditiveSpec(regressors=("workplaces", "retail_recreation"))
 TREES = learners.BoostedTrees(n_estimators=10, max_depth=4)
 
 
@@ -69,15 +68,15 @@ def random_search(spark, sf):
 @query("additive_forecast")
 def additive_forecast(spark, sf):
     cases = split_by_date(views.daily_cases_by_state(spark, sf), BY_STATE)
-    model = additive.fit(cases.filter("role <> 'test'"), calendar(spark, sf), BY_STATE, spec=PANEL_SPEC)
-    return rounded(additive.score(cases.filter("role = 'test'"), model, calendar(spark, sf), BY_STATE, PANEL_SPEC))
+    model = additive.fit(cases.filter("role <> 'test'"), calendar(spark, sf), BY_STATE)
+    return rounded(additive.score(cases.filter("role = 'test'"), model, calendar(spark, sf), BY_STATE))
 
 
 @query("forecast_horizon")
 def forecast_horizon(spark, sf):
     df = national(spark, sf)
-    model = additive.fit(df, calendar(spark, sf), spec=SMALL)
-    return rounded(additive.forecast_horizon(df, model, calendar(spark, sf), 30, spec=SMALL))
+    model = additive.fit(df, calendar(spark, sf), spec=WITH_MOBILITY)
+    return rounded(additive.forecast_horizon(df, model, calendar(spark, sf), 30, spec=WITH_MOBILITY))
 
 
 @query("future_dates", sql("SELECT state, (mx + k)::DATE AS date FROM (SELECT state, max(date) AS mx FROM state_daily GROUP BY 1), (SELECT unnest(range(1, 31))::INTEGER AS k)", "state_daily"))
@@ -88,21 +87,20 @@ def future_dates(spark, sf):
 @query("score_at_dates")
 def score_at_dates(spark, sf):
     df = split_by_date(national(spark, sf), NATIONAL, 0.15, 0.1)
-    model = additive.fit(df.filter("role = 'train'"), calendar(spark, sf), spec=SMALL)
-    return rounded(additive.score(df.filter("role = 'test'"), model, calendar(spark, sf), spec=SMALL, keep=["new_cases"]))
+    model = additive.fit(df.filter("role = 'train'"), calendar(spark, sf), spec=WITH_MOBILITY)
+    return rounded(additive.score(df.filter("role = 'test'"), model, calendar(spark, sf), spec=WITH_MOBILITY, keep=["new_cases"]))
 
 
 @query("regressor_effect")
 def regressor_effect(spark, sf):
-    model = additive.fit(national(spark, sf), calendar(spark, sf), spec=SMALL)
-    return rounded(additive.regressor_effect(model, spec=SMALL))
+    model = additive.fit(national(spark, sf), calendar(spark, sf), spec=WITH_MOBILITY)
+    return rounded(additive.regressor_effect(model, spec=WITH_MOBILITY))
 
 
 @query("rolling_origin")
 def rolling_origin(spark, sf):
     cases = views.daily_cases(spark, sf).drop("new_deaths")
-    spec = additive.AdditiveSpec(changepoints=5, yearly=3, weekly=2)
-    out = additive.rolling_origin(cases, calendar(spark, sf), NATIONAL, spec=spec, initial=720, period=180, horizon=30)
+    out = durable(additive.rolling_origin(cases, calendar(spark, sf)))  # read by the metrics and the coverage
     return rounded(additive.rolling_origin_metrics(out, NATIONAL.with_series("cutoff")))
 
 

@@ -120,3 +120,24 @@ def test_sequence_forecast(learning):
     test = learning.filter("role = 'test'")
     assert out.count() == test.count() - 2 * 13
     assert mae(out) < mae(to_long(naive(test, BOTH), ["naive"], "new_cases", BOTH))
+
+
+def test_summed_products_give_the_fit_of_all_rows(spark):
+    """Partitions' sums per series, a NULL series included, against one solve over the gathered rows."""
+    rng = np.random.default_rng(3)
+    rows = [(s, dt.date(2021, 1, 1) + dt.timedelta(days=d), float(50 + d + 9 * (d % 7) + rng.normal())) for s in ("a", None) for d in range(120)]
+    df = spark.createDataFrame(rows, "state string, date date, new_cases double").repartition(5)
+    spec = additive.AdditiveSpec(changepoints=4, yearly=2, weekly=2)
+    model = {r["state"]: r for r in additive.fit(df, holiday_calendar(spark), BOTH, spec=spec).collect()}
+    assert set(model) == {"a", None}
+    days = np.array([(dt.date(2021, 1, 1) - dt.date(1970, 1, 1)).days + d for d in range(120)], float)
+    t = (days - days[0]) / 119
+    waves = [f(days * 2 * np.pi * k / p) for p in (365.25, 7.0) for k in (1, 2) for f in (np.sin, np.cos)]
+    republic = np.isin(np.arange(120), [24, 25, 26]).astype(float)
+    x = np.column_stack([np.ones(120), t, *[np.maximum(t - 0.8 * j / 4, 0) for j in range(1, 5)], *waves, republic, *[np.zeros(120)] * 3])
+    for s in ("a", None):
+        y = np.array([v for k, _, v in rows if k == s])
+        y = y / y.max()
+        beta = np.linalg.lstsq(x.T @ x + np.diag(spec.penalties()), x.T @ y, rcond=None)[0]
+        assert np.allclose(model[s]["beta"], beta, atol=1e-6)
+        assert abs(model[s]["sigma"] - np.sqrt(np.mean((y - x @ beta) ** 2))) < 1e-6
