@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import Batches
+from ridgeline.llm.common import Batches, stored
 
 #: Bounds of the training sample (documented parameters of ``train``).
 SAMPLE_DOCS = 6000
@@ -253,7 +253,7 @@ def held_out(doc_id: Column) -> Column:
 def training_sample(docs: DataFrame, labels: DataFrame, sample_docs: int, sample_lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
     """Features of a bounded sample of labelled documents outside the held-out fold, by hash order.
 
-    Ids with contradicting labels are left out.  The chosen ids, ``sample_docs`` at most, are the only
+    Ids with contradicting labels are left out, ids of several rows count once.  The chosen ids, ``sample_docs`` at most, are the only
     broadcast; documents come back as features, in hash order while they fit ``sample_lines``.
     """
     told = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -280,10 +280,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample_docs: int, sample
                 )
 
     rows = kept.mapInArrow(measure, "id long, quality int, lines long, x binary, length binary")
-    # The sample's bound in lines holds before anything reaches the driver.
-    so_far = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bounded = rows.withColumn("so_far", F.sum("lines").over(so_far)).filter(F.col("so_far") <= sample_lines).drop("so_far")
-    got = bounded.collect()
+    # An id that many rows repeat counts once, by the smallest of its features, reduced before the shuffle.
+    one = rows.groupBy("id").agg(F.min(F.struct("quality", "lines", "x", "length")).alias("r")).select("id", F.xxhash64("id").alias("turn"), "r.*")
+    measured = stored(one, "sample")
+    # The bound in lines is found on ids and counts alone, and holds before anything reaches the driver.
+    so_far = Window.orderBy("turn", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fitting = measured.select("id", "turn", F.sum("lines").over(so_far).alias("so_far")).filter(F.col("so_far") <= sample_lines).select(F.col("id").alias("i"))
+    got = measured.join(fitting, F.col("id") == F.col("i"), "left_semi").collect()
+    got.sort(key=lambda r: (r["turn"], r["id"]))
     good = np.array([r["quality"] for r in got], np.int64)
     if not len(good) or good.min() == good.max():
         return None

@@ -247,3 +247,13 @@ def test_join_of_an_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert chosen_path.join(none).count() == 0
     assert chosen_path.one_of_each(none, chosen_path.join(none)).count() == 0
+
+
+def test_repeated_rows_of_an_id_teach_once(spark, rated):
+    docs, labels = rated
+    again = docs.filter("doc_id = 8").crossJoin(spark.range(50)).drop("id")
+    want = line_quality.train(docs, labels)
+    got = line_quality.train(docs.union(again).repartition(7), labels)
+    assert (want.weights == got.weights).all() and want.slope == got.slope
+    few = line_quality.training_sample(docs, labels, 50, 60)
+    assert few is None or few[2][-1] <= 60
