@@ -1,10 +1,13 @@
 """Approximate nearest neighbours by balanced posting lists.
 
 Centroids come from halving a bounded sample again and again at the median of its two-means direction,
-so every list gets its even share.  Each vector is posted to its nearest centroid, and a boundary vector
-also to further ones almost as near (closure by distance ratio), unless such a centroid lies behind one
-already chosen.  A query walks an in-memory neighbour graph over the centroids, and the lists whose
-centroid is within a distance ratio of the nearest are searched, never fewer than hold ten candidates.
+so every list gets its even share.  Each vector is posted to its nearest centroid, its home, and a boundary
+vector also to further ones almost as near (closure by distance ratio, near the plane between the two),
+unless such a centroid all but coincides with one already chosen.  A query walks an in-memory neighbour
+graph over the centroids, and the lists met whose centroid is within a distance ratio of the nearest are
+searched first, never fewer than hold ten candidates.  Every other list is searched too unless its centroid
+is farther away, by more than the list's radius, than the tenth neighbour found: the result is exact, and
+the ratio, the walk and the replicas decide only how soon the limit is tight.
 Lists are compared in blocks: a list or a set of queries that is too large is dealt into chunks, so no
 task holds a hot list whole, and each block hands on ten rows a query at most.
 
@@ -36,11 +39,13 @@ LIST_ROWS = 256
 REPLICAS = 4
 CLOSURE = 0.15
 RATIO = 0.35
-PROBES = 96
 NEIGHBOURS = 24
-BEAM = 192
+#: Width of the walk that chooses the lists searched first; the lists it does not meet are left to the second pass.
+BEAM = 96
 TOP = 10
 BLOCK_ROWS = 2048
+#: Vectors of the neighbouring lists that the second pass compares in one block.
+REST_ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -146,7 +151,7 @@ def _poster(index: Index):  # noqa: ANN202
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out_row, out_list, out_home = [], [], []
+            out_row, out_list, out_home, out_far = [], [], [], []
             x = _vectors(batch)
             for at in range(0, len(x), 512):
                 d = distances(x[at : at + 512], c)
@@ -155,72 +160,86 @@ def _poster(index: Index):  # noqa: ANN202
                 dist = np.take_along_axis(d, near, 1)
                 take = dist <= (1 + CLOSURE) ** 2 * dist[:, :1]
                 for j in range(1, k):
-                    # Nearer to a chosen centroid than to the vector: that direction is covered already.
+                    # Near the plane half way between home and the other centroid, by their distance.
+                    take[:, j] &= dist[:, j] - dist[:, 0] <= 2 * CLOSURE * between[near[:, 0], near[:, j]]
                     for i in range(j):
-                        take[:, j] &= ~(take[:, i] & (between[near[:, i], near[:, j]] < dist[:, j]))
+                        take[:, j] &= ~(take[:, i] & (between[near[:, i], near[:, j]] < CLOSURE**2 * dist[:, j]))
+                take[:, 0] = True
                 row, slot = np.nonzero(take)
                 out_row.append(at + row)
                 out_list.append(near[row, slot])
                 out_home.append(slot == 0)
+                out_far.append(np.sqrt(((x[at + row] - c[near[row, slot]]) ** 2).sum(axis=1)))
             pick = pa.array(np.concatenate(out_row))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id").take(pick), batch.column("v").take(pick), pa.array(np.concatenate(out_list).astype(np.int64)), pa.array(np.concatenate(out_home))],
-                names=["vec_id", "v", "list", "home"],
+                [batch.column("vec_id").take(pick), batch.column("v").take(pick), pa.array(np.concatenate(out_list).astype(np.int64)), pa.array(np.concatenate(out_home)), pa.array(np.concatenate(out_far))],
+                names=["vec_id", "v", "list", "home", "far"],
             )
 
     return run
 
 
 def _prober(index: Index, held: np.ndarray, top: int):  # noqa: ANN202
-    """Each query to the lists it searches.  held: the vectors at home in each list."""
+    """Each query with the lists it searches first.  held: the vectors at home in each list."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _vectors(batch)
-            rows, lists = [], []
+            lists: list[np.ndarray] = []
             for at in range(0, len(x), 256):
                 ids, d = walk(index, x[at : at + 256])
                 keep = d <= (1 + RATIO) ** 2 * d[:, :1]
-                keep[:, PROBES:] = False
                 have = np.cumsum(np.where(ids >= 0, held[ids], 0), axis=1)
                 # A list before which fewer than top candidates and the query itself were held is searched too.
                 keep |= (have - held[ids]) < top + 1
                 keep &= np.isfinite(d)
-                row, slot = np.nonzero(keep)
-                found = ids[row, slot]
-                short = have[:, -1] < top + 1
-                if short.any():  # the walk met too few vectors: the query searches every list
-                    keep_row = ~short[row]
-                    more = np.flatnonzero(short)
-                    row = np.concatenate([row[keep_row], np.repeat(more, len(held))])
-                    found = np.concatenate([found[keep_row], np.tile(np.arange(len(held)), len(more))])
-                rows.append(at + row)
-                lists.append(found)
-            pick = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id").take(pick), batch.column("v").take(pick), pa.array(np.concatenate(lists).astype(np.int64))], names=["vec_id", "v", "list"]
-            )
+                # Where the walk met too few vectors, the query searches every list.
+                lists += [np.arange(len(held)) if few else row[k] for row, k, few in zip(ids, keep, have[:, -1] < top + 1, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), _arrays(lists)], names=["vec_id", "v", "lists"])
 
     return run
 
 
-def _once(order: np.ndarray, names: np.ndarray, top: int) -> np.ndarray:
-    """The first ``top`` positions of each row with names not met before in it; short rows repeat their last."""
-    out = []
-    for row in order:
-        first = np.sort(np.unique(names[row], return_index=True)[1])[:top]
-        out.append(row[np.append(first, np.repeat(first[-1], top - len(first)))])
-    return np.array(out)
+def _arrays(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(rows).astype(np.int64)))
+
+
+def _rest(index: Index, held: np.ndarray, radius: np.ndarray, group: np.ndarray):  # noqa: ANN202
+    """Each query with the groups of lists that the first pass left out and that may hold a vector within its limit.
+
+    A vector at home in a list is at most the list's radius from its centroid, so none is nearer to the
+    query than the centroid's distance less the radius.
+    """
+    c = index.centroids
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, limit = _vectors(batch), batch.column("limit").to_numpy()
+            searched, cuts = lists_of(pa.Table.from_batches([batch]), "lists")
+            groups = []
+            for i in range(len(x)):
+                d = np.sqrt(((c - x[i]) ** 2).sum(axis=1))
+                # Rounding, or a distance that is no number, rules no list out.
+                open_ = ~(d - radius > limit[i] + 1e-9 * (d + radius)) & (held > 0)
+                open_[searched[cuts[i] : cuts[i + 1]]] = False
+                groups.append(np.unique(group[open_]))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), batch.column("limit"), _arrays(groups)], names=["vec_id", "v", "limit", "lists"])
+
+    return run
 
 
 def _search(top: int):  # noqa: ANN202
-    """Per block: each query's nearest vectors of the list chunk, exactly."""
+    """Per block: each query's nearest vectors of the list chunk within its limit, exactly."""
 
     def run(batches: Batches) -> Batches:
         for rows, cuts in whole_groups(batches, ["list", "part", "deal"]):
-            ids, asks = rows.column("vec_id").to_numpy(), rows.column("asks").to_numpy()
+            ids, limits = rows.column("vec_id").to_numpy(), rows.column("limit").to_numpy()
+            asks = limits >= 0
             values, offsets = lists_of(rows, "v")
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 q, p = a + np.flatnonzero(asks[a:b]), a + np.flatnonzero(~asks[a:b])
@@ -230,21 +249,55 @@ def _search(top: int):  # noqa: ANN202
                 x = values[offsets[a] : offsets[b]].reshape(b - a, dim)
                 posted, names = x[p - a], ids[p]
                 distinct = len(np.unique(names)) == len(names)
+                norms = (posted * posted).sum(axis=1)
                 for at in range(0, len(q), 32):
                     some = q[at : at + 32]
-                    d = np.sqrt(((x[some - a][:, None, :] - posted[None]) ** 2).sum(axis=2))
-                    d[ids[some][:, None] == names[None]] = np.inf
-                    order = np.lexsort((np.broadcast_to(names, d.shape), d), axis=1)
-                    order = order[:, :top] if distinct else _once(order, names, top)
-                    near = np.take_along_axis(d, order, 1)
-                    i, j = np.nonzero(np.isfinite(near))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[some][i]), pa.array(names[order[i, j]]), pa.array(near[i, j])], names=["query_id", "vec_id", "score"]
-                    )
+                    # A product rules out what is beyond the limit by more than its rounding; the rest is measured.
+                    rough = distances(x[some - a], posted)
+                    for k, row in enumerate(some):
+                        asked = x[row - a]
+                        maybe = np.flatnonzero(~(rough[k] > limits[row] ** 2 + 1e-9 * (norms + asked @ asked)) & (names != ids[row]))
+                        d = np.sqrt(((asked - posted[maybe]) ** 2).sum(axis=1))
+                        near = np.isfinite(d) & (d <= limits[row])
+                        maybe, d = maybe[near], d[near]
+                        order = np.lexsort((names[maybe], d))
+                        if not distinct:
+                            order = order[np.sort(np.unique(names[maybe[order]], return_index=True)[1])]
+                        order = order[:top]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.repeat(ids[row], len(order))), pa.array(names[maybe[order]]), pa.array(d[order])], names=["query_id", "vec_id", "score"]
+                        )
 
     return run
 
 
+def _compared(posted: DataFrame, asked: DataFrame, sizes: dict[int, int], block: int, top: int) -> DataFrame:
+    """query_id, vec_id and score of the nearest vectors in every list that a query asks.
+
+    posted: vec_id, v and list, of the given sizes; asked: vec_id, v, limit and lists.
+    """
+    spark = posted.sparkSession
+    asks = asked.select("vec_id", "v", "limit", F.explode("lists").alias("list"))
+    wanted = asks.groupBy("list").count().collect()  # MAX_LISTS rows at most
+    shape = [(r["list"], -(-sizes[r["list"]] // block), -(-r["count"] // BLOCK_ROWS)) for r in wanted if sizes.get(r["list"])]
+    shape = F.broadcast(spark.createDataFrame(shape, "of long, parts long, deals long"))  # MAX_LISTS rows at most
+    p = posted.join(shape, F.col("list") == F.col("of")).select(
+        "vec_id", "v", F.lit(-1.0).alias("limit"), "list", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal")
+    )
+    q = asks.join(shape, F.col("list") == F.col("of")).select(
+        "vec_id", "v", "limit", "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("vec_id"), F.col("deals")).alias("deal")
+    )
+    both = p.union(q).repartition("list", "part", "deal").sortWithinPartitions("list", "part", "deal")
+    return both.mapInArrow(_search(top), "query_id long, vec_id long, score double")
+
+
+def _best(near: DataFrame, top: int) -> DataFrame:
+    # A vector in several lists, or an id with several vectors, is one candidate.
+    once = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+
+
 def search(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id and score of each query's nearest vectors.  queries: rows of the same table."""
     rows = stored(usable(vectors.filter(F.col("vec_id").isNotNull()), ["vec_id"]).withColumn("vec_id", F.col("vec_id").cast("long")), "vectors")
@@ -255,28 +308,21 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     if not n:
         return vectors.sparkSession.createDataFrame([], empty)
     index = build(sample, n)
-    posted = stored(rows.mapInArrow(_poster(index), "vec_id long, v array<double>, list long, home boolean"), "postings")
-    held = np.zeros(len(index.centroids), np.int64)
-    sizes = posted.groupBy("list").agg(F.sum(F.col("home").cast("long")).alias("home"), F.count(F.lit(1)).alias("n")).collect()  # MAX_LISTS rows at most
+    posted = stored(rows.mapInArrow(_poster(index), "vec_id long, v array<double>, list long, home boolean, far double"), "postings")
+    held, radius = np.zeros(len(index.centroids), np.int64), np.zeros(len(index.centroids))
+    at_home = F.when(F.col("home"), F.col("far"))
+    sizes = posted.groupBy("list").agg(F.sum(F.col("home").cast("long")).alias("home"), F.max(at_home).alias("radius"), F.count(F.lit(1)).alias("n")).collect()  # MAX_LISTS rows at most
     for r in sizes:
-        held[r["list"]] = r["home"]
-    probes = stored(asked.mapInArrow(_prober(index, held, top), "vec_id long, v array<double>, list long"), "probes")
-    wanted = probes.groupBy("list").count().collect()  # MAX_LISTS rows at most
-    parts = {r["list"]: -(-r["n"] // BLOCK_ROWS) for r in sizes}
-    deals = {r["list"]: -(-r["count"] // BLOCK_ROWS) for r in wanted}
-    spark = vectors.sparkSession
-    shape = spark.createDataFrame([(k, parts[k], deals[k]) for k in deals if k in parts], "of long, parts long, deals long")
-    shape = F.broadcast(shape)  # MAX_LISTS rows at most
-    p = posted.join(shape, F.col("list") == F.col("of")).select(
-        "vec_id", "v", "list", F.lit(False).alias("asks"), F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal")
-    )
-    q = probes.join(shape, F.col("list") == F.col("of")).select(
-        "vec_id", "v", "list", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("vec_id"), F.col("deals")).alias("deal")
-    )
-    both = p.withColumn("deal", F.col("deal").cast("long")).union(q.select("vec_id", "v", "list", "asks", F.col("part").cast("long"), "deal"))
-    both = both.repartition("list", "part", "deal").sortWithinPartitions("list", "part", "deal")
-    near = both.mapInArrow(_search(top), "query_id long, vec_id long, score double")
-    # A vector in several lists, or an id with several vectors, is one candidate.
-    once = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+        held[r["list"]], radius[r["list"]] = r["home"], r["radius"] or 0.0
+    probes = stored(asked.mapInArrow(_prober(index, held, top), "vec_id long, v array<double>, lists array<long>"), "probes")
+    first = probes.withColumn("limit", F.lit(float("inf")))
+    found = stored(_best(_compared(posted, first, {r["list"]: r["n"] for r in sizes}, BLOCK_ROWS, top), top), "found")
+    # The second pass: vectors at home in the lists left out, several small neighbouring lists in one block.
+    tenth = found.filter(F.col("rank") == top).select(F.col("query_id").alias("q"), F.col("score").alias("limit"))
+    limited = probes.join(tenth, F.col("vec_id") == F.col("q"), "left").select("vec_id", "v", "lists", F.coalesce("limit", F.lit(float("inf"))).alias("limit"))
+    group = np.unique((np.cumsum(held) - held) // REST_ROWS, return_inverse=True)[1]
+    rest = stored(limited.mapInArrow(_rest(index, held, radius, group), "vec_id long, v array<double>, limit double, lists array<long>"), "rest")
+    of = F.broadcast(vectors.sparkSession.createDataFrame([(i, int(g)) for i, g in enumerate(group)], "of long, to long"))  # MAX_LISTS rows at most
+    homes = posted.filter("home").join(of, F.col("list") == F.col("of")).select("vec_id", "v", F.col("to").alias("list"))
+    more = _compared(homes, rest, dict(enumerate(np.bincount(group, held).astype(int).tolist())), REST_ROWS, top)
+    return _best(found.select("query_id", "vec_id", "score").union(more), top)

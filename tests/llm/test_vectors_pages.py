@@ -5,6 +5,7 @@ import sys
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,31 @@ def test_search_recall_and_scores(vectors):
     assert hits >= 0.95 * 10 * len(asked)
 
 
+def test_search_is_exact_where_lists_do_not_prune(spark, monkeypatch):
+    """Unit vectors without clusters and far more lists than the walk is wide: no list may be left out."""
+    monkeypatch.setattr(posting_lists, "LIST_ROWS", 8)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    flat = spark.createDataFrame([(i, v.tolist(), 0, "", 1, "") for i, v in enumerate(x)], VECTORS)
+    x = x.astype(np.float32).astype(np.float64)
+    got = {}
+    for r in posting_lists.search(flat, flat.filter("vec_id % 100 = 0")).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    for q in range(0, 4000, 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        assert [got[q][k] for k in range(1, 11)] == np.argsort(d)[:10].tolist()
+
+
+def test_boundary_vectors_have_replicas_where_lists_do_not_prune():
+    x = np.random.default_rng(6).normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(x.tolist())], names=["vec_id", "v"])
+    out = pa.Table.from_batches(posting_lists._poster(posting_lists.build(x, len(x)))([batch]))
+    assert sum(out["home"].to_pylist()) == len(x) < out.num_rows
+
+
 def test_search_with_few_or_no_candidates(spark):
     few = spark.createDataFrame([(i, [float(i), 1.0], 0, "", 1, "") for i in range(3)], VECTORS)
     assert posting_lists.search(few, few).count() == 6
