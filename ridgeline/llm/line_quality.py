@@ -6,7 +6,8 @@ document's quality is the mean of its lines' marginal probabilities of being goo
 length, calibrated to the labelled documents by a logistic curve.
 
 The model is a few dozen numbers.  It is fitted on the driver on the features (not the texts) of a
-bounded sample of labelled documents, ``SAMPLE_DOCS`` of them and at most ``SAMPLE_LINES`` lines;
+bounded sample of labelled documents, ``SAMPLE_DOCS`` of them and at most ``SAMPLE_LINES`` lines, of one
+document no more than its share of them (the first ``SAMPLE_LINES / SHARES``), so that none uses up the sample;
 scoring runs over whole texts, in Arrow batches, without a shuffle.
 
 Defined results: a null or empty text is one empty line; null ids and repeated rows are scored each on
@@ -29,6 +30,7 @@ from ridgeline.llm.common import Batches, stored
 #: Bounds of the training sample (documented parameters of ``train``).
 SAMPLE_DOCS = 6000
 SAMPLE_LINES = 60_000
+SHARES = 100
 THRESHOLD = 0.7
 
 LOWER, CAPITAL, DIGIT, SPACE, STOP, MARK, HIGH, NEWLINE = range(8)
@@ -254,8 +256,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample_docs: int, sample
     """Features of a bounded sample of labelled documents outside the held-out fold, by hash order.
 
     Ids with contradicting labels are left out, ids of several rows count once.  The chosen ids, ``sample_docs`` at most, are the only
-    broadcast; documents come back as features, in hash order while they fit ``sample_lines``.
+    broadcast; documents come back as features, in hash order while they fit ``sample_lines``.  A document
+    longer than its share of the lines teaches with its first ones.
     """
+    share = max(1, sample_lines // SHARES)
     told = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     told = told.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).filter("quality = other")
     chosen = told.select(F.col("doc_id").alias("id"), "quality").orderBy(F.xxhash64("id"), "id").limit(sample_docs)
@@ -267,15 +271,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample_docs: int, sample
                 part = batch.slice(at, 256)
                 data, starts = _text_bytes(part.column("text"))
                 x, length, first = line_features(data, starts)
-                rows = [x[a:b].astype(np.float32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                sizes = [length[a:b].astype(np.float32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                lines = pa.array(np.diff(first), pa.int64())
-                # A document of more lines than the whole sample holds can't be in it: its features stay behind.
-                fits = [n <= sample_lines for n in lines.to_pylist()]
+                ends = np.minimum(first[1:], first[:-1] + share)
+                rows = [x[a:b].astype(np.float32).tobytes() for a, b in zip(first[:-1], ends, strict=True)]
+                sizes = [length[a:b].astype(np.float32).tobytes() for a, b in zip(first[:-1], ends, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").cast(pa.int64()), part.column("quality").cast(pa.int32()), lines,
-                     pa.array([r if f else b"" for r, f in zip(rows, fits, strict=True)], pa.binary()),
-                     pa.array([s if f else b"" for s, f in zip(sizes, fits, strict=True)], pa.binary())],
+                    [part.column("id").cast(pa.int64()), part.column("quality").cast(pa.int32()), pa.array(ends - first[:-1], pa.int64()),
+                     pa.array(rows, pa.binary()), pa.array(sizes, pa.binary())],
                     names=["id", "quality", "lines", "x", "length"],
                 )
 

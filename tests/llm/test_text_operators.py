@@ -257,3 +257,17 @@ def test_repeated_rows_of_an_id_teach_once(spark, rated):
     assert (want.weights == got.weights).all() and want.slope == got.slope
     few = line_quality.training_sample(docs, labels, 50, 60)
     assert few is None or few[2][-1] <= 60
+
+
+def test_a_long_document_first_in_hash_order_does_not_end_the_sample(spark, rated):
+    docs, labels = rated
+    free = spark.range(10_000, 20_000).filter(~line_quality.held_out(F.col("id")))
+    long = free.orderBy(F.xxhash64("id")).first()["id"]
+    assert spark.createDataFrame([(i,) for i in [long, *range(400)]], "id long").orderBy(F.xxhash64("id")).first()["id"] == long
+    more = docs.union(spark.createDataFrame(rows_of([(long, "one line here\n" * 60_500)]), SCHEMA))
+    told = labels.union(spark.createDataFrame([(long, 1, 0)], labels.schema))
+    want = line_quality.training_sample(docs, labels, 6000, 60_000)
+    got = line_quality.training_sample(more, told, 6000, 60_000)
+    assert got is not None and len(got[3]) == len(want[3]) + 1
+    assert got[2][1] == 600 and got[2][-1] == want[2][-1] + 600
+    assert line_quality.train(more, told).usable
