@@ -17,7 +17,7 @@ from ridgeline.plans.catalog.merging import FESTIVALS
 from ridgeline.plans.oracle import sql
 
 WITH_MOBILITY = additive.AdditiveSpec(regressors=("workplaces", "retail_recreation"))
-TREES = learners.BoostedTrees(n_estimators=10, max_depth=4)
+TREES = learners.BoostedTrees()
 
 
 def calendar(spark, sf):
@@ -59,9 +59,8 @@ def feature_importance(spark, sf):
 @query("random_search")
 def random_search(spark, sf):
     df = learning_frame(spark, sf)
-    space = learners.SEARCH_SPACE | {"n_estimators": (3, 8, "int"), "max_depth": (2, 4, "int")}
     base = learners.BoostedTrees(features=tuple(feature_columns(df)))
-    trials, _ = learners.random_search(df.filter("role = 'train'"), df.filter("role = 'val'"), base, 3, space)
+    trials, _ = learners.random_search(df.filter("role = 'train'"), df.filter("role = 'val'"), base)
     return rounded(trials)
 
 

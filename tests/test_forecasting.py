@@ -141,3 +141,21 @@ def test_summed_products_give_the_fit_of_all_rows(spark):
         beta = np.linalg.lstsq(x.T @ x + np.diag(spec.penalties()), x.T @ y, rcond=None)[0]
         assert np.allclose(model[s]["beta"], beta, atol=1e-6)
         assert abs(model[s]["sigma"] - np.sqrt(np.mean((y - x @ beta) ** 2))) < 1e-6
+
+
+def test_registered_tree_queries_run_the_operators_settings(spark, monkeypatch):
+    from ridgeline.plans.catalog import forecasting
+
+    assert forecasting.TREES == learners.BoostedTrees()
+    seen = []
+    search = learners.random_search
+
+    def counted(train, validation, base, *args, **kwargs):
+        # Every trial's parameters are drawn as they would be; only the fit is left out.
+        monkeypatch.setattr(learners.BoostedTrees, "fit", lambda self, *_: seen.append(self))
+        monkeypatch.setattr(learners, "predict", lambda *_, **__: train)
+        return search(train, validation, base, *args, objective=lambda _: 1.0, **kwargs)
+
+    monkeypatch.setattr(learners, "random_search", counted)
+    assert forecasting.random_search(spark, "/root/testdata/sf0.001").count() == 20
+    assert len(seen) == 20 and all(100 <= t.n_estimators <= 1000 and 3 <= t.max_depth <= 10 for t in seen)
