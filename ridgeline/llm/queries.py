@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import chosen_path, fixity, line_quality, mixing, packing, posting_lists, secret_ledger, sharding, tree_forest, url_templates
+from ridgeline.llm import (
+    chosen_path, fixity, importance, line_quality, mixing, packing, posting_lists, secret_ledger, sharding, swap_packing, tree_forest,
+    url_templates, whitening,
+)
 from ridgeline.llm.common import table
-from ridgeline.llm.twins import FOREST_SQL, JACCARD_SQL, SECRETS_SQL, URL_SQL
+from ridgeline.llm.twins import FOREST_SQL, IMPORTANCE_SQL, JACCARD_SQL, SECRETS_SQL, URL_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +69,18 @@ def op10_tree_forest(spark: SparkSession, folder: str) -> DataFrame:
     return tree_forest.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op11_importance(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.digest(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def op13_swap_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return swap_packing.pack(table(spark, folder, "documents"), vocabulary())
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_secret_scan": op2_secret_scan,
@@ -77,6 +92,9 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_mixing": op9_mixing,
     "op10_tree_forest": op10_tree_forest,
+    "op11_importance": op11_importance,
+    "op12_whitening": op12_whitening,
+    "op13_swap_packing": op13_swap_packing,
 }
 
 MIXING_SQL = r"""
@@ -140,4 +158,5 @@ ORACLES: dict[str, str] = {
     "op8_jaccard_join": JACCARD_SQL,
     "op9_mixing": MIXING_SQL,
     "op10_tree_forest": FOREST_SQL,
+    "op11_importance": IMPORTANCE_SQL,
 }

@@ -89,6 +89,45 @@ SELECT e.vec_id::BIGINT AS vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(l
 FROM listed e LEFT JOIN links ON links.a = e.vec_id LEFT JOIN lowest ON lowest.a = e.vec_id
 """
 
+IMPORTANCE_SQL = f"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS step
+), texts AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT -row_number() OVER (), NULL, coalesce(text, '') FROM benchmark
+), words AS (
+  SELECT row, doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM texts
+), runs AS (
+  SELECT row, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+         list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS feature
+  FROM words
+), counted AS (
+  SELECT row, feature, count(*) AS n FROM runs GROUP BY row, feature
+), hashed AS (
+  SELECT feature, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(feature)), '..'), lambda h: ('0x' || h)::BIGINT),
+         lambda c, b: xor(c >> 8, step[xor(c % 256, b) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT feature FROM counted), crc
+), placed AS (
+  SELECT row, bucket, sum(n)::BIGINT AS n FROM counted JOIN hashed USING (feature) GROUP BY row, bucket
+), totals AS (
+  SELECT coalesce(sum(n) FILTER (WHERE row > 0), 0) AS s, coalesce(sum(n) FILTER (WHERE row < 0), 0) AS t FROM placed
+), gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(sum(p.n) FILTER (WHERE row < 0), 0) + 1)::DOUBLE * (any_value(a.s) + 10000)::DOUBLE
+         / ((coalesce(sum(p.n) FILTER (WHERE row > 0), 0) + 1)::DOUBLE * (any_value(a.t) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM placed p, totals a GROUP BY bucket
+), weights AS (
+  SELECT row, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM placed JOIN gains USING (bucket) WHERE row > 0 GROUP BY row
+), scored AS (
+  SELECT row, doc_id, len(w) >= 20 AS able, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT::DOUBLE + 0.5) / 4294967296))))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (row) WHERE row > 0
+), places AS (
+  SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scored WHERE able
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT count(*) * 5 // 100 FROM places) THEN place END AS rank
+FROM scored LEFT JOIN places USING (row)
+"""
+
 
 def _by_rule(value: str) -> str:
     cases = [
