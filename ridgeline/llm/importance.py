@@ -194,7 +194,8 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes | None]:
 
 
 def dictionary(docs: DataFrame, target: DataFrame, size: int = DICTIONARY) -> list[bytes]:
-    """The most frequent distinct words of all texts, at most ``size`` of at most WORD_BYTES bytes each."""
+    """The most frequent distinct words of all texts, at most ``size`` of at most WORD_BYTES bytes each: those above the
+    lowest level of frequency that leaves no more.  Only they and the sizes of the levels reach the driver."""
 
     def count(batches: Batches) -> Batches:
         held: Counter[bytes] = Counter()
@@ -215,8 +216,17 @@ def dictionary(docs: DataFrame, target: DataFrame, size: int = DICTIONARY) -> li
             yield rows()
 
     texts = docs.select(F.col("text").cast("binary")).union(target.select(F.col("text").cast("binary")))
-    counted = texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(size).select("word").collect()]
+    counted = stored(texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    level = F.floor(F.log2("n") * 8)
+    at_least, total = math.inf, 0
+    for step, words in sorted(counted.groupBy(level).count().collect(), reverse=True):  # a few hundred levels at most
+        total += words
+        if total > size:
+            break
+        at_least = step
+    if math.isinf(at_least):
+        return []
+    return sorted(bytes(r.word) for r in counted.filter(level >= at_least).select("word").collect())
 
 
 def bucket_counts(texts: DataFrame, words: list[bytes]) -> np.ndarray:
@@ -283,7 +293,7 @@ def score(docs: DataFrame, target: DataFrame, share: float = 0.05, seed: int = 4
     words = dictionary(docs, target)
     gain = gains(bucket_counts(docs, words), bucket_counts(target, words))
     rows = weighed(docs, words, gain, ["doc_id", *(c for c in keep if c != "doc_id")])
-    scored = rows.withColumn("score", F.col("weight") + noise(F.col("kept.doc_id"), seed)).withColumn("_row", F.monotonically_increasing_id())
+    scored = rows.withColumn("score", F.col("weight") + noise(F.col("kept.doc_id"), seed)).withColumn("_turn", F.monotonically_increasing_id())
     scored = stored(scored, "scored")
     able = F.col("n_words") >= least_words
     eligible = scored.filter(able)
@@ -294,7 +304,7 @@ def score(docs: DataFrame, target: DataFrame, share: float = 0.05, seed: int = 4
         cut = None
     near = able if cut is None else able & (F.col("score") >= cut)
     placed = scored.filter(near).select("*", (-F.col("score")).alias("_down"), F.col("kept.doc_id").isNull().alias("_no_id"), F.col("kept.doc_id").alias("_id"))
-    numbered = number_rows(placed, Panel("_down", (), ("_no_id", "_id", "_row"), SEGMENT_ROWS), "_at")
+    numbered = number_rows(placed, Panel("_down", (), ("_no_id", "_id", "_turn"), SEGMENT_ROWS), "_at")
     names = ["kept", "n_features", "weight", "score"]
     first = numbered.select(*names, F.when(F.col("_at") < drawn, F.col("_at") + 1).cast("long").alias("rank"))
     return first.union(scored.filter(~near).select(*names, F.lit(None).cast("long").alias("rank")))
