@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ridgeline.functions.keys import attach
 from ridgeline.functions.numeric import (
     clip, existing, finite, finite_sql, float_columns, not_nan, numeric_columns, pct_change, quoted, require,
 )
-from ridgeline.functions.sizing import durable
+from ridgeline.functions.sizing import written
 from ridgeline.operators.quantiles import exact_quantiles, quantile_struct
-from ridgeline.operators.segments import drop_neighbours, over_rows, with_neighbours
+from ridgeline.operators.segments import POS, drop_neighbours, over_rows, with_neighbours
 from ridgeline.panel import NATIONAL, Panel, so_far, trailing
 
 # Column names of the three daily sources.
@@ -26,12 +27,12 @@ def interpolate_linear(df: DataFrame, panel: Panel = NATIONAL, cols: list[str] |
     cols = [c for c in numeric_columns(df) if c not in panel.keys] if cols is None else existing(df, cols)
     if not cols:
         return df
-    keep_pos = "pos" in df.columns
+    keep_pos = POS in df.columns
     near = with_neighbours(df, panel, cols)
     filled = {}
     for c in cols:
         prev, nxt = F.col(f"_prev_{c}"), F.col(f"_next_{c}")
-        share = F.try_divide(F.col("pos") - prev["pos"], nxt["pos"] - prev["pos"])
+        share = F.try_divide(F.col(POS) - prev["pos"], nxt["pos"] - prev["pos"])
         line = prev["v"] + (nxt["v"] - prev["v"]) * share
         filled[c] = F.coalesce(F.col(c), line, prev["v"], nxt["v"]).cast("double")
     return drop_neighbours(near.withColumns(filled), cols, keep_pos)
@@ -40,9 +41,8 @@ def interpolate_linear(df: DataFrame, panel: Panel = NATIONAL, cols: list[str] |
 def fill(df: DataFrame, panel: Panel = NATIONAL, cols: list[str] | None = None, how: str = "ffill_bfill") -> DataFrame:
     """Carry known values along the series: ``ffill``, ``bfill`` or one then the other."""
     cols = [c for c in df.columns if c not in panel.keys] if cols is None else existing(df, cols)
-    keep_pos = "pos" in df.columns
-    if keep_pos and "pos" in cols:
-        cols = [c for c in cols if c != "pos"]
+    keep_pos = POS in df.columns
+    cols = [c for c in cols if c != POS]
     if not cols:
         return df
     sides = {"ffill": ("prev",), "bfill": ("next",), "ffill_bfill": ("prev", "next")}[how]
@@ -91,7 +91,7 @@ def clip_iqr(
     if panel.series:
         q = exact_quantiles(base, cols, [0.25, 0.75], panel.series, bounded=not panel.long)
         q = q.select(*panel.series, F.struct(*cols).alias("_q"))
-        framed = _attach(df, q, panel.series)
+        framed = attach(df, q, panel.series, "left")
     else:
         framed = df.withColumn("_q", quantile_struct(base, cols, [0.25, 0.75], bounded=not panel.long))
     out = {}
@@ -109,7 +109,7 @@ def clip_zscore(
     base = df if fit_on is None else df.filter(fit_on)
     moments = F.struct(*[F.struct(F.avg(c).alias("mu"), F.stddev_samp(c).alias("sd")).alias(c) for c in cols])
     stats = base.groupBy(*panel.series).agg(moments.alias("_z"))
-    framed = _attach(df, stats, panel.series) if panel.series else df.withColumn("_z", stats.scalar())
+    framed = attach(df, stats, panel.series, "left") if panel.series else df.withColumn("_z", stats.scalar())
     out = {}
     for c in cols:
         mu, sd = F.col("_z")[c]["mu"], F.col("_z")[c]["sd"]
@@ -117,14 +117,6 @@ def clip_zscore(
     return framed.withColumns(out).drop("_z")
 
 
-def _attach(df: DataFrame, stats: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    right = stats.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in stats.columns])
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & df[k].eqNullSafe(right[f"_r_{k}"])
-    return df.join(right, cond, "left").drop(*[f"_r_{k}" for k in keys])
-
-
 def clip_outliers(df: DataFrame, cols: list[str], method: str = "iqr", threshold: float = 1.5, panel: Panel = NATIONAL) -> DataFrame:
     if method == "iqr":
         return clip_iqr(df, cols, threshold, panel)
@@ -147,7 +139,7 @@ def impute_median(df: DataFrame, panel: Panel = NATIONAL, cols: list[str] | None
     """Infinities become NULL, then NULLs become the column median over the whole frame.
 
     One daily series is bounded, so its medians are one aggregate; a panel has as many rows
-    as it has series, so its medians go through the bracketed quantiles.
+    as it has series, so its medians are found by radix selection.
     """
     cols = [c for c in numeric_columns(df) if c not in panel.keys] if cols is None else existing(df, cols)
     if not cols:
@@ -156,7 +148,7 @@ def impute_median(df: DataFrame, panel: Panel = NATIONAL, cols: list[str] | None
     tidy = df.selectExpr(*[f"{finite_sql(c)} AS {quoted(c)}" if c in floats and c in cols else quoted(c) for c in df.columns])
     bounded = not panel.series and not panel.long
     if not bounded:
-        tidy = durable(tidy)  # read three more times for the medians: store it once
+        tidy = written(tidy, "imputed")  # read a few more times for the medians: store it once
     base = tidy if fit_on is None else tidy.filter(fit_on)
     framed = tidy.withColumn("_med", quantile_struct(base, cols, [0.5], bounded=bounded))
     return framed.selectExpr(
@@ -186,9 +178,19 @@ def clean_weather(df: DataFrame, panel: Panel) -> DataFrame:
     return interpolate_linear(_as_dates(df, panel.order), panel)
 
 
-def daily_by_state(df: DataFrame, cols: tuple[str, ...] = MOBILITY) -> DataFrame:
-    """Mean of each measure per (date, state): districts collapse into their state."""
+def daily_by_state(
+    df: DataFrame, cols: tuple[str, ...] = MOBILITY, lookup: DataFrame | None = None, key: str | None = None
+) -> DataFrame:
+    """Mean of each measure per (date, state): districts collapse into their state.
+
+    Rows that name their state by a ``key`` of the ``lookup`` (key, state) are summed per (key, date) before they meet it:
+    the join sees one row per key and day, however many rows a key has.
+    """
     have = existing(df, cols)
+    if lookup is not None:
+        sums = [x for c in have for x in (F.sum(c).alias(f"_s_{c}"), F.count(c).alias(f"_n_{c}"))]
+        again = [F.try_divide(F.sum(f"_s_{c}"), F.sum(f"_n_{c}")).alias(c) for c in have]
+        return df.groupBy(key, "date").agg(*sums).join(lookup, key).groupBy("date", "state").agg(*again)
     if "state" not in df.columns or not have:
         return df
     return df.groupBy("date", "state").agg(*[F.avg(c).alias(c) for c in have])

@@ -4,7 +4,6 @@ and joins by key, so predictions never have to start on the same row."""
 from __future__ import annotations
 
 from collections.abc import Iterable
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -19,6 +18,8 @@ from ridgeline.panel import NATIONAL, Panel
 
 SMALLEST_ERROR = 1e-8
 LOOKBACK = 14
+#: Share of the Gram matrix's mean diagonal that makes optimal weights unique where models are collinear.
+NUDGE = 1e-6
 
 
 def weights_static(spark: SparkSession, weights: dict[str, float]) -> DataFrame:
@@ -146,22 +147,38 @@ def _unpack(row, k: int) -> tuple[float, np.ndarray, np.ndarray]:
 
 
 def simplex_weights(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
-    """argmin of w'Gw - 2c'w over w >= 0 with sum one, by trying every support."""
+    """argmin of w'Gw - 2c'w + r w'w over w >= 0 with sum one, by an active set.
+
+    The small r (NUDGE of G's mean diagonal) decides where models are collinear: of the weights that fit equally
+    well, those nearest to equal ones.  Starts from equal weights; a step that would leave the simplex stops at
+    its edge and fixes that weight at zero, and a fixed weight is freed while that lowers the error.
+    """
     k = len(cross)
-    best, best_value = None, np.inf
-    for size in range(1, k + 1):
-        for support in combinations(range(k), size):
-            idx = list(support)
-            kkt = np.block([[2 * gram[np.ix_(idx, idx)], np.ones((size, 1))], [np.ones((1, size)), np.zeros((1, 1))]])
-            w_part = np.linalg.lstsq(kkt, np.append(2 * cross[idx], 1.0), rcond=None)[0][:size]
-            if (w_part < -1e-12).any() or abs(w_part.sum() - 1) > 1e-6:
-                continue
-            w = np.zeros(k)
-            w[idx] = np.clip(w_part, 0, 1)
-            value = w @ gram @ w - 2 * cross @ w
-            if value < best_value - 1e-12 * max(1.0, abs(best_value) if np.isfinite(best_value) else 1.0):
-                best, best_value = w, value
-    return best
+    scale = np.trace(gram) / k
+    if scale <= 0:
+        return np.full(k, 1 / k)
+    g, c = gram / scale + NUDGE * np.eye(k), cross / scale
+    w, free = np.full(k, 1 / k), np.ones(k, bool)
+    for _ in range(50 * k):
+        idx = np.flatnonzero(free)
+        inverse = np.linalg.solve(g[np.ix_(idx, idx)], np.column_stack([c[idx], np.ones(len(idx))]))
+        level = (inverse[:, 0].sum() - 1) / inverse[:, 1].sum()
+        step = np.zeros(k)
+        step[idx] = inverse[:, 0] - level * inverse[:, 1] - w[idx]
+        short = np.flatnonzero(free & (w + step < 0))
+        if len(short):
+            reach = w[short] / -step[short]
+            w = np.clip(w + reach.min() * step, 0, None)
+            w[short[reach.argmin()]] = 0.0
+            free[short[reach.argmin()]] = False
+            continue
+        w = w + step
+        slope = g @ w - c + level  # zero on the free weights
+        lowest = int(np.where(free, 0, slope).argmin())
+        if free[lowest] or slope[lowest] > -1e-12:
+            break
+        free[lowest] = True
+    return w
 
 
 def _solve_rows(df: DataFrame, models: list[str], by: list[str], solve, terms: list[str], label: str) -> DataFrame:

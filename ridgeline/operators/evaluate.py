@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions.keys import attach
 from ridgeline.functions.numeric import INF
 from ridgeline.operators.explore import share_of_rows
-from ridgeline.operators.segments import over_rows
+from ridgeline.operators.segments import number_rows, over_rows
 from ridgeline.panel import NATIONAL, Panel
 
 HORIZONS = (1, 3, 7, 14)
@@ -37,7 +37,13 @@ def r2(y: Column, p: Column) -> Column:
     return F.when(sst == 0, F.when(sse == 0, 1.0).otherwise(0.0)).otherwise(1 - F.try_divide(sse, sst))
 
 
-METRICS: dict[str, Callable[[Column, Column], Column]] = {"mae": mae, "rmse": rmse, "mape": mape, "r2": r2}
+def mda(y: Column, p: Column) -> Column:
+    """Share of rows that move the way the truth moves, in percent; reads the ``hit`` of ``with_direction``."""
+    return F.avg("hit") * 100
+
+
+#: Every metric by name; ``metrics_all`` computes whatever is registered here, in this order.
+METRICS: dict[str, Callable[[Column, Column], Column]] = {"mae": mae, "rmse": rmse, "mape": mape, "mda": mda, "r2": r2}
 
 
 def with_direction(df: DataFrame, panel: Panel) -> DataFrame:
@@ -57,9 +63,7 @@ def metrics_all(df: DataFrame, by: Iterable[str] = ("model",), panel: Panel = NA
     inner = Panel(panel.order, tuple(dict.fromkeys([*by, *panel.series])), panel.ties, panel.segment_rows)
     marked = with_direction(df, inner)
     y, p = F.col("y_true"), F.col("y_pred")
-    out = {name: f(y, p) for name, f in METRICS.items()}
-    out["mda"] = F.avg("hit") * 100
-    return marked.groupBy(*by).agg(*[out[n].alias(n) for n in ("mae", "rmse", "mape", "mda", "r2")])
+    return marked.groupBy(*by).agg(*[f(y, p).alias(name) for name, f in METRICS.items()])
 
 
 def mean_directional_accuracy(df: DataFrame, by: Iterable[str] = ("model",), panel: Panel = NATIONAL) -> DataFrame:
@@ -150,6 +154,39 @@ def _two_sided_p(z: Column) -> Column:
     return F.when(z.isNotNull() & ~F.isnan(z), F.greatest(1 - inside, F.lit(0.0)))
 
 
+#: No probability of a normal value is taken to be nearer to 0 or 1.
+SMALLEST_TAIL = 1e-15
+
+
+def anderson_darling(df: DataFrame, by: Iterable[str] = ("model",), segment_rows: int = 65_536) -> DataFrame:
+    """Anderson-Darling statistic of the residuals against a normal of their own mean and spread, and its p-value.
+
+    Every residual needs its rank in its group.  Ranks come from a range-partitioned sort, so a group of any size
+    is spread over tasks; groups without spread have no statistic.
+    """
+    by = list(by)
+    known = df.select(*by, (F.col("y_true") - F.col("y_pred")).alias("_e")).filter(F.col("_e").isNotNull() & ~F.isnan("_e"))
+    moments = known.groupBy(*by).agg(F.count("_e").alias("n"), F.avg("_e").alias("_mean"), F.stddev_samp("_e").alias("_sd"))
+    ranked = number_rows(known, Panel("_e", tuple(by), (), segment_rows), "_rank")
+    framed = attach(ranked, moments, by) if by else ranked.withColumn("_m", moments.select(F.struct("*")).scalar()).select("_e", "_rank", "_m.*")
+    z = F.try_divide(F.col("_e") - F.col("_mean"), F.col("_sd"))
+    tail = F.when(z.isNotNull(), F.greatest(_two_sided_p(z) / 2, F.lit(SMALLEST_TAIL)))
+    below, above = (F.when(flip, 1 - tail).otherwise(tail) for flip in (z > 0, z <= 0))
+    i, n = F.col("_rank") + 1, F.col("n")
+    term = (2 * i - 1) * F.log(below) + (2 * (n - i) + 1) * F.log(above)
+    stats = framed.groupBy(*by, "n").agg(F.sum(term).alias("_s")).withColumn("anderson_darling", -F.col("n") - F.col("_s") / F.col("n"))
+    a = F.col("anderson_darling") * (1 + 0.75 / F.col("n") + 2.25 / (F.col("n") * F.col("n")))
+    # The usual approximation of the p-value with estimated mean and variance.
+    p = (
+        F.when(a >= 10, F.lit(3.7e-24))
+        .when(a >= 0.6, F.exp(1.2937 - 5.709 * a + 0.0186 * a * a))
+        .when(a > 0.34, F.exp(0.9177 - 4.279 * a - 1.38 * a * a))
+        .when(a > 0.2, 1 - F.exp(-8.318 + 42.796 * a - 59.938 * a * a))
+        .otherwise(1 - F.exp(-13.436 + 101.14 * a - 223.73 * a * a))
+    )
+    return stats.select(*by, "n", "anderson_darling", F.when(a.isNotNull(), F.least(p, F.lit(1.0))).alias("p_value"))
+
+
 def diebold_mariano(
     df: DataFrame, first: str, second: str, loss: str = "mse", by: Iterable[str] = (), panel: Panel = NATIONAL,
     p_value: bool = True,

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ridgeline.functions.keys import attach
-from ridgeline.functions.numeric import INF, pearson, quoted
+from ridgeline.functions.numeric import INF, not_nan, pearson, quoted
+from ridgeline.functions.sizing import written
 from ridgeline.operators.quantiles import exact_quantiles
-from ridgeline.operators.segments import number_rows, over_rows
-from ridgeline.panel import NATIONAL, Panel, trailing
+from ridgeline.operators.segments import POS, SEGMENT, number_rows, over_rows, with_halo
+from ridgeline.panel import NATIONAL, Panel
 
 
 def _long(row: DataFrame, cols: list[str], label: str, fields: list[str]) -> DataFrame:
@@ -121,42 +125,107 @@ def topk_abs(corrs: DataFrame, k: int = 4) -> DataFrame:
     return corrs.orderBy(F.abs("r").desc_nulls_last(), "column").limit(k)
 
 
+#: Sums of one pair of columns over the rows where both are known, centred, with the ends of either side.
+PAIR_SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+PAIR_ENDS = ["x_lo", "x_hi", "y_lo", "y_hi"]
+
+
+def _pair_schema(keys: str) -> str:
+    return ", ".join([keys, "n long", *[f"{c} double" for c in PAIR_SUMS[1:] + PAIR_ENDS]])
+
+
+def _pair_correlation(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Merge the sums of all blocks; NULL for fewer than two rows or a side without variation."""
+    ends = [F.min("x_lo").alias("x_lo"), F.max("x_hi").alias("x_hi"), F.min("y_lo").alias("y_lo"), F.max("y_hi").alias("y_hi")]
+    total = sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in PAIR_SUMS], *ends)
+    vx, vy = (F.col(f"s{v}{v}") - F.col(f"s{v}") * F.col(f"s{v}") / F.col("n") for v in "xy")
+    r = F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), F.sqrt(vx) * F.sqrt(vy))
+    return total.select(*keys, F.when((F.col("n") > 1) & (F.col("x_lo") < F.col("x_hi")) & (F.col("y_lo") < F.col("y_hi")), r).alias("r"))
+
+
+def _centred(df: DataFrame, cols: list[str]) -> list[Column]:
+    """The columns as doubles less their means over the frame, so that sums of products keep their digits."""
+    known = [not_nan(F.col(quoted(c)).cast("double")) for c in cols]
+    mean = df.agg(F.struct(*[F.avg(c).alias(f"_{i}") for i, c in enumerate(known)])).scalar()
+    return [c - F.coalesce(mean[f"_{i}"], F.lit(0.0)) for i, c in enumerate(known)]
+
+
+def _pair_block(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """PAIR_SUMS and PAIR_ENDS of every column of x with the same column of y; NaN is missing."""
+    both = ~(np.isnan(x) | np.isnan(y))
+    px, py = np.where(both, x, 0.0), np.where(both, y, 0.0)
+    sums = [both.sum(0), px.sum(0), py.sum(0), (px * px).sum(0), (py * py).sum(0), (px * py).sum(0)]
+    ends = [f(np.where(both, v, fill), axis=0, initial=fill) for v in (x, y) for f, fill in ((np.min, np.inf), (np.max, -np.inf))]
+    return np.column_stack([*sums, *ends])
+
+
+def _numbers(batch: pa.RecordBatch | pa.Table, names: list[str]) -> np.ndarray:
+    table = batch if isinstance(batch, pa.Table) else pa.Table.from_batches([batch])
+    return np.column_stack([table.column(c).to_numpy() for c in names]).astype(float)
+
+
+def _pair_rows(held: np.ndarray, keys: dict[str, np.ndarray]) -> pa.RecordBatch:
+    sums = [held[:, 0].astype(np.int64), *held[:, 1:].T]
+    arrays = [pa.array(np.ascontiguousarray(v)) for v in (*keys.values(), *sums)]
+    return pa.RecordBatch.from_arrays(arrays, names=[*keys, *PAIR_SUMS, *PAIR_ENDS])
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    n = len(PAIR_SUMS)
+    ends = [f(a[:, n + k], b[:, n + k]) for k, f in enumerate((np.minimum, np.maximum, np.minimum, np.maximum))]
+    return np.column_stack([a[:, :n] + b[:, :n], *ends])
+
+
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pairwise-complete correlations as (row, column, r).
+    """Pairwise-complete correlations as (row, column, r); NaN counts as missing.
 
-    Each row of data is unrolled into its column pairs and combined map-side, which keeps the
-    aggregate narrow: a few buffers per pair instead of hundreds side by side.
+    A task sums the products of its rows into one block of all pairs; only blocks are shuffled.
     """
-    pairs = ", ".join(
-        f"struct('{a}' AS row, '{b}' AS column, double({quoted(a)}) AS x, double({quoted(b)}) AS y)"
-        for i, a in enumerate(cols)
-        for b in cols[i:]
-    )
-    half = df.selectExpr(f"inline(array({pairs}))").groupBy("row", "column").agg(pearson(F.col("x"), F.col("y")).alias("r"))
-    both = F.array(
-        F.struct(F.col("row"), F.col("column"), F.col("r")),
-        F.struct(F.col("column").alias("row"), F.col("row").alias("column"), F.col("r")),
-    )
-    mirrored = F.when(F.col("row") == F.col("column"), F.slice(both, 1, 1)).otherwise(both)
-    return half.select(F.inline(mirrored))
+    names = [f"_{i}" for i in range(len(cols))]
+    left, right = np.triu_indices(len(cols))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            x = _numbers(batch, names)
+            block = _pair_block(x[:, left], x[:, right])
+            held = block if held is None else _merged(held, block)
+        if held is not None:
+            yield _pair_rows(held, {"i": left, "j": right})
+
+    rows = df.select(*[c.alias(n) for c, n in zip(_centred(df, cols), names)])
+    half = _pair_correlation(rows.mapInArrow(add, _pair_schema("i long, j long")), ["i", "j"])
+    name = F.array(*[F.lit(c) for c in cols])
+    pair = half.select(name[F.col("i")].alias("a"), name[F.col("j")].alias("b"), "r")
+    return pair.select(F.col("a").alias("row"), F.col("b").alias("column"), "r").union(pair.filter("a <> b").select("b", "a", "r"))
 
 
 def lag_corr(df: DataFrame, cols: list[str], target: str, panel: Panel = NATIONAL, max_lag: int = 20) -> DataFrame:
-    """(column, lag, r): correlation of the target with each column shifted by 0..max_lag rows."""
-    block = F.struct(*[F.col(c).cast("double").alias(c) for c in cols])
-
-    def build(w) -> dict[str, Column]:
-        return {"_earlier": F.collect_list(block).over(trailing(w, max_lag + 1))}
-
-    # One frame of the last max_lag + 1 rows per row; element size - k is k rows earlier.
-    shifted = over_rows(df.select(*panel.keys, target, *cols), panel, build, back=max_lag)
-    cells = ", ".join(
-        f"struct('{c}' AS column, {k} AS lag, get(_earlier, size(_earlier) - {k + 1}).{quoted(c)} AS x)"
-        for c in cols
-        for k in range(max_lag + 1)
+    """(column, lag, r): correlation of the target with each column shifted by 0..max_lag rows; NaN counts as missing.
+
+    A segment of consecutive rows, with the few before it, is one task's block; it sums the products of all lags.
+    """
+    names = [f"_{i}" for i in range(len(cols))]
+    near = with_halo(df.select(*panel.keys, *dict.fromkeys([target, *cols])), panel, back=max_lag)
+    columns = _centred(df, [*cols, target])
+    rows = near.select(*[F.col(quoted(c)) for c in panel.series], SEGMENT, POS, "_home", *[c.alias(n) for c, n in zip(columns, [*names, "_y"])])
+    lags = np.arange(max_lag + 1)
+
+    def add(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.argsort(table.column(POS).to_numpy())))
+        x, y = _numbers(table, names), _numbers(table, ["_y"])
+        home = table.column("_home").to_numpy()
+        blocks = [_pair_block(x[: max(len(x) - k, 0)][home[k:]], np.repeat(y[k:][home[k:]], len(names), axis=1)) for k in lags]
+        keys = {"c": np.tile(np.arange(len(names)), len(lags)), "lag": np.repeat(lags, len(names)).astype(np.int32)}
+        return pa.Table.from_batches([_pair_rows(np.concatenate(blocks), keys)])
+
+    blocks = rows.groupBy(*panel.series, SEGMENT).applyInArrow(add, _pair_schema("c long, lag int"))
+    found = _pair_correlation(blocks, ["c", "lag"])
+    every = df.sparkSession.range(len(cols) * (max_lag + 1)).select(
+        F.floor(F.col("id") / (max_lag + 1)).alias("c"), (F.col("id") % (max_lag + 1)).cast("int").alias("lag")
     )
-    long = shifted.selectExpr(f"double({quoted(target)}) AS y", f"inline(array({cells}))")
-    return long.groupBy("column", "lag").agg(pearson(F.col("x"), F.col("y")).alias("r"))
+    name = F.array(*[F.lit(c) for c in cols])
+    return every.join(found, ["c", "lag"], "left").select(name[F.col("c")].alias("column"), "lag", "r")
 
 
 def best_lag(lagged: DataFrame) -> DataFrame:
@@ -193,7 +262,8 @@ def histogram_density(df: DataFrame, col: str, bins: int = 30, by: list[str] | N
     range_ = known.groupBy(*by).agg(
         F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count("_v").alias("n")).alias("_b")
     )
-    framed = attach(known, range_, by) if by else known.withColumn("_b", range_.scalar())
+    # A few numbers per group: stored, so that the planner knows how small they are before it joins.
+    framed = attach(known, written(range_, "bounds"), by) if by else known.withColumn("_b", range_.scalar())
     width = (F.col("_b.hi") - F.col("_b.lo")) / bins
     place = F.least(F.floor(F.try_divide(F.col("_v") - F.col("_b.lo"), width)), F.lit(bins - 1))
     counted = framed.select(*by, "_b", F.coalesce(place, F.lit(0)).cast("int").alias("bin")).groupBy(*by, "_b", "bin")
@@ -218,58 +288,50 @@ def pivot_mean(df: DataFrame, rows: str, columns: str, values: list[str], measur
 
 
 def peak_candidates(df: DataFrame, col: str, panel: Panel, height: float) -> DataFrame:
-    """Strict local maxima at or above ``height``; a flat top counts once, at its middle row."""
-    numbered = number_rows(df, panel) if "pos" not in df.columns else df
+    """(series, pos, value): strict local maxima at or above ``height``; a flat top counts once, at its middle row."""
+    numbered = df if POS in df.columns else number_rows(df, panel, POS)
 
     def run_starts(w) -> dict[str, Column]:
         return {"_prev": F.lag(col, 1).over(w), "_rising": F.lag(col, 1).over(w) < F.col(col)}
 
     # Only rows where the value changes matter; consecutive changes bound each flat run.
     steps = over_rows(numbered, panel, run_starts, back=1).filter(F.col("_prev").isNull() | (F.col("_prev") != F.col(col)))
-
-    def next_step(w) -> dict[str, Column]:
-        return {"_next": F.lead(col, 1).over(w), "_next_pos": F.lead("pos", 1).over(w)}
-
     # Positions of the kept rows have holes, so the lead over them is taken on a fresh numbering.
-    bare = steps.withColumnRenamed("pos", "_at") if panel.long else steps
-    if panel.long:
-        bounded = over_rows(
-            bare, panel, lambda w: {"_next": F.lead(col, 1).over(w), "_next_pos": F.lead("_at", 1).over(w)}, ahead=1
-        ).withColumnRenamed("_at", "pos")
-    else:
-        bounded = over_rows(bare, panel, next_step, ahead=1)
+    bare = steps.withColumnRenamed(POS, "_at")
+    bounded = over_rows(bare, panel, lambda w: {"_next": F.lead(col, 1).over(w), "_next_at": F.lead("_at", 1).over(w)}, ahead=1)
     top = F.col("_rising") & (F.col("_next") < F.col(col)) & (F.col(col) >= height)
-    middle = F.floor((F.col("pos") + F.col("_next_pos") - 1) / 2)
+    middle = F.floor((F.col("_at") + F.col("_next_at") - 1) / 2)
     return bounded.filter(top).select(*panel.series, middle.alias("pos"), F.col(col).cast("double").alias("value"))
 
 
-def peaks(df: DataFrame, col: str, panel: Panel = NATIONAL, height: float = 50_000.0, distance: int = 60) -> DataFrame:
-    """Local maxima at least ``distance`` rows apart, the higher one winning.
-
-    Candidates closer than ``distance`` form chains; chains do not interact, so only one
-    chain at a time reaches Python for the greedy suppression.
-    """
-    numbered = df if "pos" in df.columns else number_rows(df, panel)
-    found = peak_candidates(numbered, col, panel, height)
-    w = Window.partitionBy(*panel.series).orderBy("pos")
-    starts = F.coalesce(F.col("pos") - F.lag("pos", 1).over(w) >= distance, F.lit(True)).cast("int")
-    chained = found.withColumn("_starts", starts).withColumn(
-        "_chain", F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    )
+def _around(df: DataFrame, panel: Panel, reach: int, build: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
+    """Columns over the rows whose ``pos`` is at most ``reach`` away.  Positions are cut into stretches that take in
+    the rows near their ends from the neighbours, so a long series is spread over tasks."""
+    stretch = max(4 * reach, 4096)
+    home = F.floor(F.col("pos") / F.lit(stretch))
+    places = F.sequence(F.greatest(F.floor((F.col("pos") - reach) / F.lit(stretch)), F.lit(0)), F.floor((F.col("pos") + reach) / F.lit(stretch)))
+    spread = df.withColumn(SEGMENT, F.explode(places))
+    w = Window.partitionBy(*panel.series, SEGMENT).orderBy("pos").rangeBetween(-reach, reach)
+    return spread.withColumns(build(w)).filter(F.col(SEGMENT) == home).drop(SEGMENT)
 
-    def suppress(pdf):
-        order = pdf.sort_values(["value", "pos"], ascending=[False, False])
-        kept: list[int] = []
-        for p in order["pos"]:
-            if all(abs(p - q) >= distance for q in kept):
-                kept.append(p)
-        return pdf[pdf["pos"].isin(kept)]
-
-    keep = chained.drop("_starts")
-    survivors = keep.groupBy(*panel.series, "_chain").applyInPandas(suppress, keep.schema).drop("_chain")
-    dates = numbered.select(*panel.series, "pos", panel.order)
-    return survivors.join(dates, [*panel.series, "pos"])
 
+def peaks(df: DataFrame, col: str, panel: Panel = NATIONAL, height: float = 50_000.0, distance: int = 60) -> DataFrame:
+    """Local maxima at least ``distance`` rows apart, the higher one winning, the later one of equals.
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+    Taking the highest first is a matter of its neighbourhood alone: in a round every candidate that is the highest
+    of the undecided ones around it is kept, and those close to a kept one go.  Rounds repeat until
+    nothing is undecided; a round needs windows of ``distance`` rows only.
+    """
+    numbered = written(number_rows(df, panel, POS), "numbered")
+    reach = distance - 1
+    rest = written(peak_candidates(numbered, col, panel, height), "peaks")
+    kept: list[DataFrame] = []
+    while rest.limit(1).count():
+        score = F.struct("value", "pos")
+        elected = _around(rest, panel, reach, lambda w: {"_kept": F.max(score).over(w) == score})
+        marked = written(_around(elected, panel, reach, lambda w: {"_near": F.max("_kept").over(w)}), "peaks")
+        kept.append(marked.filter("_kept").drop("_kept", "_near"))
+        rest = marked.filter("NOT _near").drop("_kept", "_near")
+    survivors = reduce(DataFrame.union, kept, rest)
+    dates = numbered.select(*panel.series, F.col(POS).alias("pos"), panel.order)
+    return attach(survivors, dates, [*panel.series, "pos"])

@@ -1,20 +1,21 @@
-"""Forecasters on Spark ML: boosted trees, random search and windowed sequences."""
+"""Forecasters on Spark ML: boosted trees, a staged random search and windowed sequences."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.functions.sizing import written
 from ridgeline.operators.features import min_max_scale, sequences
 from ridgeline.panel import NATIONAL, Panel
 
@@ -23,8 +24,8 @@ from ridgeline.panel import NATIONAL, Panel
 class BoostedTrees:
     """Boosted regression trees; names follow the usual gradient-boosting vocabulary."""
 
-    n_estimators: int = 100
-    max_depth: int = 5
+    n_estimators: int = 500
+    max_depth: int = 6
     learning_rate: float = 0.1
     subsample: float = 0.8
     colsample: float = 0.8
@@ -35,7 +36,7 @@ class BoostedTrees:
     features: tuple[str, ...] = field(default=())
     target: str = "new_cases"
 
-    def estimator(self, validation_col: str | None = None) -> Pipeline:
+    def trees(self, validation_col: str | None = None) -> GBTRegressor:
         trees = GBTRegressor(
             featuresCol="features",
             labelCol="label",
@@ -50,19 +51,32 @@ class BoostedTrees:
             validationTol=self.tolerance,
             seed=self.seed,
         )
-        if validation_col:
-            trees = trees.setValidationIndicatorCol(validation_col)
-        vector = VectorAssembler(inputCols=list(self.features), outputCol="features", handleInvalid="skip")
-        return Pipeline(stages=[vector, trees])
+        return trees.setValidationIndicatorCol(validation_col) if validation_col else trees
+
+    def vectors(self) -> VectorAssembler:
+        return VectorAssembler(inputCols=list(self.features), outputCol="features", handleInvalid="skip")
+
+    def labelled(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("label", F.col(self.target).cast("double"))
 
     def fit(self, train: DataFrame, validation: DataFrame | None = None) -> PipelineModel:
         """Fit; with a validation frame, boosting stops when its error stops improving."""
-        labelled = train.withColumn("label", F.col(self.target).cast("double"))
+        labelled = self.labelled(train)
         if validation is None:
-            return self.estimator().fit(labelled)
-        held = validation.withColumn("label", F.col(self.target).cast("double")).withColumn("_held", F.lit(True))
-        both = labelled.withColumn("_held", F.lit(False)).unionByName(held)
-        return self.estimator("_held").fit(both)
+            return Pipeline(stages=[self.vectors(), self.trees()]).fit(few_parts(labelled))
+        both = labelled.withColumn("_held", F.lit(False)).unionByName(self.labelled(validation).withColumn("_held", F.lit(True)))
+        return Pipeline(stages=[self.vectors(), self.trees("_held")]).fit(few_parts(both))
+
+
+#: Rows that one task of a tree's passes takes; a frame of fewer rows is trained in one.
+ROWS_PER_TASK = 50_000
+
+
+def few_parts(df: DataFrame) -> DataFrame:
+    """The rows in as many partitions as their number asks for: boosting is thousands of small passes, whose cost on a
+    small frame is the number of tasks."""
+    parts = max(1, -(-df.count() // ROWS_PER_TASK))
+    return df if parts >= df.sparkSession.sparkContext.defaultParallelism else df.coalesce(parts)
 
 
 def predict(model: PipelineModel, df: DataFrame, panel: Panel = NATIONAL, target: str = "new_cases", name: str = "boosted") -> DataFrame:
@@ -104,35 +118,79 @@ def draw(space: dict[str, tuple], rng: np.random.Generator) -> dict[str, float]:
     return out
 
 
+@dataclass
+class Trial:
+    """One draw of a search: its parameters, the best validation error so far and the number of trees that reached it."""
+
+    number: int
+    params: dict[str, float]
+    loss: float = float("inf")
+    trees: int = 0
+    grown: int = 0
+    rung: int = 0
+    ended: bool = False
+
+    def learn(self, losses: list[float], rung: int, patience: int) -> None:
+        """Take in the errors after each tree of a fit.  The trial has ended where all its trees are grown or the
+        error has not improved for ``patience`` trees."""
+        best = int(np.argmin(losses))
+        self.loss, self.trees, self.grown, self.rung = float(losses[best]), best + 1, len(losses), rung
+        self.ended = self.grown >= self.params["n_estimators"] or self.grown - self.trees >= patience
+
+
 def random_search(
     train: DataFrame,
     validation: DataFrame,
     base: BoostedTrees,
     n_trials: int = 20,
     space: dict[str, tuple] | None = None,
-    parallelism: int = 2,
+    parallelism: int = 4,
     objective: Callable[[DataFrame], float] | None = None,
     seed: int = 42,
+    first_trees: int = 16,
+    keep: float = 1 / 3,
+    patience: int = 20,
 ) -> tuple[DataFrame, BoostedTrees]:
-    """Fit random parameter draws on the training rows and keep the lowest validation error.
+    """Random parameter draws, fitted on the training rows in rungs of more and more trees; the lowest validation error wins.
 
-    Returns the table of trials and the best parameters.  ``objective`` maps predictions
-    (y_true, y_pred) to the number to minimise; RMSE by default.
+    A fit is scored after every one of its trees, so one fit tells how many trees its draw needs.  The first rung grows
+    ``first_trees``; the best share ``keep`` of the trials goes on with 1 / ``keep`` times as many, until
+    each has grown all its trees or not improved for ``patience`` trees.  Features are assembled and stored once.
+
+    Returns the table of trials (trial, loss, trees, grown, rung, params) and the best parameters, with that
+    number of trees.  ``objective`` maps predictions (y_true, y_pred) to the number to minimise; RMSE by default.
+    It is then asked once per fit, about all its trees.
     """
     rng = np.random.default_rng(seed)
-    draws = [draw(space or SEARCH_SPACE, rng) for _ in range(n_trials)]
-    rmse = RegressionEvaluator(labelCol="y_true", predictionCol="y_pred", metricName="rmse").evaluate
-    loss = objective or rmse
-
-    def trial(params: dict[str, float]) -> float:
-        model = replace(base, **params).fit(train)
-        return float(loss(predict(model, validation, target=base.target)))
+    trials = [Trial(i, {"n_estimators": base.n_estimators, **draw(space or SEARCH_SPACE, rng)}) for i in range(n_trials)]
+    assembled = [
+        few_parts(written(base.vectors().transform(base.labelled(df)).select("features", "label"), "search")).persist()
+        for df in (train, validation)
+    ]
+
+    def grow(trial: Trial, trees: int, rung: int) -> None:
+        wanted = min(trees, int(trial.params["n_estimators"]))
+        model = replace(base, **{**trial.params, "n_estimators": wanted}).trees().fit(assembled[0])
+        if objective is None:
+            losses = [float(np.sqrt(v)) for v in model.evaluateEachIteration(assembled[1], "squared")]
+        else:
+            worst = [float("inf")] * (model.getNumTrees - 1)
+            losses = [*worst, float(objective(model.transform(assembled[1]).withColumnRenamed("label", "y_true")))]
+        trial.learn(losses, rung, patience)
 
+    alive, trees, rung = trials, first_trees, 0
     with ThreadPool(parallelism) as pool:
-        losses = pool.map(trial, draws)
-    rows = [(i, float(v), {k: float(x) for k, x in p.items()}) for i, (p, v) in enumerate(zip(draws, losses))]
-    table = train.sparkSession.createDataFrame(rows, "trial int, loss double, params map<string,double>")
-    return table, replace(base, **draws[int(np.argmin(losses))])
+        while alive:
+            pool.map(lambda t: grow(t, trees, rung), alive)
+            first = sorted((t for t in trials if t.rung == rung or t.ended), key=lambda t: (t.loss, t.number))
+            alive = [t for t in first[: math.ceil(keep * len(first))] if not t.ended]
+            trees, rung = math.ceil(trees / keep), rung + 1
+    for frame in assembled:
+        frame.unpersist()
+    rows = [(t.number, t.loss, t.trees, t.grown, t.rung, {k: float(v) for k, v in t.params.items()}) for t in trials]
+    table = train.sparkSession.createDataFrame(rows, "trial int, loss double, trees int, grown int, rung int, params map<string,double>")
+    best = min(trials, key=lambda t: (t.loss, t.number))
+    return table, replace(base, **{**best.params, "n_estimators": best.trees})
 
 
 def sequence_forecast(

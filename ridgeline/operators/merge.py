@@ -149,8 +149,13 @@ def holiday_calendar(spark, first_year: int = 2020, last_year: int = 2024, windo
 
 def calendar_for(df: DataFrame, order: str = "date", window: int = 1, festivals: Iterable[str] = FESTIVAL_DATES) -> DataFrame:
     """The holidays of the frame's own years and of a year on either side, so that windows and forecasts
-    that cross into one are covered.  ``festivals`` lists the moving days; name those of the data's years."""
-    seen = df.select(F.year(order).alias("y")).filter("y is not null").distinct()
+    that cross into one are covered.  ``festivals`` lists the moving days; a year of the data without one is an error, as its
+    flag would silently be 0 throughout (pass no festivals at all to leave them out)."""
+    festivals = list(festivals)
+    listed = sorted({int(d[:4]) for d in festivals})
+    named = F.col("y").isin(listed) if listed else F.lit(True)
+    year = F.when(named, F.col("y")).otherwise(F.raise_error(F.concat(F.lit("no festival is listed for "), F.col("y").cast("string"))).cast("int"))
+    seen = df.select(F.year(order).alias("y")).filter("y is not null").distinct().select(year.alias("y"))
     return calendar_of_years(seen.select(F.explode(F.sequence(F.col("y") - 1, F.col("y") + 1)).alias("y")).distinct(), window, festivals)
 
 

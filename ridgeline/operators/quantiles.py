@@ -1,23 +1,25 @@
 """Exact, linearly interpolated quantiles of groups of any size.
 
 Spark's ``percentile`` keeps every distinct value of a group in one task, which is right
-for groups bounded by the calendar and wrong for a whole table.  For those, a mergeable
-sketch brackets each wanted rank, one more aggregation counts what lies below the bracket,
-and only the values inside it are ranked.  Ranks outside their bracket raise an error, so
-a result is exact or absent.
+for groups bounded by the calendar and wrong for a whole table.  For those, ranks are found by
+radix selection: a first pass counts the values by sign and power of two, each further pass cuts the part
+that holds a rank into PARTS equal parts between its smallest and largest value and counts again.  A part with one
+value, or with the rank at one of its ends, needs no further pass.  Counts are summed map-side, so
+only a few thousand per group are shuffled, whatever the size of the groups, and a result always exists.
 
 The expressions are SQL text because there is one group of them per column and quantile.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from ridgeline.functions.keys import attach
 from ridgeline.functions.numeric import quoted
+from ridgeline.functions.sizing import written
 
-SKETCH_ACCURACY = 10_000
-PARTS = 256
+PARTS = 4096
 
 
 def exact_quantiles(
@@ -26,13 +28,12 @@ def exact_quantiles(
     probs: list[float],
     by: list[str] | tuple[str, ...] = (),
     bounded: bool = False,
-    accuracy: int = SKETCH_ACCURACY,
+    parts: int = PARTS,
 ) -> DataFrame:
-    """One row per group with, for each column, the array of its quantiles.
+    """One row per group with, for each column, the array of its quantiles; NULL and NaN are left out.
 
     ``bounded=True`` states that a group is small by construction (a daily series).
-    The unbounded plan reads ``df`` three times; pass a stored frame if it is costly.  Without
-    ``by`` its first reading, the sketch, happens at once.
+    The unbounded plan reads ``df`` at once and several times, three or four as a rule; pass a stored frame if it is costly.
     """
     by = list(by)
     if bounded:
@@ -40,7 +41,7 @@ def exact_quantiles(
         return df.groupBy(*by).agg(
             *[F.expr(f"percentile(cast({quoted(c)} AS double), {fractions}) AS {quoted(c)}") for c in cols]
         )
-    return _bracketed(df, cols, probs, by, accuracy)
+    return _selected(df, cols, probs, by, parts)
 
 
 def quantile_struct(df: DataFrame, cols: list[str], probs: list[float], bounded: bool = False) -> Column:
@@ -48,97 +49,90 @@ def quantile_struct(df: DataFrame, cols: list[str], probs: list[float], bounded:
     return exact_quantiles(df, cols, probs, bounded=bounded).select(F.struct(*cols)).scalar()
 
 
-def _literal(value: float | None) -> str:
-    return "cast(NULL AS double)" if value is None else f"double('{value!r}')"
+def _ranges(rows: list[Row]) -> dict[int, tuple[str, str]]:
+    return {r["_slot"]: (f"double('{r['_lo']!r}')", f"double('{r['_hi']!r}')") for r in rows}
 
 
-def _match(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Null-safe join on ``keys`` with the key columns appearing once."""
-    renamed = right.selectExpr(*[f"{quoted(c)} AS `_k_{c}`" if c in keys else quoted(c) for c in right.columns])
-    on = " AND ".join(f"{quoted(k)} <=> `_k_{k}`" for k in keys)
-    return left.join(renamed, F.expr(on), how).drop(*[f"_k_{k}" for k in keys])
-
-
-def _bracketed(df: DataFrame, cols: list[str], probs: list[float], by: list[str], accuracy: int) -> DataFrame:
-    slack = 10.0 / accuracy
-    edges = [e for p in probs for e in (max(p - slack, 0.0), min(p + slack, 1.0))]
+def _selected(df: DataFrame, cols: list[str], probs: list[float], by: list[str], parts: int) -> DataFrame:
     keys = [quoted(b) for b in by]
-    values = df.selectExpr(*keys, *[f"cast({quoted(c)} AS double) AS {quoted(c)}" for c in cols])
-    wanted = f"array({', '.join(f'{e!r}D' for e in edges)})"
-
-    def bracket(c: str) -> str:
-        # Neighbouring ranks of a small group lie further apart than the slack: take all of it.
-        whole = ", ".join(f"min({c}), max({c})" for _ in probs)
-        return f"CASE WHEN count({c}) <= {accuracy} THEN array({whole}) ELSE percentile_approx({c}, {wanted}, {accuracy}) END AS {c}"
-
-    sketches = ", ".join(bracket(quoted(c)) for c in cols)
-    sketch = values.groupBy(*by).agg(F.expr(f"struct({sketches}) AS _edges"))
+    names = [f"_q{i}" for i in range(len(cols))]
     # A slot is one (column, quantile) pair.
-    slots = [(s, c, i) for s, (c, i) in enumerate((c, i) for c in cols for i in range(len(probs)))]
-    if by:
-        framed = _match(values, sketch, by, "left")
-        low = {s: f"_edges.{quoted(c)}[{2 * i}]" for s, c, i in slots}
-        high = {s: f"_edges.{quoted(c)}[{2 * i + 1}]" for s, c, i in slots}
-    else:
-        # Two numbers per slot, whatever the size of the frame: they become literals, which the
-        # scans below can filter on.
-        framed, found = values, sketch.first()["_edges"]
-        low = {s: _literal(found[c][2 * i]) for s, c, i in slots}
-        high = {s: _literal(found[c][2 * i + 1]) for s, c, i in slots}
-    # A bracket with equal ends is one repeated value: counting it is enough, and none of its
-    # (possibly very many) copies has to be ranked.
-    counted = ", ".join(
-        f"struct({s} AS _slot, count({quoted(c)}) AS _n, count_if({quoted(c)} < {low[s]}) AS _below, "
-        f"count_if({quoted(c)} <= {low[s]}) AS _through, first({low[s]}) AS _edge)"
-        for s, c, i in slots
-    )
-    counts = framed.groupBy(*by).agg(F.expr(f"array({counted}) AS _counts")).selectExpr(*keys, "inline(_counts)")
-    inside = ", ".join(
-        f"CASE WHEN {low[s]} < {high[s]} AND {quoted(c)} BETWEEN {low[s]} AND {high[s]} THEN struct({s} AS _slot, {quoted(c)} AS _v, "
-        f"least(floor(({quoted(c)} - {low[s]}) / ({high[s]} - {low[s]}) * {PARTS}), {PARTS - 1}) AS _part) END"
-        for s, c, i in slots
-    )
-    near = framed
-    if not by:
-        open_slots = [f"{quoted(c)} BETWEEN {low[s]} AND {high[s]}" for s, c, _ in slots if low[s] != high[s]]
-        near = framed.filter(" OR ".join(open_slots) if open_slots else "false")
-    band = near.selectExpr(*keys, f"inline(array_compact(array({inside})))")
-    band = band.groupBy(*by, "_slot", "_part", "_v").agg(F.count(F.lit(1)).alias("_copies"))
-    # Even a bracket grows with the data, so it is cut into parts.  The small table of part sizes gives
-    # each part its starting rank and tells which one or two parts hold a wanted rank: only they are ranked.
-    group = ", ".join([*keys, "_slot"])
-    sizes = band.groupBy(*by, "_slot", "_part").agg(F.sum("_copies").alias("_size"))
-    starts = sizes.selectExpr(
-        *keys, "_slot", "_part", "_size", f"sum(_size) OVER (PARTITION BY {group} ORDER BY _part) - _size AS _start"
-    )
-    fractions = f"array({', '.join(f'{float(probs[i])}D' for _, _, i in slots)})"
-    targets = counts.selectExpr("*", f"{fractions}[_slot] * (_n - 1) AS _target")
-    holding = _match(starts, targets, [*by, "_slot"], "inner").filter(
-        "_below + _start <= ceil(_target) AND _below + _start + _size > floor(_target)"
-    )
-    holding = holding.selectExpr(*keys, "_slot", "_part", "_start")
-    band = _match(band, holding, [*by, "_slot", "_part"], "inner").selectExpr(
-        *keys,
-        "_slot",
-        "_v",
-        f"_start + sum(_copies) OVER (PARTITION BY {group}, _part ORDER BY _v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _upto",
-    )
-    picked = _match(targets, band, [*by, "_slot"], "left").groupBy(
-        *by, "_slot", "_n", "_below", "_through", "_edge", "_target"
-    ).agg(
-        F.expr("min(CASE WHEN _below + _upto > floor(_target) THEN _v END) AS _lo"),
-        F.expr("min(CASE WHEN _below + _upto > ceil(_target) THEN _v END) AS _hi"),
-    )
-    solved = picked.selectExpr(
-        *keys,
-        "_slot",
-        "CASE WHEN _n = 0 THEN NULL WHEN _below <= floor(_target) AND _through > ceil(_target) THEN _edge WHEN _below > floor(_target) OR _lo IS NULL OR _hi IS NULL "
-        "THEN cast(raise_error('quantile rank outside its sketch bracket') AS double) "
-        "ELSE _lo + (_hi - _lo) * (_target - floor(_target)) END AS _q",
+    slots = [(s, i, float(p)) for s, (i, p) in enumerate((i, p) for i in range(len(cols)) for p in probs)]
+    values = df.selectExpr(
+        *keys, *[f"CASE WHEN isnan(double({quoted(c)})) THEN NULL ELSE double({quoted(c)}) END AS {n}" for c, n in zip(cols, names)]
     )
 
-    def of(c: str) -> Column:
-        mine = ", ".join(f"max(CASE WHEN _slot = {s} THEN _q END)" for s, cc, _ in slots if cc == c)
-        return F.expr(f"array({mine}) AS {quoted(c)}")
+    def pinned(state: DataFrame) -> DataFrame:
+        """The state, computed: a row per slot, of every group."""
+        if by:
+            return written(state, "quantiles")
+        return df.sparkSession.createDataFrame(state.collect(), state.schema)
+
+    def counted(long: DataFrame, unit: str) -> DataFrame:
+        """Every part's size, ends and place among the parts of its unit."""
+        sized = long.groupBy(*by, unit, "_part").agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        w = f"(PARTITION BY {', '.join([*keys, unit])} ORDER BY _part)"
+        return sized.filter("_n > 0").selectExpr("*", f"sum(_n) OVER {w} AS _upto", f"lead(_lo) OVER {w} AS _next")
+
+    def decided(found: DataFrame) -> DataFrame:
+        """From the part that holds each slot's lower rank: the values at its ranks, where they are known already."""
+        first = "CASE WHEN _lo = _hi OR _r0 = _from THEN _lo WHEN _r0 = _to - 1 THEN _hi END"
+        second = "CASE WHEN _r1 = _r0 THEN _v0 WHEN _r1 >= _to THEN _next WHEN _lo = _hi THEN _lo WHEN _r1 = _to - 1 THEN _hi END"
+        return (
+            found.filter("_from <= _r0 AND _r0 < _to")
+            .selectExpr(*keys, "_slot", "_r0", "_r1", "_share", "_from AS _below", "_lo", "_hi", "_to", "_next", f"{first} AS _v0")
+            .selectExpr(*keys, "_slot", "_r0", "_r1", "_share", "_below", "_lo", "_hi", "_v0", f"{second} AS _v1")
+        )
 
-    return solved.groupBy(*by).agg(*[of(c) for c in cols])
+    def digit(v: str) -> str:
+        return f"CASE WHEN {v} = 0 THEN 0 WHEN {v} > 0 THEN 2000 + floor(least(log2({v}), 1100D)) WHEN {v} < 0 THEN -2000 - floor(least(log2(-{v}), 1100D)) END"
+
+    items = ", ".join(f"struct({i} AS _col, {digit(n)} AS _part, {n} AS _v)" for i, n in enumerate(names))
+    powers = written(values.selectExpr(*keys, f"inline(array({items}))").groupBy(*by, "_col", "_part").agg(
+        F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+    ), "quantile-powers")
+    group = ", ".join([*keys, "_col"])
+    wanted = ", ".join(f"struct({s} AS _slot, {i} AS _of, {p!r}D AS _p)" for s, i, p in slots)
+    placed = powers.filter("_n > 0").selectExpr(
+        *keys, "_col", "_lo", "_hi", f"sum(_n) OVER (PARTITION BY {group} ORDER BY _part) - _n AS _from", f"sum(_n) OVER (PARTITION BY {group} ORDER BY _part) AS _to",
+        f"sum(_n) OVER (PARTITION BY {group}) AS _all", f"lead(_lo) OVER (PARTITION BY {group} ORDER BY _part) AS _next",
+    )
+    ranked = placed.selectExpr("*", f"inline(array({wanted}))").filter("_of = _col").selectExpr("*", "_p * (_all - 1) AS _at").selectExpr("*", "cast(floor(_at) AS bigint) AS _r0", "cast(ceil(_at) AS bigint) AS _r1", "_at - floor(_at) AS _share")
+    state = pinned(decided(ranked))
+    done = []
+    is_open = F.col("_v0").isNull() | F.col("_v1").isNull()
+    while True:
+        done.append(state.filter(~is_open))
+        rest = state.filter(is_open)
+        left = rest.select("_slot", "_lo", "_hi").collect() if not by else rest.select("_slot").distinct().collect()
+        if not left:
+            break
+        column = {s: names[i] for s, i, _ in slots}
+        open_slots = sorted({r["_slot"] for r in left})
+        if by:
+            edges = [x for s in open_slots for x in (F.max(F.when(F.col("_slot") == s, F.col("_lo"))).alias(f"_lo{s}"), F.max(F.when(F.col("_slot") == s, F.col("_hi"))).alias(f"_hi{s}"))]
+            near = attach(values, written(rest.groupBy(*by).agg(*edges), "quantile-edges"), by)
+            ends = {s: (f"_lo{s}", f"_hi{s}") for s in open_slots}
+        else:
+            # Two numbers per slot, whatever the size of the frame: literals, which the scan can filter on.
+            ends = _ranges(left)
+            near = values.filter(" OR ".join(f"{column[s]} BETWEEN {lo} AND {hi}" for s, (lo, hi) in ends.items()))
+        cells = ", ".join(
+            f"CASE WHEN {column[s]} BETWEEN {lo} AND {hi} THEN struct({s} AS _slot, least(floor(({column[s]} - {lo}) / ({hi} - {lo}) * {parts}), {parts - 1}) AS _part, {column[s]} AS _v) END"
+            for s, (lo, hi) in ends.items()
+        )
+        parted = counted(near.selectExpr(*keys, f"inline(array_compact(array({cells})))"), "_slot")
+        known = rest.select(*by, "_slot", "_r0", "_r1", "_share", "_below")
+        met = attach(parted, known, [*by, "_slot"]).withColumns({"_from": F.col("_below") + F.col("_upto") - F.col("_n"), "_to": F.col("_below") + F.col("_upto")})
+        state = pinned(decided(met))
+    every = done[0].select(*by, "_slot", "_share", "_v0", "_v1")
+    for more in done[1:]:
+        every = every.union(more.select(*by, "_slot", "_share", "_v0", "_v1"))
+    nothing = [F.lit(None).cast("double").alias(c) for c in ("_share", "_v0", "_v1")]
+    every = every.union(powers.select(*by, F.lit(-1).alias("_slot"), *nothing).distinct())
+
+    def of(i: int) -> Column:
+        mine = ", ".join(f"max(CASE WHEN _slot = {s} THEN CASE WHEN _v0 = _v1 THEN _v0 ELSE _v0 + (_v1 - _v0) * _share END END)" for s, k, _ in slots if k == i)
+        return F.expr(f"array({mine}) AS {quoted(cols[i])}")
+
+    return every.groupBy(*by).agg(*[of(i) for i in range(len(cols))])

@@ -19,16 +19,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ridgeline.functions.keys import attach
 from ridgeline.functions.sizing import durable
 from ridgeline.panel import Panel, so_far
 
-POS = "pos"
-SEGMENT = "_segment"
-_ROW = "_row"
-_PART = "_part"
+# Names of the columns that live inside an operator; no column of a caller's is read or replaced by them.
+POS = "_ridgeline_pos"
+SEGMENT = "_ridgeline_segment"
+_ROW = "_ridgeline_row"
+_PART = "_ridgeline_part"
 
 
-def number_rows(df: DataFrame, panel: Panel, name: str = POS) -> DataFrame:
+def number_rows(df: DataFrame, panel: Panel, name: str = "pos") -> DataFrame:
     """Add the 0-based position of each row inside its series."""
     if not panel.long:
         return df.withColumn(name, (F.row_number().over(panel.window()) - 1).cast("long"))
@@ -45,21 +47,12 @@ def number_rows(df: DataFrame, panel: Panel, name: str = POS) -> DataFrame:
     earlier = Window.partitionBy(*panel.series).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select(*group, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     return (
-        _join(placed, starts, group)
+        attach(placed, starts, group, "left")
         .withColumn(name, F.col(_ROW) - F.col("_first") + F.col("_start"))
         .drop(_ROW, _PART, "_first", "_start")
     )
 
 
-def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Equi-join that keeps NULL series keys, with the key columns appearing once."""
-    renamed = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(renamed[f"_r_{k}"])
-    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
-
-
 def series_length(df: DataFrame, panel: Panel, name: str = "n") -> DataFrame:
     """Add the number of rows of each row's series."""
     if not panel.long:
@@ -68,28 +61,22 @@ def series_length(df: DataFrame, panel: Panel, name: str = "n") -> DataFrame:
         total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
         return df.withColumn(name, total)
     sizes = df.groupBy(*panel.series).agg(F.count(F.lit(1)).alias(name))
-    return _join(df, sizes, list(panel.series))
+    return attach(df, sizes, list(panel.series), "left")
 
 
 def _segment_of(panel: Panel) -> Column:
     return F.floor(F.col(POS) / F.lit(panel.segment_rows))
 
 
-def over_rows(
-    df: DataFrame,
-    panel: Panel,
-    build: Callable[[WindowSpec], dict[str, Column]],
-    back: int = 0,
-    ahead: int = 0,
-) -> DataFrame:
-    """Add columns computed over at most ``back`` earlier and ``ahead`` later rows."""
+def with_halo(df: DataFrame, panel: Panel, back: int = 0, ahead: int = 0) -> DataFrame:
+    """The rows of every segment and, again, those up to ``back`` before and ``ahead`` after it: a column for the segment,
+    one for the position, and ``_home`` for a segment's own rows.  A daily series is one segment."""
+    placed = df if POS in df.columns else number_rows(df, panel, POS)
     if not panel.long:
-        return df.withColumns(build(panel.window()))
+        return placed.withColumns({SEGMENT: F.lit(0).cast("long"), "_home": F.lit(True)})
     size = panel.segment_rows
     if back > size or ahead > size:
         raise ValueError(f"segment_rows={size} is shorter than the reach ({back} back, {ahead} ahead)")
-    given_pos = POS in df.columns
-    placed = df if given_pos else number_rows(df, panel)
     home, offset = _segment_of(panel), F.col(POS) % F.lit(size)
     copies = [home]
     if back:
@@ -97,8 +84,23 @@ def over_rows(
     if ahead:
         copies.append(F.when((offset < ahead) & (home > 0), home - 1))
     spread = placed.withColumn(SEGMENT, F.explode(F.array_compact(F.array(*copies))))
+    return spread.withColumn("_home", F.col(SEGMENT) == home)
+
+
+def over_rows(
+    df: DataFrame,
+    panel: Panel,
+    build: Callable[[WindowSpec], dict[str, Column]],
+    back: int = 0,
+    ahead: int = 0,
+) -> DataFrame:
+    """Add columns computed over at most ``back`` earlier and ``ahead`` later rows."""
+    if not panel.long:
+        return df.withColumns(build(panel.window()))
+    given_pos = POS in df.columns
+    spread = with_halo(df, panel, back, ahead)
     w = Window.partitionBy(*panel.series, SEGMENT).orderBy(POS)
-    out = spread.withColumns(build(w)).filter(F.col(SEGMENT) == home).drop(SEGMENT)
+    out = spread.withColumns(build(w)).filter("_home").drop(SEGMENT, "_home")
     return out if given_pos else out.drop(POS)
 
 
@@ -108,12 +110,12 @@ def running_sum(df: DataFrame, panel: Panel, sums: dict[str, str]) -> DataFrame:
         w = so_far(panel.window())
         return df.withColumns({n: F.when(F.col(c).isNotNull(), F.sum(c).over(w)) for n, c in sums.items()})
     given_pos = POS in df.columns
-    placed = (df if given_pos else number_rows(df, panel)).withColumn(SEGMENT, _segment_of(panel))
+    placed = (df if given_pos else number_rows(df, panel, POS)).withColumn(SEGMENT, _segment_of(panel))
     group = [*panel.series, SEGMENT]
     totals = placed.groupBy(*group).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     earlier = Window.partitionBy(*panel.series).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(*group, *[F.sum(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in sums])
-    joined = _join(placed, carried, group)
+    joined = attach(placed, carried, group, "left")
     w = so_far(Window.partitionBy(*group).orderBy(POS))
     out = joined.withColumns(
         {
@@ -129,12 +131,12 @@ BOTH = ("prev", "next")
 
 def with_neighbours(df: DataFrame, panel: Panel, cols: list[str], sides: tuple[str, ...] = BOTH) -> DataFrame:
     """Add ``_prev_c`` / ``_next_c``: the nearest known value at or before / at or after
-    each row as ``struct(pos, v)``, and the row's own ``pos``.
+    each row as ``struct(pos, v)``, and the row's own position.
 
     Looking forward is a running frame over the reversed order: a frame that ends at
     unbounded following would be re-read for every row.
     """
-    placed = df if POS in df.columns else number_rows(df, panel)
+    placed = df if POS in df.columns else number_rows(df, panel, POS)
     known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(POS).alias("pos"), F.col(c).alias("v"))) for c in cols}
     if not panel.long:
         order = {"prev": panel.window(), "next": panel.latest_first()}
@@ -157,7 +159,7 @@ def with_neighbours(df: DataFrame, panel: Panel, cols: list[str], sides: tuple[s
             for c in cols
         ],
     )
-    joined = _join(placed, carried, group)
+    joined = attach(placed, carried, group, "left")
     inside = Window.partitionBy(*group)
     inner = {"prev": inside.orderBy(POS), "next": inside.orderBy(F.col(POS).desc())}
     near = {

@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.keys import attach
-from ridgeline.operators.segments import number_rows, series_length
+from ridgeline.operators.segments import POS, number_rows, series_length
 from ridgeline.panel import NATIONAL, Panel
 
+LENGTH = "_ridgeline_length"
+
 
 def positioned(df: DataFrame, panel: Panel = NATIONAL) -> DataFrame:
-    """Add the 0-based ``pos`` of each row in its series and the series length ``n``."""
-    return series_length(number_rows(df, panel), panel)
+    """Add the 0-based position of each row in its series (POS) and the length of the series (LENGTH)."""
+    return series_length(number_rows(df, panel, POS), panel, LENGTH)
 
 
 def split_by_date(
@@ -24,10 +26,10 @@ def split_by_date(
 ) -> DataFrame:
     """Add ``role``: the last ``test_size`` of each series is test, the tail of the rest is val."""
     placed = positioned(df, panel)
-    test_from = F.floor(F.col("n") * F.lit(1 - test_size))
+    test_from = F.floor(F.col(LENGTH) * F.lit(1 - test_size))
     val_from = F.floor(test_from * F.lit(1 - val_size))
-    role = F.when(F.col("pos") >= test_from, "test").when(F.col("pos") >= val_from, "val").otherwise("train")
-    return placed.withColumn("role", role).drop("pos", "n")
+    role = F.when(F.col(POS) >= test_from, "test").when(F.col(POS) >= val_from, "val").otherwise("train")
+    return placed.withColumn("role", role).drop(POS, LENGTH)
 
 
 def train_and_val(split: DataFrame) -> DataFrame:
@@ -54,15 +56,15 @@ def _explode_folds(df: DataFrame, n_splits: int, role_of) -> DataFrame:
 
 def expanding_folds(df: DataFrame, panel: Panel = NATIONAL, n_splits: int = 5, gap: int = 0) -> DataFrame:
     """Fold i trains on everything before block i+1 and tests on the next block after the gap."""
-    placed = positioned(df, panel).withColumn("_size", F.floor(F.col("n") / F.lit(n_splits + 1)))
+    placed = positioned(df, panel).withColumn("_size", F.floor(F.col(LENGTH) / F.lit(n_splits + 1)))
 
     def role_of(i: Column) -> Column:
         train_end = (i + 1) * F.col("_size")
         start = train_end + gap
-        test = (F.col("pos") >= start) & (F.col("pos") < start + F.col("_size"))
-        return F.when(start >= F.col("n"), None).when(F.col("pos") < train_end, "train").when(test, "test")
+        test = (F.col(POS) >= start) & (F.col(POS) < start + F.col("_size"))
+        return F.when(start >= F.col(LENGTH), None).when(F.col(POS) < train_end, "train").when(test, "test")
 
-    return _explode_folds(placed, n_splits, role_of).drop("_size", "pos", "n")
+    return _explode_folds(placed, n_splits, role_of).drop("_size", POS, LENGTH)
 
 
 def sliding_folds(
@@ -70,18 +72,18 @@ def sliding_folds(
 ) -> DataFrame:
     """Fold i trains on a fixed window that advances by one step and tests on the next step."""
     placed = positioned(df, panel).withColumn(
-        "_step", F.floor((F.col("n") - F.lit(window_size)) / F.lit(n_splits))
+        "_step", F.floor((F.col(LENGTH) - F.lit(window_size)) / F.lit(n_splits))
     )
 
     def role_of(i: Column) -> Column:
         train_start = i * F.col("_step")
         train_end = train_start + window_size
         start = train_end + gap
-        train = (F.col("pos") >= train_start) & (F.col("pos") < train_end)
-        test = (F.col("pos") >= start) & (F.col("pos") < start + F.col("_step"))
-        return F.when(start >= F.col("n"), None).when(train, "train").when(test, "test")
+        train = (F.col(POS) >= train_start) & (F.col(POS) < train_end)
+        test = (F.col(POS) >= start) & (F.col(POS) < start + F.col("_step"))
+        return F.when(start >= F.col(LENGTH), None).when(train, "train").when(test, "test")
 
-    return _explode_folds(placed, n_splits, role_of).drop("_step", "pos", "n")
+    return _explode_folds(placed, n_splits, role_of).drop("_step", POS, LENGTH)
 
 
 def calendar_folds(
@@ -111,14 +113,35 @@ def calendar_folds(
     return attach(folds, tested, [*panel.series, "fold"], "left_semi")
 
 
+def _origins(df: DataFrame, panel: Panel, initial: int, period: int, horizon: int) -> DataFrame:
+    """(series, _last, _steps): cutoffs lie horizon + k * period days before the last date, for k = 0 ... _steps."""
+    span = df.groupBy(*panel.series).agg(F.min(panel.order).alias("_first"), F.max(panel.order).alias("_last"))
+    steps = F.floor((F.datediff("_last", "_first") - initial - horizon) / F.lit(period)).cast("int")
+    return span.select(*panel.series, "_last", steps.alias("_steps")).filter("_steps >= 0")
+
+
 def rolling_origin_cutoffs(
     df: DataFrame, panel: Panel, initial: int = 180, period: int = 30, horizon: int = 30
 ) -> DataFrame:
     """(series, cutoff): every ``period`` days back from the last date minus the horizon, while
     at least ``initial`` days of history remain."""
-    span = df.groupBy(*panel.series).agg(F.min(panel.order).alias("_first"), F.max(panel.order).alias("_last"))
-    steps = F.floor((F.datediff("_last", "_first") - initial - horizon) / F.lit(period)).cast("int")
-    back = F.when(steps >= 0, F.sequence(F.lit(0), steps)).otherwise(F.array().cast("array<int>"))
-    return span.select(*panel.series, "_last", F.explode(back).alias("_k")).select(
-        *panel.series, F.date_add("_last", -(F.lit(horizon) + F.col("_k") * period)).alias("cutoff")
-    )
+    placed = _origins(df, panel, initial, period, horizon).withColumn("_k", F.explode(F.sequence(F.lit(0), "_steps")))
+    return placed.select(*panel.series, F.date_add("_last", -(F.lit(horizon) + F.col("_k") * period)).alias("cutoff"))
+
+
+def rolling_origin_tests(
+    df: DataFrame, panel: Panel, initial: int = 180, period: int = 30, horizon: int = 30
+) -> DataFrame:
+    """The rows of the ``horizon`` days after each cutoff, with their ``cutoff``; a row meets the few cutoffs that it
+    follows this closely, whatever the number of cutoffs."""
+    origins = _origins(df, panel, initial, period, horizon)
+    if panel.series:
+        placed = attach(df, origins, panel.series)
+    else:
+        placed = df.withColumn("_o", origins.select(F.struct("_last", "_steps")).scalar()).select("*", "_o.*").drop("_o")
+    back = F.datediff("_last", F.col(panel.order))
+    low = F.greatest(F.ceil((back - horizon + 1) / F.lit(period)), F.lit(0)).cast("int")
+    high = F.least(F.floor(back / F.lit(period)), F.col("_steps")).cast("int")
+    met = placed.withColumn("_k", F.explode(F.when(low <= high, F.sequence(low, high))))
+    cutoff = F.date_add("_last", -(F.lit(horizon) + F.col("_k") * period))
+    return met.withColumn("cutoff", cutoff).drop("_last", "_steps", "_k")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ridgeline.functions.sizing import written
 from ridgeline.operators import ensemble as en
 from ridgeline.operators import evaluate as ev
 from ridgeline.operators.baselines import baselines
@@ -17,6 +18,11 @@ MODELS = ["naive", "seasonal", "ma7"]
 PLAIN = {"naive": 0.3, "seasonal": 0.4, "ma7": 0.3}
 
 
+def stored_predictions(spark, sf):
+    """Predictions that weights, combinations and metrics all read: computed once."""
+    return written(predictions(spark, sf), "predictions")
+
+
 @query("align_predictions", sql(f"SELECT state, date, y_true, naive, seasonal, {r('ma7')} FROM state_base", "state_base"))
 def align_predictions(spark, sf):
     return rounded(en.align_predictions(state_predictions(spark, sf), MODELS, BY_STATE))
@@ -37,7 +43,7 @@ def weights_inverse_rmse(spark, sf):
 
 @query("ensemble_predict", sql(f"SELECT date, model, y_true, {r('y_pred')} FROM ens", "ens"))
 def ensemble_predict(spark, sf):
-    preds = predictions(spark, sf)
+    preds = stored_predictions(spark, sf)
     return rounded(en.ensemble_predict(preds, en.weights_inverse_rmse(preds)))
 
 
@@ -54,7 +60,7 @@ _all = {"al": "SELECT date, model, y_true, y_pred FROM preds UNION ALL SELECT da
 
 @query("evaluate_models", sql("SELECT * FROM m", "preds", "ens", extra=_all))
 def evaluate_models(spark, sf):
-    preds = predictions(spark, sf)
+    preds = stored_predictions(spark, sf)
     return rounded(en.evaluate_models(preds, en.weights_inverse_rmse(preds)))
 
 
@@ -106,7 +112,7 @@ def stacking(spark, sf):
 
 @query("stacking_predict", sql(f"SELECT date, 'stacking' AS model, y_true, {r('(sy - wa * sa - wb * sb - wc * sc) / n + wa * naive + wb * seasonal + wc * ma7', 'y_pred')} FROM base, cf", "base", extra=_cov))
 def stacking_predict(spark, sf):
-    preds = predictions(spark, sf)
+    preds = stored_predictions(spark, sf)
     return rounded(en.stacking_predict(preds, en.stacking_fit(preds, MODELS)))
 
 
@@ -115,21 +121,23 @@ _A, _B, _C = "naive", "seasonal", "ma7"
 
 
 def _edge(p: str, q: str) -> str:
-    t = f"sum((y_true - {q}) * ({p} - {q})) / nullif(sum(({p} - {q}) * ({p} - {q})), 0)"
-    return f"greatest(least(coalesce({t}, 1), 1), 0)"
+    return f"greatest(least((sum((y_true - {q}) * ({p} - {q})) + any_value(r)) / nullif(sum(({p} - {q}) * ({p} - {q})) + 2 * any_value(r), 0), 1), 0)"
 
 
 def _loss(w: str) -> str:
-    return f"sum(pow(y_true - {w}[1] * naive - {w}[2] * seasonal - {w}[3] * ma7, 2))"
+    return f"sum(pow(y_true - {w}[1] * naive - {w}[2] * seasonal - {w}[3] * ma7, 2)) + any_value(r) * ({w}[1] * {w}[1] + {w}[2] * {w}[2] + {w}[3] * {w}[3])"
 
 
 _simplex = {
-    "e": f"SELECT state, {_edge(_A, _B)} AS tab, {_edge(_A, _C)} AS tac, {_edge(_B, _C)} AS tbc, sum((naive - ma7) * (naive - ma7)) AS p, sum((naive - ma7) * (seasonal - ma7)) AS q, "
-    "sum((seasonal - ma7) * (seasonal - ma7)) AS s, sum((naive - ma7) * (y_true - ma7)) AS u, sum((seasonal - ma7) * (y_true - ma7)) AS v FROM state_base GROUP BY 1",
-    "f": "SELECT *, (u * s - q * v) / (p * s - q * q) AS wa, (p * v - q * u) / (p * s - q * q) AS wb FROM e",
-    "h": "SELECT state, [wa, wb, 1 - wa - wb] AS free, [tab, 1 - tab, 0] AS ab, [tac, 0, 1 - tac] AS ac, [0, tbc, 1 - tbc] AS bc FROM f",
-    "l": f"SELECT state, any_value(free) AS free, any_value(ab) AS ab, any_value(ac) AS ac, any_value(bc) AS bc, {_loss('ab')} AS lab, {_loss('ac')} AS lac, {_loss('bc')} AS lbc FROM state_base JOIN h USING (state) GROUP BY state, free, ab, ac, bc",
-    "b": "SELECT state, CASE WHEN free[1] >= 0 AND free[2] >= 0 AND free[3] >= 0 THEN free WHEN lab <= lac AND lab <= lbc THEN ab WHEN lac <= lbc THEN ac ELSE bc END AS w FROM l",
+    "n": f"SELECT state, {en.NUDGE} * sum(naive * naive + seasonal * seasonal + ma7 * ma7) / 3 AS r FROM state_base GROUP BY 1",
+    "e": f"SELECT state, any_value(r) AS r, {_edge(_A, _B)} AS tab, {_edge(_A, _C)} AS tac, {_edge(_B, _C)} AS tbc, sum((naive - ma7) * (naive - ma7)) + 2 * any_value(r) AS p, "
+    "sum((naive - ma7) * (seasonal - ma7)) + any_value(r) AS q, sum((seasonal - ma7) * (seasonal - ma7)) + 2 * any_value(r) AS s, "
+    "sum((naive - ma7) * (y_true - ma7)) + any_value(r) AS u, sum((seasonal - ma7) * (y_true - ma7)) + any_value(r) AS v FROM state_base JOIN n USING (state) GROUP BY 1",
+    "f": "SELECT *, (u * s - q * v) / nullif(p * s - q * q, 0) AS wa, (p * v - q * u) / nullif(p * s - q * q, 0) AS wb FROM e",
+    "h": "SELECT state, r, [wa, wb, 1 - wa - wb] AS free, [tab, 1 - tab, 0] AS ab, [tac, 0, 1 - tac] AS ac, [0, tbc, 1 - tbc] AS bc FROM f",
+    "l": f"SELECT state, any_value(r) AS r, any_value(free) AS free, any_value(ab) AS ab, any_value(ac) AS ac, any_value(bc) AS bc, {_loss('ab')} AS lab, {_loss('ac')} AS lac, {_loss('bc')} AS lbc FROM state_base JOIN h USING (state) GROUP BY state, free, ab, ac, bc",
+    # Models that are zero throughout leave nothing to choose: equal weights.
+    "b": "SELECT state, CASE WHEN r = 0 THEN [1 / 3.0::DOUBLE, 1 / 3.0::DOUBLE, 1 / 3.0::DOUBLE] WHEN free[1] >= 0 AND free[2] >= 0 AND free[3] >= 0 THEN free WHEN lab <= lac AND lab <= lbc THEN ab WHEN lac <= lbc THEN ac ELSE bc END AS w FROM l",
 }
 
 
@@ -157,6 +165,6 @@ _h = {"ahead": " UNION ALL ".join(f"SELECT date, model, y_pred, {h} AS horizon,
     ),
 )
 def ensemble_report(spark, sf):
-    preds = predictions(spark, sf)
+    preds = stored_predictions(spark, sf)
     weights = en.weights_inverse_rmse(preds)
     return rounded(en.ensemble_report(weights, en.evaluate_models(preds, weights), ev.metrics_by_horizon(preds)))

@@ -25,11 +25,7 @@ def state_cases(spark, sf):
 
 
 def joined_panel(spark, sf):
-    return (
-        views.cases_by_state(spark, sf)
-        .join(views.mobility(spark, sf), ["state", "date"], "left")
-        .join(views.weather(spark, sf), ["state", "date"], "left")
-    )
+    return views.cases_by_state(spark, sf).join(views.mobility_and_weather(spark, sf), ["state", "date"], "left")
 
 
 @query("national_daily", sql(f"SELECT date, new_cases, {r(f'avg(new_cases) OVER (ORDER BY date {last_k(7)})', 'new_cases_7day_avg')}, lag(new_cases, 7) OVER (ORDER BY date) AS new_cases_lag_7 FROM daily", "daily"))

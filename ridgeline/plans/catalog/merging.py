@@ -15,36 +15,40 @@ NUM = ["new_cases", "new_deaths", "confirmed", "deaths"]
 
 
 def raw_mobility(spark, sf):
-    """One row per line item with its state and the one measure it belongs to."""
+    """One row per line item with its supplier and the one measure it belongs to."""
     measures = [
         F.when((F.col("l_returnflag") == f) & (F.col("l_linestatus") == s), F.col("l_quantity")).alias(n)
         for n, (f, s) in zip(MOBILITY, views.MOBILITY_FLAGS)
     ]
-    lines = views.table(spark, sf, "lineitem").select(
-        F.col("l_suppkey").alias("s_suppkey"), views.day("l_shipdate").alias("date"), *measures
-    )
+    return views.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), views.day("l_shipdate").alias("date"), *measures)
+
+
+def supplier_states(spark, sf):
     supplier = views.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
-    return lines.join(supplier, "s_suppkey").join(views.nations(spark, sf, "s_nationkey"), "s_nationkey").select("state", "date", *MOBILITY)
+    return supplier.join(views.nations(spark, sf, "s_nationkey"), "s_nationkey").select("s_suppkey", "state")
+
+
+def mobility_by_state(spark, sf):
+    return clean.daily_by_state(raw_mobility(spark, sf), lookup=supplier_states(spark, sf), key="s_suppkey")
 
 
 @query("daily_by_state", sql(f"SELECT state, date, {rs(MOB)} FROM mobility", "mobility"))
 def daily_by_state(spark, sf):
-    return rounded(clean.daily_by_state(raw_mobility(spark, sf)))
+    return rounded(mobility_by_state(spark, sf))
 
 
 @query("national_mean_of_means", sql(f"SELECT date, {rs(MOB)} FROM mob_nat", "mob_nat"))
 def national_mean_of_means(spark, sf):
-    return rounded(clean.daily_mean(clean.daily_by_state(raw_mobility(spark, sf))))
+    return rounded(clean.daily_mean(mobility_by_state(spark, sf)))
+
+
+def national_row_mean_raw(spark, sf):
+    return clean.daily_mean(raw_mobility(spark, sf))
 
 
 @query("national_row_mean", sql(f"SELECT date, {rs(MOB)} FROM mob_row", "mob_row"))
 def national_row_mean(spark, sf):
-    lines = views.table(spark, sf, "lineitem")
-    measures = [
-        F.when((F.col("l_returnflag") == f) & (F.col("l_linestatus") == s), F.col("l_quantity")).alias(n)
-        for n, (f, s) in zip(MOBILITY, views.MOBILITY_FLAGS)
-    ]
-    return rounded(clean.daily_mean(lines.select(views.day("l_shipdate").alias("date"), *measures)))
+    return rounded(national_row_mean_raw(spark, sf))
 
 
 @query("population_share", sql(f"SELECT state, population_millions, population_millions * 0.5::DOUBLE AS population_density_estimate, {r('pop_proportion', digits=9)} FROM share", "share"))
@@ -72,10 +76,6 @@ def merge_outer(spark, sf):
     return rounded(merge.merge_outer(views.cases(spark, sf), national_row_mean_raw(spark, sf)))
 
 
-def national_row_mean_raw(spark, sf):
-    return clean.daily_mean(raw_mobility(spark, sf))
-
-
 @query("merge_inner", sql(f"SELECT date, {', '.join(NUM)}, {rs(MOB)} FROM inner_merged", "inner_merged"))
 def merge_inner(spark, sf):
     return rounded(merge.merge_on_date(views.cases(spark, sf), clean.daily_mean(views.mobility(spark, sf))))

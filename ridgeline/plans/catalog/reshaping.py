@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ridgeline.functions.sizing import scratch_path
+from ridgeline.functions.sizing import scratch_path, written
 from ridgeline.operators import merge
 from ridgeline.operators.ensemble import weights_inverse_rmse
 from ridgeline.plans import views
 from ridgeline.plans.catalog import query, rounded
 from ridgeline.plans.catalog.exploring import predictions
-from ridgeline.plans.oracle import MOB, WX, r, rs, sql
-from ridgeline.sources import readers, writers
+from ridgeline.plans.oracle import MOB, WX, fill_sql, r, rs, sql
+from ridgeline.sources import readers, stages, writers
 
 # The day columns of the wide stand-in: the first of every month from the first to the last order.
 # Two-digit years are read as 20xx, so the stand-in is dated 25 years after the orders.
@@ -174,3 +174,55 @@ def sink_panel(spark, sf):
     writers.write_panel(views.daily_cases_by_state(spark, sf), path, "state", 8)
     stored = writers.reuse_or_build(spark, path, lambda: views.daily_cases_by_state(spark, sf))
     return stored.select("state", "date", "new_cases", "new_deaths")
+
+
+def _stage_of(spark, sf, min_cases):
+    """Daily national cases above a threshold, as a content-addressed stage; the marker tells which call built it."""
+
+    def build(min_cases):
+        return views.daily_cases(spark, sf).filter(F.col("new_cases") >= min_cases)
+
+    return lambda root: stages.stage(spark, root, "daily", build, [f"{sf}/orders.parquet"], {"min_cases": min_cases})
+
+
+_from = "SELECT date, new_cases, new_deaths FROM daily WHERE new_cases >= {}"
+
+
+@query("stage_built", sql(_from.format(2), "daily"))
+def stage_built(spark, sf):
+    return _stage_of(spark, sf, 2)(scratch_path(spark, "stages"))
+
+
+@query("stage_reused", sql(f"SELECT 2 AS folders, * FROM ({_from.format(1)} UNION ALL {_from.format(2)} UNION ALL {_from.format(1)})", "daily"))
+def stage_reused(spark, sf):
+    """Two settings of a stage, one of them asked for twice: the second time it is read, so two folders are there."""
+    root = scratch_path(spark, "stages")
+    asked = [_stage_of(spark, sf, n)(root) for n in (1, 2, 1)]
+    folders = len({p.rsplit("/", 2)[1] for p, _, _ in stages.files_under(spark, root)})
+    return merge.union_states(asked).select(F.lit(folders).alias("folders"), "date", "new_cases", "new_deaths")
+
+
+@query("folder_of_files", sql("SELECT state, date, new_cases, CASE WHEN state < 'NATION_2' THEN new_deaths END AS new_deaths FROM state_daily", "state_daily"))
+def folder_of_files(spark, sf):
+    """One CSV file per state, delivered in two parts of different columns and taken in twice, each file once."""
+    folder, store = scratch_path(spark, "delivered"), scratch_path(spark, "taken")
+    cases = written(views.daily_cases_by_state(spark, sf), "cases")
+    schema = "state string, date date, new_cases long, new_deaths long"
+    early = F.col("state") < "NATION_2"
+    parts = [cases.filter(early).select("new_deaths", "date", "state", "new_cases"), cases.filter(~early).select("state", "date", "new_cases")]
+    for i, part in enumerate(parts):
+        part.withColumn("file", F.col("state")).repartition("file").write.partitionBy("file").option("header", True).csv(f"{folder}/{i}")
+        taken = stages.take_in(spark, folder, store, schema)
+    return stages.take_in(spark, folder, store, schema).drop("source_file")
+
+
+@query("optional_sources", sql(f"SELECT date, new_cases, new_deaths, confirmed, deaths, {rs(WX, 9)} FROM f", "cases", "wx_nat", extra={"m": "SELECT * FROM cases LEFT JOIN wx_nat USING (date)", "f": fill_sql("m", ["date"], ["new_cases", "new_deaths", "confirmed", "deaths", *WX])}))
+def optional_sources(spark, sf):
+    """Cases as CSV and weather as Parquet are there, mobility is not: what exists is read, merged and stored."""
+    root = scratch_path(spark, "sources")
+    writers.write_csv(views.cases(spark, sf), f"{root}/cases.csv")
+    writers.write_table(views.weather(spark, sf), f"{root}/weather")
+    paths = {"cases": f"{root}/cases.csv", "mobility": f"{root}/mobility.csv", "weather": f"{root}/weather"}
+    schemas = {"cases": "date date, new_cases long, new_deaths long, confirmed long, deaths long", "mobility": "date date"}
+    out = stages.load_and_merge(spark, paths, schemas, merge.master_dataset, f"{root}/master")
+    return rounded(out.select("date", "new_cases", "new_deaths", "confirmed", "deaths", *WX), 9)

@@ -177,3 +177,24 @@ def _one_metric(name: str):
 _state_metrics = {"sm": metrics_sql("state_preds", ["state", "model"], ["state", "model"])}
 for _name in ("mae", "rmse", "mape", "mda", "r2"):
     query(_name, sql(f"SELECT state, model, {_name} FROM sm", "state_preds", extra=_state_metrics))(_one_metric(_name))
+
+
+_ad = {
+    "res": "SELECT model, y_true - y_pred AS e FROM preds",
+    "rk": "SELECT model, e, row_number() OVER (PARTITION BY model ORDER BY e) AS i, count(*) OVER (PARTITION BY model) AS n, (e - avg(e) OVER (PARTITION BY model)) / nullif(stddev_samp(e) OVER (PARTITION BY model), 0) AS x FROM res",
+    "zs": "SELECT *, least(abs(x), 9) AS z FROM rk",
+    "tl": f"SELECT *, CASE WHEN x IS NOT NULL THEN greatest(greatest(1 - sqrt(2 / pi()) * z * exp(-z * z / 2) * {_tail}, 0) / 2, {ev.SMALLEST_TAIL}) END AS tail FROM zs",
+    "ad": "SELECT model, n, -n - sum((2 * i - 1) * ln(CASE WHEN x > 0 THEN 1 - tail ELSE tail END) + (2 * (n - i) + 1) * ln(CASE WHEN x <= 0 THEN 1 - tail ELSE tail END)) / n AS a2 FROM tl GROUP BY 1, 2",
+    "st": "SELECT *, a2 * (1 + 0.75 / n + 2.25 / (n * n)) AS a FROM ad",
+}
+
+
+@query(
+    "anderson_darling",
+    sql(
+        f"SELECT model, n, {r('a2', 'anderson_darling')}, {r('CASE WHEN a IS NOT NULL THEN least(CASE WHEN a >= 10 THEN 3.7e-24 WHEN a >= 0.6 THEN exp(1.2937 - 5.709 * a + 0.0186 * a * a) WHEN a > 0.34 THEN exp(0.9177 - 4.279 * a - 1.38 * a * a) WHEN a > 0.2 THEN 1 - exp(-8.318 + 42.796 * a - 59.938 * a * a) ELSE 1 - exp(-13.436 + 101.14 * a - 223.73 * a * a) END, 1) END', 'p_value')} FROM st",
+        "preds", extra=_ad,
+    ),
+)
+def anderson_darling(spark, sf):
+    return rounded(ev.anderson_darling(predictions(spark, sf)))

@@ -85,37 +85,54 @@ def _shipments(spark: SparkSession, sf_dir: str, cols: list[str], partial: dict[
     return _by_nation(lines, supplier, "s_suppkey", "s_nationkey", nations(spark, sf_dir, "s_nationkey"), partial)
 
 
-def mobility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(state, date) with six conditional means, NULL where no line has those flags."""
+def _mobility_sums() -> dict[str, Column]:
     partial = {}
     for name, (flag, status) in zip(MOBILITY, MOBILITY_FLAGS):
         hit = (F.col("l_returnflag") == flag) & (F.col("l_linestatus") == status)
         partial[f"_s_{name}"] = F.when(hit, F.col("l_quantity")).otherwise(0.0)
         partial[f"_n_{name}"] = hit.cast("long")
-    sums = _shipments(spark, sf_dir, ["l_quantity", "l_returnflag", "l_linestatus"], partial)
-    means = [F.try_divide(F.col(f"_s_{n}"), F.col(f"_n_{n}")).alias(n) for n in MOBILITY]
-    return sums.select("state", "date", *means)
+    return partial
 
 
-def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(state, date) with temperature, precipitation and humidity stand-ins.
+def _mobility_means() -> list[Column]:
+    return [F.try_divide(F.col(f"_s_{n}"), F.col(f"_n_{n}")).alias(n) for n in MOBILITY]
 
-    Rates are summed in whole hundredths, so thresholds never depend on the order of additions.
-    """
-    partial = {
+
+def _weather_sums() -> dict[str, Column]:
+    """Rates are summed in whole hundredths, so thresholds never depend on the order of additions."""
+    return {
         "_t": F.col("l_quantity"),
         "_p": F.round(F.col("l_discount") * 100).cast("long"),
         "_h": F.round(F.col("l_tax") * 100).cast("long"),
         "_n": F.lit(1).cast("long"),
     }
-    sums = _shipments(spark, sf_dir, ["l_quantity", "l_discount", "l_tax"], partial)
-    return sums.select(
-        "state",
-        "date",
+
+
+def _weather_means() -> list[Column]:
+    return [
         (F.col("_t") / F.col("_n")).alias("temperature_mean"),
         (F.col("_p") / (F.col("_n") * 100)).alias("precipitation"),
         (F.col("_h") * 10 / F.col("_n")).alias("humidity_mean"),
-    )
+    ]
+
+
+def mobility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(state, date) with six conditional means, NULL where no line has those flags."""
+    sums = _shipments(spark, sf_dir, ["l_quantity", "l_returnflag", "l_linestatus"], _mobility_sums())
+    return sums.select("state", "date", *_mobility_means())
+
+
+def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(state, date) with temperature, precipitation and humidity stand-ins."""
+    sums = _shipments(spark, sf_dir, ["l_quantity", "l_discount", "l_tax"], _weather_sums())
+    return sums.select("state", "date", *_weather_means())
+
+
+def mobility_and_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sets of measures from one scan of the line items."""
+    cols = ["l_quantity", "l_returnflag", "l_linestatus", "l_discount", "l_tax"]
+    sums = _shipments(spark, sf_dir, cols, _mobility_sums() | _weather_sums())
+    return sums.select("state", "date", *_mobility_means(), *_weather_means())
 
 
 def demographics(spark: SparkSession, sf_dir: str) -> DataFrame:

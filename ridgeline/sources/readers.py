@@ -141,18 +141,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def read_available(spark: SparkSession, paths: dict[str, str], schemas: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """The sources whose path exists; later joins skip the others."""
+def read_available(spark: SparkSession, paths: dict[str, str], schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """The sources whose path exists; later joins skip the others.  CSV sources need a declared schema."""
     out = {}
     for name, path in paths.items():
         if not path_exists(spark, path):
             continue
-        if path.endswith(".csv"):
-            schema = (schemas or {}).get(name)
-            reader = spark.read.option("header", True)
-            out[name] = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
-        else:
+        if not path.endswith(".csv"):
             out[name] = spark.read.parquet(path)
+        elif name in schemas:
+            out[name] = read_dates_csv(spark, path, schemas[name])
+        else:
+            raise ValueError(f"no schema declared for the CSV source {name!r}")
     return out
 
 

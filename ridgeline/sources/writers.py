@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline.functions.sizing import estimated_bytes
 from ridgeline.operators.ensemble import restored_weights
 from ridgeline.sources.readers import path_exists
 
@@ -19,9 +20,20 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
-def write_panel(df: DataFrame, path: str, series: str, buckets: int = 64) -> None:
+#: Bytes of a bucket, about, and the fewest buckets.
+BUCKET_BYTES = 256 * 2**20
+LEAST_BUCKETS = 64
+
+
+def panel_buckets(df: DataFrame) -> int:
+    """As many buckets as the planner's estimate of the frame's size asks for."""
+    return max(LEAST_BUCKETS, -(-(estimated_bytes(df) or 0) // BUCKET_BYTES))
+
+
+def write_panel(df: DataFrame, path: str, series: str, buckets: int | None = None) -> None:
     """Parquet partitioned by a hash bucket of the series key and sorted by date inside it."""
-    bucketed = df.withColumn("series_bucket", F.pmod(F.xxhash64(series), F.lit(buckets)).cast("int"))
+    count = buckets or panel_buckets(df)
+    bucketed = df.withColumn("series_bucket", F.pmod(F.xxhash64(series), F.lit(count)).cast("int"))
     years = bucketed.repartition("series_bucket", F.year("date"))
     years.sortWithinPartitions(series, "date").write.mode("overwrite").partitionBy("series_bucket").parquet(path)
 

@@ -1,3 +1,5 @@
+import datetime as dt
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 from ridgeline import Panel
 from ridgeline.operators import clean
 from ridgeline.operators.quantiles import exact_quantiles
+from ridgeline.panel import NATIONAL
 
 N = None
 
@@ -110,3 +113,51 @@ def test_bracketed_quantiles_with_one_hot_group_and_one_hot_value(spark):
 def test_clean_all_takes_what_is_there(daily):
     out = clean.clean_all({"cases": daily("confirmed double, deaths double", confirmed=[1.0, 2.0], deaths=[0.0, 0.0])}, {})
     assert set(out) == {"cases"} and "growth_rate" in out["cases"].columns
+
+
+@pytest.mark.parametrize("parts", [2, 4096])
+def test_radix_selection_of_awkward_values(spark, parts):
+    """Clustered, huge, tiny, signed, infinite and missing values; two parts force many passes."""
+    rng = np.random.default_rng(8)
+    v = np.concatenate([
+        1e9 + rng.random(300) * 1e-6, -rng.random(200) * 1e-300, [0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, np.inf, -np.inf], np.full(150, 3.25), rng.normal(size=200),
+    ])
+    rows = [(float(x), "a") for x in v] + [(float("nan"), "a"), (None, "a"), (float("nan"), None), (2.0, None), (None, "none")]
+    df = spark.createDataFrame(rows, "v double, k string").repartition(3)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    finite = np.sort(v)
+
+    def at(p):
+        place = p * (len(finite) - 1)
+        lo, hi = finite[int(np.floor(place))], finite[int(np.ceil(place))]
+        return lo if lo == hi else lo + (hi - lo) * (place - np.floor(place))
+
+    got = {r.k: r.v for r in exact_quantiles(df, ["v"], probs, ["k"], parts=parts).collect()}
+    assert got["a"] == pytest.approx([at(p) for p in probs], rel=1e-15)
+    assert got[None] == [2.0] * 7 and got["none"] == [None] * 7
+    alone = exact_quantiles(df.filter("k = 'a'"), ["v"], probs, parts=parts).first().v
+    assert alone == got["a"]
+    assert exact_quantiles(df.limit(0), ["v"], [0.5]).first().v == [None]
+    assert exact_quantiles(df.limit(0), ["v"], [0.5], ["k"]).count() == 0
+
+
+def test_a_callers_column_called_pos_is_data(spark):
+    rows = [(dt.date(2020, 1, d), v, p) for d, v, p in ((1, 1.0, 9), (2, None, 9), (3, 3.0, 2))]
+    df = spark.createDataFrame(rows, "date date, v double, pos int")
+    filled = clean.interpolate_linear(df, NATIONAL, ["v"]).orderBy("date").collect()
+    assert [(r.v, r.pos) for r in filled] == [(1.0, 9), (2.0, 9), (3.0, 2)]
+    long = Panel("date", segment_rows=2)
+    assert [r.v for r in clean.interpolate_linear(df, long, ["v"]).orderBy("date").collect()] == [1.0, 2.0, 3.0]
+    from ridgeline.operators.splits import split_by_date
+
+    assert split_by_date(df.withColumn("n", F.lit(7)), NATIONAL, 0.3).orderBy("date").select("role", "pos", "n").collect()[2] == ("test", 2, 7)
+
+
+def test_daily_means_through_a_lookup_equal_means_of_joined_rows(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(k), dt.date(2020, 1, int(d)), None if rng.random() < 0.2 else float(rng.integers(0, 9))) for k, d in rng.integers(1, 6, (400, 2))]
+    facts = spark.createDataFrame(rows, "k int, date date, parks double")
+    lookup = spark.createDataFrame([(i, f"s{i % 2}") for i in range(1, 5)], "k int, state string")
+    want = {tuple(r) for r in clean.daily_by_state(facts.join(lookup, "k").drop("k")).collect()}
+    got = clean.daily_by_state(facts, lookup=lookup, key="k")
+    assert {(r[0], r[1], round(r[2], 9)) for r in got.collect()} == {(r[0], r[1], round(r[2], 9)) for r in want}

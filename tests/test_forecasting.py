@@ -104,15 +104,46 @@ def test_boosted_trees(spark, learning, tmp_path):
 
 
 def test_random_search(learning):
-    space = {"max_depth": (2, 3, "int"), "n_estimators": (2, 4, "int"), "learning_rate": (0.05, 0.3, "log"), "subsample": (0.5, 1.0, "uniform")}
+    space = {"max_depth": (2, 3, "int"), "n_estimators": (5, 30, "int"), "learning_rate": (0.05, 0.3, "log"), "subsample": (0.5, 1.0, "uniform")}
     base = learners.BoostedTrees(features=tuple(feature_columns(learning)))
-    trials, best = learners.random_search(learning.filter("role = 'train'"), learning.filter("role = 'val'"), base, 3, space)
+    train, held = learning.filter("role = 'train'"), learning.filter("role = 'val'")
+    trials, best = learners.random_search(train, held, base, 6, space, first_trees=4, patience=3)
     rows = trials.collect()
-    assert len(rows) == 3
+    assert len(rows) == 6
     winner = min(rows, key=lambda r: r.loss)
-    assert winner.params["learning_rate"] == pytest.approx(best.learning_rate)
+    assert winner.params["learning_rate"] == pytest.approx(best.learning_rate) and best.n_estimators == winner.trees
     for r in rows:
         assert all(lo <= r.params[k] <= hi for k, (lo, hi, _) in space.items())
+        assert 1 <= r.trees <= r.grown <= r.params["n_estimators"]
+    assert sum(r.rung > 0 for r in rows) <= 2  # a third goes on
+    # The recorded error is that of the best number of trees, grown anew.
+    again = best.trees().fit(best.vectors().transform(best.labelled(train)).select("features", "label"))
+    pairs = again.transform(best.vectors().transform(best.labelled(held))).selectExpr("sqrt(avg(pow(label - y_pred, 2))) e").first()
+    assert pairs.e == pytest.approx(winner.loss, rel=0.05)
+
+
+def test_trials_end_when_grown_or_without_gain():
+    trial = learners.Trial(0, {"n_estimators": 40})
+    trial.learn([5.0, 3.0, 4.0, 4.0], 0, 3)
+    assert (trial.loss, trial.trees, trial.grown, trial.ended) == (3.0, 2, 4, False)
+    trial.learn([5.0, 3.0, 4.0, 4.0, 4.0], 1, 3)
+    assert trial.ended and trial.rung == 1
+    short = learners.Trial(1, {"n_estimators": 3})
+    short.learn([3.0, 2.0, 1.0], 0, 20)
+    assert short.ended and short.trees == 3
+
+
+def test_random_search_with_an_objective(learning):
+    base = learners.BoostedTrees(features=tuple(feature_columns(learning)))
+    asked = []
+
+    def largest_miss(df):
+        asked.append(df.count())
+        return df.selectExpr("max(abs(y_true - y_pred)) e").first().e
+
+    space = {"max_depth": (2, 3, "int"), "n_estimators": (2, 6, "int")}
+    trials, _ = learners.random_search(learning.filter("role = 'train'"), learning.filter("role = 'val'"), base, 3, space, objective=largest_miss, first_trees=4)
+    assert len(asked) >= 3 and trials.filter("loss > 0 AND trees = grown").count() == 3
 
 
 def test_sequence_forecast(learning):
@@ -138,24 +169,95 @@ def test_summed_products_give_the_fit_of_all_rows(spark):
     for s in ("a", None):
         y = np.array([v for k, _, v in rows if k == s])
         y = y / y.max()
-        beta = np.linalg.lstsq(x.T @ x + np.diag(spec.penalties()), x.T @ y, rcond=None)[0]
-        assert np.allclose(model[s]["beta"], beta, atol=1e-6)
+        beta, penalty = np.array(model[s]["beta"]), np.array(spec.penalties())
+        knots = np.arange(len(beta)) - 2
+        knots = (knots >= 0) & (knots < 4)
+        slope = x.T @ (x @ beta - y) + np.where(knots, 0, penalty * beta)
+        held = knots & (beta == 0)
+        assert np.abs(slope[held]).max(initial=0) <= spec.absolute + 1e-8
+        assert np.abs(np.where(held, 0, slope + spec.absolute * np.sign(beta) * knots)).max() < 1e-7
         assert abs(model[s]["sigma"] - np.sqrt(np.mean((y - x @ beta) ** 2))) < 1e-6
 
 
 def test_registered_tree_queries_run_the_operators_settings(spark, monkeypatch):
     from ridgeline.plans.catalog import forecasting
 
-    assert forecasting.TREES == learners.BoostedTrees()
+    assert forecasting.TREES == learners.BoostedTrees() and (forecasting.TREES.n_estimators, forecasting.TREES.max_depth) == (500, 6)
     seen = []
     search = learners.random_search
 
-    def counted(train, validation, base, *args, **kwargs):
-        # Every trial's parameters are drawn as they would be; only the fit is left out.
-        monkeypatch.setattr(learners.BoostedTrees, "fit", lambda self, *_: seen.append(self))
-        monkeypatch.setattr(learners, "predict", lambda *_, **__: train)
-        return search(train, validation, base, *args, objective=lambda _: 1.0, **kwargs)
+    def watched(train, validation, base, *args, **kwargs):
+        seen.append((base, args, kwargs))
+        return search(train, validation, base, n_trials=1, space={"n_estimators": (1, 1, "int")})
+
+    monkeypatch.setattr(learners, "random_search", watched)
+    assert forecasting.random_search(spark, "/root/testdata/sf0.001").count() == 1
+    assert seen[0][1:] == ((), {}) and learners.SEARCH_SPACE["n_estimators"] == (100, 1000, "int")
+
+
+def test_laplace_prior_leaves_a_straight_trend_without_changes(spark):
+    rng = np.random.default_rng(4)
+    rows = [("straight", i, 50 + 0.3 * i + rng.normal()) for i in range(400)]
+    rows += [("bent", i, 50 + 0.3 * i + 1.5 * max(i - 160, 0) + rng.normal()) for i in range(400)]
+    df = spark.createDataFrame([(s, dt.date(2020, 1, 1) + dt.timedelta(days=i), float(y)) for s, i, y in rows], "state string, date date, new_cases double")
+    spec = additive.AdditiveSpec(changepoints=10, yearly=0, weekly=0, holidays=())
+    beta = {r.state: r.beta for r in additive.fit(df, holiday_calendar(spark), BOTH, spec=spec).collect()}
+    assert beta["straight"][2:] == [0.0] * 10
+    assert 0 < sum(b != 0 for b in beta["bent"][2:]) < 6
+
 
-    monkeypatch.setattr(learners, "random_search", counted)
-    assert forecasting.random_search(spark, "/root/testdata/sf0.001").count() == 20
-    assert len(seen) == 20 and all(100 <= t.n_estimators <= 1000 and 3 <= t.max_depth <= 10 for t in seen)
+def test_shrunken_changes_meet_the_conditions_of_their_minimum():
+    rng = np.random.default_rng(6)
+    for k in range(1, 9):
+        for weight in (0.001, 0.1, 5.0):
+            t = np.linspace(0, 1, 300)
+            x = np.column_stack([np.maximum(t - 0.8 * j / k, 0) for j in range(1, k + 1)])
+            y = x @ (rng.normal(size=k) * (rng.random(k) < 0.5)) + 0.1 * rng.normal(size=300)
+            found = additive.lasso(x.T @ x, x.T @ y, weight)
+            slope = x.T @ (x @ found - y)
+            out = found == 0
+            assert np.abs(slope[out]).max(initial=0) <= weight + 1e-8
+            assert np.abs(slope[~out] + weight * np.sign(found[~out])).max(initial=0) <= 1e-8
+
+
+def test_prefix_fits_equal_a_fit_of_the_rows_up_to_each_cutoff(spark, weekly):
+    calendar = holiday_calendar(spark)
+    holed = weekly.withColumn("x", F.when(F.dayofmonth("date") == 3, None).otherwise(F.col("x")))
+    spec = additive.AdditiveSpec(changepoints=6, yearly=2, regressors=("x",))
+    from ridgeline.operators.splits import rolling_origin_cutoffs
+
+    cuts = rolling_origin_cutoffs(holed, BOTH, 200, 90, 30)
+    found = {(r.state, r.cutoff): r for r in additive.fit_at_cutoffs(holed, cuts, calendar, BOTH, spec=spec).collect()}
+    assert len(found) == cuts.count() > 6
+    for (state, cutoff), row in sorted(found.items())[::3]:
+        alone = additive.fit(holed.filter((F.col("state") == state) & (F.col("date") <= cutoff)), calendar, BOTH, spec=spec).first()
+        assert row.beta == pytest.approx(alone.beta, rel=1e-6, abs=1e-7)
+        assert row.sigma == pytest.approx(alone.sigma, rel=1e-6)
+        assert np.allclose(row["cov"], alone["cov"], rtol=1e-5, atol=1e-10)
+        for name in ("first", "days", "y_scale", "centre", "spread"):
+            assert row.scale[name] == pytest.approx(alone.scale[name], rel=1e-9)
+
+
+def test_rolling_origin_reads_each_row_once_per_fit(spark, weekly):
+    from ridgeline.operators.splits import rolling_origin_cutoffs, rolling_origin_tests
+
+    tests = rolling_origin_tests(weekly, BOTH, 365, 30, 30)
+    assert tests.count() == rolling_origin_cutoffs(weekly, BOTH, 365, 30, 30).count() * 30
+    assert tests.filter("date <= cutoff OR datediff(date, cutoff) > 30").count() == 0
+    wide = rolling_origin_tests(weekly, BOTH, 365, 10, 30)
+    assert wide.groupBy("state", "date").count().agg(F.max("count")).first()[0] == 3
+
+
+def test_intervals_widen_past_the_data_and_cover(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for s in range(12):
+        level = 300 + 50 * rng.normal()
+        rows += [(f"s{s}", dt.date(2020, 1, 1) + dt.timedelta(days=i), float(level + 0.1 * i + 10 * rng.normal())) for i in range(300)]
+    df = spark.createDataFrame(rows, "state string, date date, new_cases double")
+    spec = additive.AdditiveSpec(yearly=0, weekly=1, changepoints=8)
+    out = additive.rolling_origin(df, holiday_calendar(spark), BOTH, spec=spec, initial=150, period=60, horizon=40).persist()
+    width = {r.horizon: r.w for r in out.groupBy("horizon").agg(F.avg(F.col("y_upper") - F.col("y_lower")).alias("w")).collect()}
+    assert width[40] > width[20] > width[1]
+    covered = additive.rolling_origin_metrics(out, BOTH.with_series("cutoff")).selectExpr("avg(coverage) c").first().c
+    assert 0.72 < covered < 0.92  # stated: 0.8

@@ -54,7 +54,7 @@ def test_weather_folder(spark, tmp_path):
 
 def test_available_sources_and_population(spark, tmp_path):
     (tmp_path / "demo.csv").write_text("state,population_millions,population_density_estimate\nGoa,1.5,0\n")
-    found = readers.read_available(spark, {"demographics": str(tmp_path / "demo.csv"), "weather": str(tmp_path / "no.csv")})
+    found = readers.read_available(spark, {"demographics": str(tmp_path / "demo.csv"), "weather": str(tmp_path / "no.csv")}, {"demographics": "state string, population_millions double"})
     assert list(found) == ["demographics"]
     assert readers.read_population_csv(spark, str(tmp_path / "demo.csv")).first().population_density_estimate == 0.75
 
