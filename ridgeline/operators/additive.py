@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
 from ridgeline.functions.keys import attach
+from ridgeline.functions.sizing import written
 from ridgeline.operators.evaluate import metrics_all
 from ridgeline.operators.explore import recent_rows
 from ridgeline.operators.merge import HOLIDAY_NAMES, holiday_column, holiday_features
@@ -216,7 +217,8 @@ def fit(
         return pd.DataFrame([(*[pdf[k].iloc[0] for k in keys], beta.tolist(), sigma, cov.ravel().tolist())], columns=schema.names)
 
     betas = wide.mapInPandas(add_up, sums).groupBy(*keys).applyInPandas(solve, schema)
-    return attach(betas, spans, keys) if keys else betas.withColumn("scale", spans.scalar())
+    # A row per series, read by the design, the scores and reports: computed once.
+    return written(attach(betas, spans, keys) if keys else betas.withColumn("scale", spans.scalar()), "model")
 
 
 def fit_at_cutoffs(
@@ -253,7 +255,8 @@ def fit_at_cutoffs(
 
     fits = rows.union(marks).groupBy(*keys).applyInPandas(solve, schema)
     scale = F.struct("first", "days", "y_scale", "centre", "spread").alias("scale")
-    return fits.select(*keys, F.date_from_unix_date(F.col("cutoff").cast("int")).alias("cutoff"), *[f.name for f in SOLVED], scale)
+    out = fits.select(*keys, F.date_from_unix_date(F.col("cutoff").cast("int")).alias("cutoff"), *[f.name for f in SOLVED], scale)
+    return written(out, "models")
 
 
 def _prefix_fits(rows: pd.DataFrame, cutoffs: list[int], spec: AdditiveSpec) -> Iterator[tuple]:

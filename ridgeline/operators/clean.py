@@ -10,7 +10,7 @@ from ridgeline.functions.keys import attach
 from ridgeline.functions.numeric import (
     clip, existing, finite, finite_sql, float_columns, not_nan, numeric_columns, pct_change, quoted, require,
 )
-from ridgeline.functions.sizing import written
+from ridgeline.functions.sizing import fits_broadcast, written
 from ridgeline.operators.quantiles import exact_quantiles, quantile_struct
 from ridgeline.operators.segments import POS, drop_neighbours, over_rows, with_neighbours
 from ridgeline.panel import NATIONAL, Panel, so_far, trailing
@@ -183,10 +183,13 @@ def daily_by_state(
 ) -> DataFrame:
     """Mean of each measure per (date, state): districts collapse into their state.
 
-    Rows that name their state by a ``key`` of the ``lookup`` (key, state) are summed per (key, date) before they meet it:
-    the join sees one row per key and day, however many rows a key has.
+    Rows may name their state by a ``key`` of the ``lookup`` (key, state).  While the lookup passes the broadcast size check they
+    meet it in place; beyond it they are summed per (key, date) first, so the join sees one row per key and day,
+    however many rows a key has.
     """
     have = existing(df, cols)
+    if lookup is not None and fits_broadcast(lookup):
+        return daily_by_state(df.join(F.broadcast(lookup), key), cols)
     if lookup is not None:
         sums = [x for c in have for x in (F.sum(c).alias(f"_s_{c}"), F.count(c).alias(f"_n_{c}"))]
         again = [F.try_divide(F.sum(f"_s_{c}"), F.sum(f"_n_{c}")).alias(c) for c in have]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ridgeline.functions.keys import attach
-from ridgeline.functions.numeric import INF, not_nan, pearson, quoted
+from ridgeline.functions.numeric import INF, pearson, quoted
 from ridgeline.functions.sizing import written
 from ridgeline.operators.quantiles import exact_quantiles
 from ridgeline.operators.segments import POS, SEGMENT, number_rows, over_rows, with_halo
@@ -125,38 +125,49 @@ def topk_abs(corrs: DataFrame, k: int = 4) -> DataFrame:
     return corrs.orderBy(F.abs("r").desc_nulls_last(), "column").limit(k)
 
 
-#: Sums of one pair of columns over the rows where both are known, centred, with the ends of either side.
-PAIR_SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
-PAIR_ENDS = ["x_lo", "x_hi", "y_lo", "y_hi"]
+#: Of one pair of columns in a block, over the rows where both are known: rows, means, sums of squared and mixed deviations, ends.
+PAIR = ["n", "mx", "my", "vx", "vy", "vxy", "x_lo", "x_hi", "y_lo", "y_hi"]
 
 
 def _pair_schema(keys: str) -> str:
-    return ", ".join([keys, "n long", *[f"{c} double" for c in PAIR_SUMS[1:] + PAIR_ENDS]])
-
-
-def _pair_correlation(sums: DataFrame, keys: list[str]) -> DataFrame:
-    """Merge the sums of all blocks; NULL for fewer than two rows or a side without variation."""
-    ends = [F.min("x_lo").alias("x_lo"), F.max("x_hi").alias("x_hi"), F.min("y_lo").alias("y_lo"), F.max("y_hi").alias("y_hi")]
-    total = sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in PAIR_SUMS], *ends)
-    vx, vy = (F.col(f"s{v}{v}") - F.col(f"s{v}") * F.col(f"s{v}") / F.col("n") for v in "xy")
-    r = F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), F.sqrt(vx) * F.sqrt(vy))
-    return total.select(*keys, F.when((F.col("n") > 1) & (F.col("x_lo") < F.col("x_hi")) & (F.col("y_lo") < F.col("y_hi")), r).alias("r"))
-
-
-def _centred(df: DataFrame, cols: list[str]) -> list[Column]:
-    """The columns as doubles less their means over the frame, so that sums of products keep their digits."""
-    known = [not_nan(F.col(quoted(c)).cast("double")) for c in cols]
-    mean = df.agg(F.struct(*[F.avg(c).alias(f"_{i}") for i, c in enumerate(known)])).scalar()
-    return [c - F.coalesce(mean[f"_{i}"], F.lit(0.0)) for i, c in enumerate(known)]
+    return ", ".join([keys, "n long", *[f"{c} double" for c in PAIR[1:]]])
+
+
+def _pair_correlation(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Merge the blocks of every pair: deviations from a block's means are carried over to the means of all rows, so
+    no digits are lost to large values.  NULL for fewer than two rows or a side without variation."""
+    w = Window.partitionBy(*keys)
+    rows = F.sum("n").over(w)
+    dx, dy = (F.col(m) - F.try_divide(F.sum(F.col("n") * F.col(m)).over(w), rows) for m in ("mx", "my"))
+    moved = blocks.filter("n > 0").withColumns({"_dx": dx, "_dy": dy})
+    total = moved.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum(F.expr("vx + n * _dx * _dx")).alias("vx"), F.sum(F.expr("vy + n * _dy * _dy")).alias("vy"),
+        F.sum(F.expr("vxy + n * _dx * _dy")).alias("vxy"), (F.min("x_lo") < F.max("x_hi")).alias("_x"), (F.min("y_lo") < F.max("y_hi")).alias("_y"),
+    )
+    r = F.try_divide(F.col("vxy"), F.sqrt("vx") * F.sqrt("vy"))
+    return total.select(*keys, F.when((F.col("n") > 1) & F.col("_x") & F.col("_y"), r).alias("r"))
 
 
 def _pair_block(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """PAIR_SUMS and PAIR_ENDS of every column of x with the same column of y; NaN is missing."""
+    """PAIR of every column of x with the same column of y; NaN is missing."""
     both = ~(np.isnan(x) | np.isnan(y))
-    px, py = np.where(both, x, 0.0), np.where(both, y, 0.0)
-    sums = [both.sum(0), px.sum(0), py.sum(0), (px * px).sum(0), (py * py).sum(0), (px * py).sum(0)]
+    n = both.sum(0)
+    means = [np.divide(np.where(both, v, 0.0).sum(0), n, out=np.zeros(v.shape[1]), where=n > 0) for v in (x, y)]
+    dx, dy = (np.where(both, v - m, 0.0) for v, m in zip((x, y), means))
     ends = [f(np.where(both, v, fill), axis=0, initial=fill) for v in (x, y) for f, fill in ((np.min, np.inf), (np.max, -np.inf))]
-    return np.column_stack([*sums, *ends])
+    return np.column_stack([n, *means, (dx * dx).sum(0), (dy * dy).sum(0), (dx * dy).sum(0), *ends])
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two blocks of the same pairs as one."""
+    n = a[:, 0] + b[:, 0]
+    share = np.divide(b[:, 0], n, out=np.zeros(len(n)), where=n > 0)
+    dx, dy = b[:, 1] - a[:, 1], b[:, 2] - a[:, 2]
+    cross = a[:, 0] * share
+    means = [np.where(a[:, 0] > 0, a[:, 1 + k] + d * share, b[:, 1 + k]) for k, d in enumerate((dx, dy))]
+    sums = [a[:, 3 + k] + b[:, 3 + k] + cross * d for k, d in enumerate((dx * dx, dy * dy, dx * dy))]
+    ends = [f(a[:, 6 + k], b[:, 6 + k]) for k, f in enumerate((np.minimum, np.maximum, np.minimum, np.maximum))]
+    return np.column_stack([n, *means, *sums, *ends])
 
 
 def _numbers(batch: pa.RecordBatch | pa.Table, names: list[str]) -> np.ndarray:
@@ -165,21 +176,14 @@ def _numbers(batch: pa.RecordBatch | pa.Table, names: list[str]) -> np.ndarray:
 
 
 def _pair_rows(held: np.ndarray, keys: dict[str, np.ndarray]) -> pa.RecordBatch:
-    sums = [held[:, 0].astype(np.int64), *held[:, 1:].T]
-    arrays = [pa.array(np.ascontiguousarray(v)) for v in (*keys.values(), *sums)]
-    return pa.RecordBatch.from_arrays(arrays, names=[*keys, *PAIR_SUMS, *PAIR_ENDS])
-
-
-def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    n = len(PAIR_SUMS)
-    ends = [f(a[:, n + k], b[:, n + k]) for k, f in enumerate((np.minimum, np.maximum, np.minimum, np.maximum))]
-    return np.column_stack([a[:, :n] + b[:, :n], *ends])
+    columns = [*keys.values(), held[:, 0].astype(np.int64), *held[:, 1:].T]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in columns], names=[*keys, *PAIR])
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pairwise-complete correlations as (row, column, r); NaN counts as missing.
 
-    A task sums the products of its rows into one block of all pairs; only blocks are shuffled.
+    A task keeps one block of moments of all pairs, whatever its rows; only blocks are shuffled.
     """
     names = [f"_{i}" for i in range(len(cols))]
     left, right = np.triu_indices(len(cols))
@@ -193,22 +197,23 @@ def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
         if held is not None:
             yield _pair_rows(held, {"i": left, "j": right})
 
-    rows = df.select(*[c.alias(n) for c, n in zip(_centred(df, cols), names)])
+    rows = df.select(*[F.col(quoted(c)).cast("double").alias(n) for c, n in zip(cols, names)])
     half = _pair_correlation(rows.mapInArrow(add, _pair_schema("i long, j long")), ["i", "j"])
     name = F.array(*[F.lit(c) for c in cols])
     pair = half.select(name[F.col("i")].alias("a"), name[F.col("j")].alias("b"), "r")
-    return pair.select(F.col("a").alias("row"), F.col("b").alias("column"), "r").union(pair.filter("a <> b").select("b", "a", "r"))
+    both = F.array(*[F.struct(F.col(x).alias("row"), F.col(y).alias("column"), F.col("r")) for x, y in ("ab", "ba")])
+    return pair.select(F.inline(F.when(F.col("a") == F.col("b"), F.slice(both, 1, 1)).otherwise(both)))
 
 
 def lag_corr(df: DataFrame, cols: list[str], target: str, panel: Panel = NATIONAL, max_lag: int = 20) -> DataFrame:
     """(column, lag, r): correlation of the target with each column shifted by 0..max_lag rows; NaN counts as missing.
 
-    A segment of consecutive rows, with the few before it, is one task's block; it sums the products of all lags.
+    A segment of consecutive rows, with the few before it, is one task's block; it keeps the moments of all lags.
     """
     names = [f"_{i}" for i in range(len(cols))]
     near = with_halo(df.select(*panel.keys, *dict.fromkeys([target, *cols])), panel, back=max_lag)
-    columns = _centred(df, [*cols, target])
-    rows = near.select(*[F.col(quoted(c)) for c in panel.series], SEGMENT, POS, "_home", *[c.alias(n) for c, n in zip(columns, [*names, "_y"])])
+    columns = [F.col(quoted(c)).cast("double").alias(n) for c, n in zip([*cols, target], [*names, "_y"])]
+    rows = near.select(*[F.col(quoted(c)) for c in panel.series], SEGMENT, POS, "_home", *columns)
     lags = np.arange(max_lag + 1)
 
     def add(table: pa.Table) -> pa.Table:

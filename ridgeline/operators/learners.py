@@ -144,7 +144,7 @@ def random_search(
     base: BoostedTrees,
     n_trials: int = 20,
     space: dict[str, tuple] | None = None,
-    parallelism: int = 4,
+    parallelism: int = 8,
     objective: Callable[[DataFrame], float] | None = None,
     seed: int = 42,
     first_trees: int = 16,

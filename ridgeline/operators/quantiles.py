@@ -2,10 +2,10 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in one task, which is right
 for groups bounded by the calendar and wrong for a whole table.  For those, ranks are found by
-radix selection: a first pass counts the values by sign and power of two, each further pass cuts the part
-that holds a rank into PARTS equal parts between its smallest and largest value and counts again.  A part with one
+radix selection: a first pass counts the values by sign and STEPS-th of a power of two, each further pass cuts the
+part that holds a rank into PARTS equal parts between its smallest and largest value and counts again.  A part with one
 value, or with the rank at one of its ends, needs no further pass.  Counts are summed map-side, so
-only a few thousand per group are shuffled, whatever the size of the groups, and a result always exists.
+only a few thousand per task and group are shuffled, whatever the size of the groups, and a result always exists.
 
 The expressions are SQL text because there is one group of them per column and quantile.
 """
@@ -20,6 +20,7 @@ from ridgeline.functions.numeric import quoted
 from ridgeline.functions.sizing import written
 
 PARTS = 4096
+STEPS = 256
 
 
 def exact_quantiles(
@@ -33,7 +34,7 @@ def exact_quantiles(
     """One row per group with, for each column, the array of its quantiles; NULL and NaN are left out.
 
     ``bounded=True`` states that a group is small by construction (a daily series).
-    The unbounded plan reads ``df`` at once and several times, three or four as a rule; pass a stored frame if it is costly.
+    The unbounded plan reads ``df`` at once and several times, two or three as a rule; pass a stored frame if it is costly.
     """
     by = list(by)
     if bounded:
@@ -85,7 +86,8 @@ def _selected(df: DataFrame, cols: list[str], probs: list[float], by: list[str],
         )
 
     def digit(v: str) -> str:
-        return f"CASE WHEN {v} = 0 THEN 0 WHEN {v} > 0 THEN 2000 + floor(least(log2({v}), 1100D)) WHEN {v} < 0 THEN -2000 - floor(least(log2(-{v}), 1100D)) END"
+        step, zero = f"floor(least(log2(abs({v})), 1100D) * {STEPS})", 2000 * STEPS
+        return f"CASE WHEN {v} = 0 THEN 0 WHEN {v} > 0 THEN {zero} + {step} WHEN {v} < 0 THEN -{zero} - {step} END"
 
     items = ", ".join(f"struct({i} AS _col, {digit(n)} AS _part, {n} AS _v)" for i, n in enumerate(names))
     powers = written(values.selectExpr(*keys, f"inline(array({items}))").groupBy(*by, "_col", "_part").agg(

@@ -160,4 +160,12 @@ def test_daily_means_through_a_lookup_equal_means_of_joined_rows(spark):
     lookup = spark.createDataFrame([(i, f"s{i % 2}") for i in range(1, 5)], "k int, state string")
     want = {tuple(r) for r in clean.daily_by_state(facts.join(lookup, "k").drop("k")).collect()}
     got = clean.daily_by_state(facts, lookup=lookup, key="k")
-    assert {(r[0], r[1], round(r[2], 9)) for r in got.collect()} == {(r[0], r[1], round(r[2], 9)) for r in want}
+    rounded = {(r[0], r[1], round(r[2], 9)) for r in want}
+    assert {(r[0], r[1], round(r[2], 9)) for r in got.collect()} == rounded
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        summed = clean.daily_by_state(facts, lookup=lookup, key="k")
+        assert {(r[0], r[1], round(r[2], 9)) for r in summed.collect()} == rounded
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
