@@ -35,6 +35,11 @@ def columns_containing(df: DataFrame, part: str) -> list[str]:
     return [c for c in df.columns if part in c]
 
 
+def plain_name(name: str) -> str:
+    """SQL text of a key as people write it: underscores and repeated white space become one blank, words are capitalised."""
+    return f"initcap(trim(regexp_replace(replace({quoted(name)}, '_', ' '), '\\\\s+', ' ')))"
+
+
 def require(df: DataFrame, *cols: str) -> None:
     missing = [c for c in cols if c not in df.columns]
     if missing:

@@ -368,6 +368,12 @@ def score(
     return rows.groupBy(*group).cogroup(fitted.groupBy(*group)).applyInArrow(apply, schema)
 
 
+def as_observations(df: DataFrame, panel: Panel = NATIONAL, target: str = "new_cases", regressors: Iterable[str] = ()) -> DataFrame:
+    """(series, ds, y, regressors), the shape that forecasting tools exchange; rows without a date or a truth are left out."""
+    named = df.select(*panel.series, F.col(panel.order).cast("date").alias("ds"), F.col(target).cast("double").alias("y"), *[F.col(r).cast("double") for r in regressors])
+    return named.filter("ds IS NOT NULL AND y IS NOT NULL")
+
+
 def future_dates(df: DataFrame, panel: Panel, horizon: int) -> DataFrame:
     """(series, date) for the ``horizon`` days after the last date of each series."""
     last = df.groupBy(*panel.series).agg(F.max(panel.order).alias("_last"))

@@ -207,6 +207,23 @@ def weights_optimal(df: DataFrame, models: list[str], panel: Panel = NATIONAL, b
     return _solve_rows(_gram(df, models, panel, by), models, by, solve, models, "weight")
 
 
+def choose_weights(
+    df: DataFrame, static: dict[str, float], panel: Panel = NATIONAL, method: str = "dynamic", lookback: int = LOOKBACK
+) -> DataFrame:
+    """(model, weight) by one entry: ``dynamic`` weights by recent error, or the ``static`` ones where a series is shorter than
+    ``lookback``; ``optimal`` ones over all rows; or the ``static`` ones as given.  Only the models of ``static`` take part."""
+    if not static:
+        raise ValueError("no models to weight")
+    known = df.filter(F.col("model").isin(*static))
+    if method == "dynamic":
+        return weights_inverse_rmse(known, panel, lookback, fallback=static)
+    if method == "optimal":
+        return weights_optimal(known, list(static), panel)
+    if method == "static":
+        return weights_static(df.sparkSession, static)
+    raise ValueError(f"unknown method {method!r}")
+
+
 INTERCEPT = "(intercept)"
 
 

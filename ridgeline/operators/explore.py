@@ -139,7 +139,7 @@ def _pair_correlation(blocks: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys)
     rows = F.sum("n").over(w)
     dx, dy = (F.col(m) - F.try_divide(F.sum(F.col("n") * F.col(m)).over(w), rows) for m in ("mx", "my"))
-    moved = blocks.filter("n > 0").withColumns({"_dx": dx, "_dy": dy})
+    moved = blocks.withColumns({"_dx": dx, "_dy": dy})
     total = moved.groupBy(*keys).agg(
         F.sum("n").alias("n"), F.sum(F.expr("vx + n * _dx * _dx")).alias("vx"), F.sum(F.expr("vy + n * _dy * _dy")).alias("vy"),
         F.sum(F.expr("vxy + n * _dx * _dy")).alias("vxy"), (F.min("x_lo") < F.max("x_hi")).alias("_x"), (F.min("y_lo") < F.max("y_hi")).alias("_y"),
@@ -260,6 +260,12 @@ def linear_trend(df: DataFrame, cols: list[str], target: str, points: int = 100)
     return grid.select("column", "slope", "intercept", "point", x.alias("x"), (F.col("intercept") + F.col("slope") * x).alias("y"))
 
 
+def top_trends(df: DataFrame, cols: list[str], target: str, top: int = 4, points: int = 100) -> DataFrame:
+    """``linear_trend`` on the ``top`` columns by absolute correlation with the target: that many names reach the driver."""
+    best = [r["column"] for r in topk_abs(corr_target(df, cols, target), top).collect()]
+    return linear_trend(df, best, target, points)
+
+
 def histogram_density(df: DataFrame, col: str, bins: int = 30, by: list[str] | None = None) -> DataFrame:
     """Equal-width bins with counts and density per group; the last bin includes its upper edge."""
     by = by or []

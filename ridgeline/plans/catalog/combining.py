@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from ridgeline.functions.sizing import written
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import functions as F
+
+from ridgeline.functions.sizing import scratch_path, written
 from ridgeline.operators import ensemble as en
 from ridgeline.operators import evaluate as ev
 from ridgeline.operators.baselines import baselines
+from ridgeline.operators.merge import union_states
 from ridgeline.operators.splits import expanding_folds
 from ridgeline.panel import BY_STATE, NATIONAL
 from ridgeline.plans import views
@@ -13,6 +17,7 @@ from ridgeline.plans.catalog import query, rounded
 from ridgeline.plans.catalog.exploring import predictions
 from ridgeline.plans.catalog.scoring import state_predictions
 from ridgeline.plans.oracle import metrics_sql, r, rs, sql
+from ridgeline.sources import writers
 
 MODELS = ["naive", "seasonal", "ma7"]
 PLAIN = {"naive": 0.3, "seasonal": 0.4, "ma7": 0.3}
@@ -89,6 +94,41 @@ def restored_weights(spark, sf):
     return rounded(en.restored_weights(stored, {"naive": 0.33, "seasonal": 0.33, "extra": 0.34}), 9)
 
 
+_lengthy = {"er": "SELECT model, greatest(sqrt(avg((y_true - y_pred) * (y_true - y_pred))), 1e-8) AS e, min(k) AS n FROM (SELECT *, count(*) OVER (PARTITION BY model) AS k FROM preds) GROUP BY 1"}
+
+
+@query(
+    "weights_when_short",
+    sql("SELECT model, round(CASE WHEN (SELECT min(n) FROM er) >= 100000 THEN (1 / e) / sum(1 / e) OVER () WHEN model = 'naive' THEN 0.75 WHEN model = 'ma7' THEN 0.25 ELSE 0 END, 9) + 0.0 AS weight FROM er", "preds", extra=_lengthy),
+)
+def weights_when_short(spark, sf):
+    """Series shorter than the lookback take static weights; a model that the map lacks has none."""
+    return rounded(en.weights_inverse_rmse(predictions(spark, sf), lookback=100_000, fallback={"naive": 0.6, "ma7": 0.2}), 9)
+
+
+@query(
+    "choose_weights",
+    sql(f"SELECT 'dynamic' AS method, model, {r('weight', digits=6)} FROM weights UNION ALL SELECT 'static', unnest(['naive', 'seasonal', 'ma7']), unnest([0.3::DOUBLE, 0.4::DOUBLE, 0.3::DOUBLE]) UNION ALL SELECT 'short', unnest(['naive', 'seasonal', 'ma7']), unnest([0.3::DOUBLE, 0.4::DOUBLE, 0.3::DOUBLE])", "weights"),
+)
+def choose_weights(spark, sf):
+    preds = stored_predictions(spark, sf)
+    cases = {"dynamic": ("dynamic", 14), "static": ("static", 14), "short": ("dynamic", 100_000)}
+    return union_states([
+        rounded(en.choose_weights(preds, PLAIN, method=m, lookback=n).select(F.lit(name).alias("method"), "model", "weight")) for name, (m, n) in cases.items()
+    ])
+
+
+@query(
+    "weights_document",
+    sql(f"SELECT 'weights' AS section, NULL::VARCHAR AS key, model, {r('weight', 'value', 9)} FROM weights UNION ALL SELECT 'settings', 'lookback', NULL, 14.0 UNION ALL SELECT 'history', run::VARCHAR, model, {r('(1 / e) / sum(1 / e) OVER (PARTITION BY run)', 'value', 9)} FROM er", "daily", "weights", extra=_runs),
+)
+def weights_document(spark, sf):
+    path = scratch_path(spark, "document")
+    weights = en.weights_inverse_rmse(predictions(spark, sf))
+    writers.write_weights_document(spark, path, weights, {"lookback": en.LOOKBACK}, weight_history(spark, sf))
+    return rounded(writers.read_weights_document(spark, path), 9)
+
+
 # Sums behind the two small solves, for the SQL twins of the optimal and stacked weights.
 _pairs = [("naive", "naive"), ("naive", "seasonal"), ("naive", "ma7"), ("seasonal", "seasonal"), ("seasonal", "ma7"), ("ma7", "ma7")]
 _short = {"naive": "a", "seasonal": "b", "ma7": "c"}
@@ -116,6 +156,17 @@ def stacking_predict(spark, sf):
     return rounded(en.stacking_predict(preds, en.stacking_fit(preds, MODELS)))
 
 
+_ols = {"q": _cov["q"], "z": _cov["z"].replace(" + 1 AS m", " AS m"), "dt": _cov["dt"], "cf": _cov["cf"]}
+
+
+@query("stacking_with", sql(f"SELECT date, y_true, {r('(sy - wa * sa - wb * sb - wc * sc) / n + wa * naive + wb * seasonal + wc * ma7', 'y_pred', 4)} FROM base, cf", "base", extra=_ols))
+def stacking_with(spark, sf):
+    """Any Spark ML regressor as the meta-learner: least squares without a penalty."""
+    preds = stored_predictions(spark, sf)
+    model = en.stacking_with(preds, MODELS, LinearRegression(featuresCol="features", labelCol="label", predictionCol="y_pred", solver="normal"))
+    return rounded(model.transform(en.align_predictions(preds, MODELS)).select("date", "y_true", "y_pred"), 4)
+
+
 # Three models on the simplex: the free optimum if it is inside, else the best edge.
 _A, _B, _C = "naive", "seasonal", "ma7"
 

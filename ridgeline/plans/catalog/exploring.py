@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ridgeline.functions.numeric import pct_change
+from ridgeline.functions.numeric import columns_containing, pct_change, plain_name, require
+from ridgeline.functions.sizing import written
 from ridgeline.operators import clean, explore, features
 from ridgeline.operators.baselines import baselines
 from ridgeline.operators.evaluate import regime_mae as regime_mae_of
@@ -172,6 +173,33 @@ def linear_trend(spark, sf):
     return rounded(explore.linear_trend(merged(spark, sf), MOB, "new_cases"))
 
 
+_best = {"tr": f"SELECT {_trend} FROM inner_merged", "rk": f"SELECT {rows_sql([{'column': quoted(c), 'r': corr_sql(c, 'new_cases')} for c in MOB])} FROM inner_merged"}
+
+
+@query(
+    "top_trends",
+    sql(f"SELECT \"column\", {rs(['slope', 'intercept'])}, point::INTEGER AS point, {r('lo + (hi - lo) * point / 99', 'x')}, {r('intercept + slope * (lo + (hi - lo) * point / 99)', 'y')} FROM tr, (SELECT unnest(range(100)) AS point) WHERE \"column\" IN (SELECT \"column\" FROM rk ORDER BY abs(r) DESC LIMIT 4)", "inner_merged", extra=_best),
+)
+def top_trends(spark, sf):
+    return rounded(explore.top_trends(written(merged(spark, sf), "merged"), MOB, "new_cases"))
+
+
+@query("columns_by_substring", sql(f"SELECT date, {rs(['retail_recreation', 'residential'])} FROM inner_merged", "inner_merged"))
+def columns_by_substring(spark, sf):
+    """The measures whose name contains a piece of text."""
+    df = merged(spark, sf)
+    require(df, "date", *MOB)
+    return rounded(df.select("date", *[c for c in columns_containing(df, "re") if c in ("retail_recreation", "residential")]))
+
+
+@query("plain_names", sql("SELECT DISTINCT replace(n_name, 'NATION_', 'Nation ') AS name, o_orderpriority, CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN '1-urgent' WHEN '2' THEN '2-high' WHEN '3' THEN '3-medium' WHEN '4' THEN '4-not Specified' ELSE '5-low' END AS priority FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"))
+def plain_names(spark, sf):
+    orders = views.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority").distinct()
+    customer = views.table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    named = orders.join(customer, "c_custkey").select("c_nationkey", "o_orderpriority").distinct().join(views.nations(spark, sf, "c_nationkey"), "c_nationkey")
+    return named.selectExpr(f"{plain_name('state')} AS name", "o_orderpriority", f"{plain_name('o_orderpriority')} AS priority")
+
+
 @query(
     "histogram_density",
     "WITH b AS (SELECT l_returnflag, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, count(*) AS n FROM lineitem GROUP BY 1), "

@@ -8,17 +8,19 @@ from dataclasses import replace
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from ridgeline.functions.sizing import durable, written
+from ridgeline.functions.sizing import durable, scratch_path, written
 from ridgeline.operators import additive, learners
+from ridgeline.operators.clean import daily_mean
 from ridgeline.operators.evaluate import metrics_all
 from ridgeline.operators.features import LAGS, WINDOWS, feature_columns, lag_features, rolling_features, temporal_features
-from ridgeline.operators.merge import calendar_for, merge_national
+from ridgeline.operators.merge import calendar_for, merge_national, merge_on_date
 from ridgeline.operators.splits import split_by_date
 from ridgeline.panel import BY_STATE, NATIONAL
 from ridgeline.plans import views
 from ridgeline.plans.catalog import query, rounded
 from ridgeline.plans.catalog.merging import FESTIVALS
-from ridgeline.plans.oracle import metrics_sql, r, sql
+from ridgeline.plans.oracle import metrics_sql, r, rs, sql
+from ridgeline.sources import writers
 
 WITH_MOBILITY = additive.AdditiveSpec(regressors=("workplaces", "retail_recreation"))
 TREES = learners.BoostedTrees()
@@ -222,6 +224,36 @@ def gbt_one_split(spark, sf):
     return rounded(learners.predict(_boosted_once(df), df.filter("role = 'test'"), BY_STATE))
 
 
+@query("model_restored", sql(f"SELECT state, date, model, y_true, {r('y_pred')} FROM bo", "state_split", extra=_small))
+def model_restored(spark, sf):
+    """A fitted model stored, loaded and applied."""
+    df, path = lagged_frame(spark, sf), scratch_path(spark, "fitted")
+    writers.save_model(_boosted_once(df), path)
+    return rounded(learners.predict(writers.load_model(path), df.filter("role = 'test'"), BY_STATE))
+
+
+@query(
+    "search_with_objective",
+    sql(f"SELECT 0::INTEGER AS trial, {r('avg(abs(new_cases - CASE WHEN month <= cut THEN lo ELSE hi END))', 'loss')}, 1::INTEGER AS trees, 1::INTEGER AS grown FROM lf, bm WHERE role = 'val'", "state_split", extra=_lf | _cut("month", "bm")),
+)
+def search_with_objective(spark, sf):
+    """A search whose objective is the caller's: here the mean absolute error of a single split."""
+    df = lagged_frame(spark, sf)
+    base = replace(ONE_SPLIT, features=("month",))
+
+    def objective(scored):
+        return scored.agg(F.avg(F.abs(F.col("y_true") - F.col("y_pred")))).first()[0]
+
+    trials, _ = learners.random_search(df.filter("role = 'train'"), df.filter("role = 'val'"), base, 1, {"learning_rate": (0.01, 0.3, "log")}, objective=objective)
+    return rounded(trials.select("trial", "loss", "trees", "grown"))
+
+
+@query("as_observations", sql(f"SELECT date AS ds, new_cases::DOUBLE AS y, {rs(['workplaces', 'retail_recreation'])} FROM inner_merged", "inner_merged"))
+def as_observations(spark, sf):
+    joined = merge_on_date(views.cases(spark, sf), daily_mean(views.mobility(spark, sf)))
+    return rounded(additive.as_observations(joined, regressors=WITH_MOBILITY.regressors))
+
+
 @query(
     "importance_one_split",
     sql("SELECT unnest(['month', 'weekday']) AS feature, unnest(CASE WHEN bm.gain >= bw.gain THEN [1.0::DOUBLE, 0.0::DOUBLE] ELSE [0.0::DOUBLE, 1.0::DOUBLE] END) AS importance FROM bm, bw", "state_split", extra=_lf | _cut("month", "bm") | _cut("weekday", "bw")),

@@ -52,6 +52,21 @@ def write_feature_list(spark: SparkSession, names: list[str], path: str) -> None
     write_json(spark.range(1).select(F.inline(rows)), path)
 
 
+def write_weights_document(spark: SparkSession, path: str, weights: DataFrame, settings: dict, history: DataFrame | None = None) -> None:
+    """Weights (model, weight), settings and past weights (run, model, weight) as JSON lines of one layout."""
+    rows = weights.select(F.lit("weights").alias("section"), F.lit(None).cast("string").alias("key"), "model", F.col("weight").cast("double").alias("value"))
+    told = F.array(*[F.struct(F.lit("settings").alias("section"), F.lit(k).alias("key"), F.lit(None).cast("string").alias("model"), F.lit(float(v)).alias("value")) for k, v in settings.items()])
+    rows = rows.union(spark.range(1).select(F.inline(told))) if settings else rows
+    if history is not None:
+        rows = rows.union(history.select(F.lit("history"), F.col("run").cast("string"), "model", F.col("weight").cast("double")))
+    write_json(rows, path)
+
+
+def read_weights_document(spark: SparkSession, path: str) -> DataFrame:
+    """(section, key, model, value): the weights, the settings by key, the past weights by run."""
+    return spark.read.schema("section string, key string, model string, value double").json(path)
+
+
 def read_weights(spark: SparkSession, path: str, defaults: dict[str, float]) -> DataFrame:
     """Stored weights, completed with defaults and normalised."""
     stored = spark.read.schema("model string, weight double").json(path)
