@@ -108,9 +108,11 @@ def calendar_folds(
             .when((day >= start) & (day < test_end), "test")
         )
 
-    folds = _explode_folds(placed, n_splits, role_of).drop("_span")
-    tested = folds.filter("role = 'test'").select(*panel.series, "fold").distinct()
-    return attach(folds, tested, [*panel.series, "fold"], "left_semi")
+    tests = F.filter(F.sequence(F.lit(0), F.lit(n_splits - 1)), lambda i: role_of(i) == "test")
+    # At most n_splits numbers per series: which folds have a test row.  They join like the span, before rows are copied to folds.
+    tested = placed.groupBy(*panel.series).agg(F.array_distinct(F.flatten(F.collect_set(tests))).alias("_tested"))
+    known = attach(placed, tested, panel.series) if panel.series else placed.withColumn("_tested", tested.scalar())
+    return _explode_folds(known, n_splits, lambda i: F.when(F.array_contains("_tested", i), role_of(i))).drop("_span", "_tested")
 
 
 def _origins(df: DataFrame, panel: Panel, initial: int, period: int, horizon: int) -> DataFrame:

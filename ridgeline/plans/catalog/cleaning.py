@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.operators import clean
 from ridgeline.operators.segments import running_sum
+from ridgeline.operators.merge import union_states
 from ridgeline.panel import BY_STATE, NATIONAL, Panel
 from ridgeline.plans import views
 from ridgeline.plans.catalog import query, rounded
@@ -186,11 +187,12 @@ def covid_derived(spark, sf):
     return rounded(clean.cases_derived(views.cases(spark, sf)))
 
 
+_CASE_COLS = ["new_cases", "new_deaths", "confirmed", "deaths", "new_cases_7day_avg", "growth_rate", "case_fatality_rate"]
+
+
 @query(
     "clean_all",
-    sql("SELECT 'cases' AS source, count(*) AS rows, " + r("sum(growth_rate)", "total", 4) + " FROM d UNION ALL "
-        "SELECT 'mobility', count(*), " + r("sum(retail_recreation)", "total", 4) + " FROM mi UNION ALL "
-        "SELECT 'weather', count(*), " + r("sum(humidity_mean)", "total", 4) + " FROM wi",
+    sql(f"SELECT 'cases' AS source, date, {rs(_CASE_COLS)} FROM d UNION ALL BY NAME SELECT 'mobility' AS source, state, date, {rs(MOB)} FROM mi UNION ALL BY NAME SELECT 'weather' AS source, state, date, {rs(WX)} FROM wi",
         "raw_cases", "mobility", "raw_weather",
         extra=_clean_cases | {
             "d": _derived.format(src="cc"),
@@ -199,14 +201,11 @@ def covid_derived(spark, sf):
         }),
 )
 def clean_all(spark, sf):
+    """Every row of the three cleaned sources, stacked by column name."""
     sources = {"cases": raw_cases(spark, sf), "mobility": views.mobility(spark, sf), "weather": raw_weather(spark, sf)}
     cleaned = clean.clean_all(sources, {"mobility": BY_STATE, "weather": BY_STATE})
-    picks = {"cases": "growth_rate", "mobility": "retail_recreation", "weather": "humidity_mean"}
-    sums = [
-        cleaned[s].agg(F.lit(s).alias("source"), F.count(F.lit(1)).alias("rows"), F.sum(c).alias("total"))
-        for s, c in picks.items()
-    ]
-    return rounded(sums[0].unionByName(sums[1]).unionByName(sums[2]), 4)
+    keep = {"cases": ["date", *_CASE_COLS], "mobility": ["state", "date", *MOB], "weather": ["state", "date", *WX]}
+    return rounded(union_states([cleaned[s].select(F.lit(s).alias("source"), *cols) for s, cols in keep.items()]))
 
 
 @query("dropna", sql(f"SELECT state, date, {rs(MOB)} FROM mobility WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in MOB), "mobility"))

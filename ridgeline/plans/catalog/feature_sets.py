@@ -259,13 +259,13 @@ def quick_process(spark, sf):
 _model_cols = [c for c in _nat_cols if c not in ("new_cases", "confirmed", "deaths")]
 
 
-@query("prepare_xy", sql(f"SELECT date, new_cases::DOUBLE AS label, {len(_model_cols)}::INTEGER AS n_features, {r(' + '.join(_model_cols), 'feature_sum', 3)} FROM f3", "cases", "mob_row", extra=_outer | _nat_extra))
+@query("prepare_xy", sql(f"SELECT date, new_cases::DOUBLE AS label, {rs(_model_cols)} FROM f3", "cases", "mob_row", extra=_outer | _nat_extra))
 def prepare_xy(spark, sf):
+    """The feature vector, taken apart under the names that come with it."""
     full = merge_outer(views.cases(spark, sf), national_row_mean_raw(spark, sf))
-    ready, _ = features.prepare_xy(full, NATIONAL)
-    values = vector_to_array("features")
-    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-    return ready.select("date", "label", F.size(values).alias("n_features"), F.round(total, 3).alias("feature_sum"))
+    ready, names = features.prepare_xy(full, NATIONAL)
+    values = ready.select("date", "label", vector_to_array("features").alias("_v"))
+    return rounded(values.select("date", "label", *[F.col("_v")[i].alias(n) for i, n in enumerate(names)]))
 
 
 @query("feature_minmax", sql("SELECT feature, min, max, CASE WHEN max = min THEN 1.0::DOUBLE ELSE round(max - min, 6) END AS range FROM (SELECT unnest([" + ", ".join(f"{{'feature': '{c}', 'min': min({c}) + 0.0::DOUBLE, 'max': max({c})::DOUBLE}}" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")) + "], recursive := true) FROM lineitem)"))

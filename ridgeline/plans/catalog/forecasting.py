@@ -19,7 +19,7 @@ from ridgeline.panel import BY_STATE, NATIONAL
 from ridgeline.plans import views
 from ridgeline.plans.catalog import query, rounded
 from ridgeline.plans.catalog.merging import FESTIVALS
-from ridgeline.plans.oracle import metrics_sql, r, rs, sql
+from ridgeline.plans.oracle import fill_sql, metrics_sql, r, rs, sql
 from ridgeline.sources import writers
 
 WITH_MOBILITY = additive.AdditiveSpec(regressors=("workplaces", "retail_recreation"))
@@ -103,6 +103,27 @@ def regressor_effect(spark, sf):
     return rounded(additive.regressor_effect(model, spec=WITH_MOBILITY))
 
 
+# A straight trend with one regressor: three sums to solve, the regressor's own effect by Cramer's rule.
+ONE_REGRESSOR = additive.AdditiveSpec(changepoints=0, yearly=0, weekly=0, holidays=(), regressors=("workplaces",))
+_p1, _p2 = ONE_REGRESSOR.penalties()[1:]
+_effect = {
+    "sc": "SELECT min(date) AS first, (max(date) - min(date))::DOUBLE AS span, greatest(max(abs(new_cases)), 1e-9) AS ys, avg(workplaces) AS m, stddev_samp(workplaces) AS sd FROM mg WHERE new_cases IS NOT NULL",
+    "xs": "SELECT (date - first) / span AS t, (coalesce(workplaces, m) - m) / sd AS x, new_cases / ys AS y FROM mg, sc WHERE new_cases IS NOT NULL",
+    "nm": f"SELECT count(*)::DOUBLE AS n, sum(t) AS t, sum(x) AS x, sum(t * t) + {_p1} AS tt, sum(t * x) AS tx, sum(x * x) + {_p2} AS xx, sum(y) AS y, sum(t * y) AS ty, sum(x * y) AS xy FROM xs",
+    "ef": "SELECT (n * (tt * xy - tx * ty) - t * (t * xy - x * ty) + y * (t * tx - x * tt)) / (n * (tt * xx - tx * tx) - t * (t * xx - x * tx) + x * (t * tx - x * tt)) AS b FROM nm",
+}
+
+
+@query(
+    "regressor_effect_one",
+    sql(f"SELECT 'workplaces' AS regressor, {r('abs(b)', 'effect')} FROM ef", "cases", "mob_nat",
+        extra={"mj": "SELECT * FROM cases LEFT JOIN mob_nat USING (date)", "mg": fill_sql("mj", ["date"], ["new_cases", "workplaces"])} | _effect),
+)
+def regressor_effect_one(spark, sf):
+    model = additive.fit(national(spark, sf), calendar(spark, sf), spec=ONE_REGRESSOR)
+    return rounded(additive.regressor_effect(model, spec=ONE_REGRESSOR))
+
+
 @query("rolling_origin")
 def rolling_origin(spark, sf):
     cases = views.daily_cases(spark, sf).drop("new_deaths")
