@@ -327,5 +327,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, all columns, that the classifier does not reject."""
+    """The documents, all columns, that the classifier does not reject.  A model without labels to learn from rejects none."""
+    if not model.usable:
+        return docs
     return scored(docs, model, docs.columns, threshold).filter("predicted = 1").select("row.*")

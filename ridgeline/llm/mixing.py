@@ -20,6 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.functions.numeric import quoted
 from ridgeline.llm.common import same, stored
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -120,22 +121,26 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
 
 def taken_copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The documents' rows as the mix takes them: as many whole copies as fit in ``taken``, and a last
-    copy cut after the words that remain (n_chars follows).  Rows repeated in full are taken alike."""
-    per = mixed.groupBy("turn", "source").agg(F.max("size").alias("size"), F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))
-    per = per.select(F.col("turn").alias("m_turn"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), F.col("taken").alias("m_taken")).filter("m_taken > 0")
-    # Rows repeated in full share what their copies take: one row stands for them.
-    rows = docs.select(F.struct("*").alias("row"), turn_of(F.col("doc_id"), F.col("text")).alias("turn"), "source").dropDuplicates(["turn", "source"])
-    both = rows.join(per, (F.col("turn") == F.col("m_turn")) & same(F.col("source"), F.col("m_source")))
-    copies = F.sequence(F.lit(0), F.floor((F.col("m_taken") - 1) / F.col("m_size")).cast("int"))
-    served = both.select("row", "m_size", "m_taken", F.explode(copies).alias("copy"))
-    words = F.least(F.col("m_size"), F.col("m_taken") - F.col("copy") * F.col("m_size"))
-    # The start of the text that holds so many words: its first words, each with the white space before it.
-    pieces = F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    start = F.array_join(F.slice(pieces, F.lit(1), F.col("words").cast("int")), "")
-    cut = served.withColumn("words", words).withColumn("text_out", F.when(F.col("words") == F.col("m_size"), F.col("row.text")).otherwise(start))
-    out = [
-        F.col("text_out").alias(c) if c == "text" else F.when(F.col("words") == F.col("m_size"), F.col("row.n_chars")).otherwise(F.length("text_out")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c)
-        for c in docs.columns
-    ]
-    return cut.select(*out)
+    """The documents' rows as often as the mix takes them, always whole: a copy that the mix takes in part stays when
+    that is at least half of its words.
+
+    Rows equal in id, text and source share what the mix takes of them: every row first gets as many copies as there
+    are for all, the others go to the rows in the order of a hash of all columns.  Rows that differ in any column are kept apart.
+    """
+    look = F.xxhash64(*[F.col(quoted(c)) for c in docs.columns])
+    keyed = docs.select(F.struct("*").alias("row"), turn_of(F.col("doc_id"), F.col("text")).alias("turn"), "source", look.alias("look"))
+    per = mixed.filter("size > 0").groupBy("turn", "source").agg(
+        F.floor((2 * F.sum("taken") + F.max("size")) / (2 * F.max("size"))).alias("copies"), F.count(F.lit(1)).alias("rows")
+    )
+    per = per.select(F.col("turn").alias("m_turn"), F.col("source").alias("m_source"), "copies", "rows").filter("copies > 0")
+    kinds = keyed.groupBy("turn", "source", "look").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("turn", "source").orderBy("look").rowsBetween(Window.unboundedPreceding, -1)
+    kinds = kinds.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    shared = kinds.join(per, (F.col("turn") == F.col("m_turn")) & same(F.col("source"), F.col("m_source")))
+    over = F.least(F.greatest(F.col("copies") % F.col("rows") - F.col("before"), F.lit(0)), F.col("n"))
+    times = (F.floor(F.col("copies") / F.col("rows")) * F.col("n") + over).cast("int")
+    shared = shared.select(F.col("turn").alias("k_turn"), F.col("source").alias("k_source"), F.col("look").alias("k_look"), times.alias("times")).filter("times > 0")
+    match = (F.col("turn") == F.col("k_turn")) & same(F.col("source"), F.col("k_source")) & (F.col("look") == F.col("k_look"))
+    served = keyed.dropDuplicates(["turn", "source", "look"]).join(shared, match)
+    served = served.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return served.select(*[F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns])

@@ -13,8 +13,8 @@ task holds a hot list whole, and each block hands on ten rows a query at most.
 
 The index on the driver is the centroids (``MAX_LISTS`` at most) and their graph; every row is posted.
 
-Defined results: vectors that are null, empty, zero or hold null or non-finite components, rows without
-an id, and vectors of another length than the most common one take no part; repeated ids are candidates
+Defined results: vectors that are null, empty, zero or hold null or non-finite components and rows without
+an id take no part; vectors of different lengths are not compared, each length is searched apart; repeated ids are candidates
 once each with their nearest vector; ties go to the smaller id; an empty table gives no rows; other
 columns are not read.
 """
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import Batches, lists_of, stored, whole_groups
-from ridgeline.llm.tree_forest import usable
+from ridgeline.llm.tree_forest import of_each_length, usable
 
 #: Vectors that the centroids are fitted on, by hash order (a documented bound), and centroids at most.
 SAMPLE = 65_536
@@ -299,14 +300,21 @@ def _best(near: DataFrame, top: int) -> DataFrame:
 
 
 def search(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
-    """query_id, rank, vec_id and score of each query's nearest vectors.  queries: rows of the same table."""
+    """query_id, rank, vec_id and score of each query's nearest vectors.  queries: rows of the same table.  Each length of
+    vectors has an index of its own."""
     rows = stored(usable(vectors.filter(F.col("vec_id").isNotNull()), ["vec_id"]).withColumn("vec_id", F.col("vec_id").cast("long")), "vectors")
-    asked = rows.join(queries.select(F.col("vec_id").cast("long").alias("q")).distinct(), F.col("vec_id") == F.col("q"), "left_semi")
-    empty = "query_id long, rank int, vec_id long, score double"
-    n = rows.count()
+    wanted = queries.select(F.col("vec_id").cast("long").alias("q")).distinct()
+    found = [_nearest(mine, mine.join(wanted, F.col("vec_id") == F.col("q"), "left_semi"), top) for mine in of_each_length(rows)]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # An id with vectors of several lengths is one query.
+    return found[0] if len(found) == 1 else _best(reduce(DataFrame.union, found).select("query_id", "vec_id", "score"), top)
+
+
+def _nearest(rows: DataFrame, asked: DataFrame, top: int) -> DataFrame:
+    """The search among the stored vectors (vec_id, v) of one length."""
+    spark, n = rows.sparkSession, rows.count()
     sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()], np.float64)
-    if not n:
-        return vectors.sparkSession.createDataFrame([], empty)
     index = build(sample, n)
     posted = stored(rows.mapInArrow(_poster(index), "vec_id long, v array<double>, list long, home boolean, far double"), "postings")
     held, radius = np.zeros(len(index.centroids), np.int64), np.zeros(len(index.centroids))
@@ -322,7 +330,7 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     limited = probes.join(tenth, F.col("vec_id") == F.col("q"), "left").select("vec_id", "v", "lists", F.coalesce("limit", F.lit(float("inf"))).alias("limit"))
     group = np.unique((np.cumsum(held) - held) // REST_ROWS, return_inverse=True)[1]
     rest = stored(limited.mapInArrow(_rest(index, held, radius, group), "vec_id long, v array<double>, limit double, lists array<long>"), "rest")
-    of = F.broadcast(vectors.sparkSession.createDataFrame([(i, int(g)) for i, g in enumerate(group)], "of long, to long"))  # MAX_LISTS rows at most
+    of = F.broadcast(spark.createDataFrame([(i, int(g)) for i, g in enumerate(group)], "of long, to long"))  # MAX_LISTS rows at most
     homes = posted.filter("home").join(of, F.col("list") == F.col("of")).select("vec_id", "v", F.col("to").alias("list"))
     more = _compared(homes, rest, dict(enumerate(np.bincount(group, held).astype(int).tolist())), REST_ROWS, top)
     return _best(found.select("query_id", "vec_id", "score").union(more), top)

@@ -12,7 +12,7 @@ The trees (directions and split values, a few hundred kilobytes) are fitted on t
 ``SAMPLE`` vectors; every row is then placed by them.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, rows without
-a label, rows without an id, and vectors of another length than the most common one link with nothing;
+a label and rows without an id link with nothing; vectors of different lengths never link, each length has a forest of its own;
 repeated rows are rows of the same class and count in n_links; a null vec_id is its own class
 (component_id null, kept true); an empty table gives no rows; other columns are not read.
 """
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,13 +51,17 @@ class Tree:
 
 
 def usable(vectors: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows whose vector can be compared, with it as doubles (``v``), of the most common length."""
+    """Rows whose vector can be compared, with it as doubles (``v``)."""
     v = F.col("embedding").cast("array<double>")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select(*columns, v.alias("v")).filter(F.col("v").isNotNull() & (F.size("v") > 0))
-    rows = rows.filter(finite & F.exists("v", lambda x: x != 0))
-    top = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).select("d")
-    return rows.filter(F.size("v") == top.scalar())
+    return rows.filter(finite & F.exists("v", lambda x: x != 0))
+
+
+def of_each_length(rows: DataFrame) -> list[DataFrame]:
+    """The rows by the length of ``v``: only vectors of one length can be compared."""
+    lengths = rows.select(F.size("v").alias("d")).distinct().collect()  # one number per length
+    return [rows.filter(F.size("v") == r["d"]) for r in sorted(lengths)]
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -160,6 +165,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
     ok = usable(vectors.filter(F.col("label").isNotNull() & F.col("vec_id").isNotNull()), ["vec_id", "label"])
     # The exact values are the key: equal vectors of a label are one class, named by its smallest id and hash.
     keyed = stored(ok.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.array_join("v", ",").alias("key"), "v"), "vectors")
+    # The rows that took no part, by the same test the compared ones passed.
+    alone = _left_out(vectors).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    every = reduce(DataFrame.union, [_linked(rows, cosine, trees, spill) for rows in of_each_length(keyed)], alone)
+    return every.select("vec_id", "n_links", "component_id", (F.col("vec_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+
+
+def _linked(keyed: DataFrame, cosine: float, trees: int, spill: float) -> DataFrame:
+    """vec_id, n_links and component_id of vectors of one length."""
     first = keyed.groupBy("label", "key").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("docs"), F.first("v").alias("v"))
     classes = stored(first.select(F.xxhash64("label", "key").alias("class"), "label", "key", "low", "docs", F.transform("v", lambda x: x / F.array_max(F.transform("v", F.abs))).alias("w")).select(
         "class", "label", "key", "low", "docs",
@@ -167,9 +180,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
     ), "classes")
     n = classes.count()
     sample = np.array([r["u"] for r in classes.select("u", "class").orderBy("class").limit(SAMPLE).collect()], np.float64)
-    grown = forest(sample, n, trees) if n else []
-    if not grown:
-        return _rows(vectors, None, None, None)
+    grown = forest(sample, n, trees)
     leaves = classes.select("class", "label", "u").mapInArrow(_placer(grown, spill), "class long, label long, leaf long")
     placed = stored(leaves.select("class", F.xxhash64("label", "leaf").alias("bucket")), "leaves")
     # Leaves of one class have no pairs: they leave before the vectors move.
@@ -181,31 +192,23 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
     members = in_blocks(cut.join(full, F.col("class") == F.col("c")).drop("c"), "bucket", "class")
     found = stored(members.mapInArrow(_compare(cosine), LINKS), "links")
     joined = components(found.select(F.col("class").alias("a"), F.col("root").alias("b")))
-    return _rows(vectors, keyed, classes, found, joined)
+    return _rows(keyed, classes, found, joined)
 
 
-def _rows(vectors: DataFrame, keyed: DataFrame | None, classes: DataFrame | None, found: DataFrame | None, joined: DataFrame | None = None) -> DataFrame:
-    ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    if keyed is None:
-        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+def _rows(keyed: DataFrame, classes: DataFrame, found: DataFrame, joined: DataFrame) -> DataFrame:
     links = found.groupBy(F.col("class").alias("l")).agg(F.sum("links").alias("links"))
     table = classes.select("class", "low", "docs").join(links, F.col("class") == F.col("l"), "left").join(joined, F.col("class") == F.col("node"), "left")
     table = stored(table.select("class", "low", (F.col("docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "class").alias("component")), "table")
     lowest = table.groupBy(F.col("component").alias("c")).agg(F.min("low").alias("component_id"))
     of_class = table.join(lowest, F.col("component") == F.col("c")).select(F.col("class").alias("t"), "n_links", "component_id")
-    compared = keyed.select("vec_id", F.xxhash64("label", "key").alias("class")).join(of_class, F.col("class") == F.col("t")).select("vec_id", "n_links", "component_id")
-    # The rows that took no part, by the same test the compared ones passed.
-    rest = _left_out(vectors, keyed).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    both = compared.union(rest)
-    return both.select("vec_id", "n_links", "component_id", (F.col("vec_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+    return keyed.select("vec_id", F.xxhash64("label", "key").alias("class")).join(of_class, F.col("class") == F.col("t")).select("vec_id", "n_links", "component_id")
 
 
-def _left_out(vectors: DataFrame, keyed: DataFrame) -> DataFrame:
+def _left_out(vectors: DataFrame) -> DataFrame:
     """Rows that cannot be compared."""
-    length = keyed.select(F.size("v").alias("d")).limit(1).scalar()
     v = F.col("embedding").cast("array<double>")
     fine = (
-        F.col("label").isNotNull() & F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) == length)
+        F.col("label").isNotNull() & F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0)
         & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     )
     return vectors.filter(~F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"))

@@ -70,14 +70,12 @@ FROM named d JOIN classes c USING (name) JOIN lowest w USING (name) LEFT JOIN li
 FOREST_SQL = """
 WITH RECURSIVE listed AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
-), fine AS (
+), usable AS (
   SELECT * FROM listed WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(v) > 0
     AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
-), usable AS (
-  SELECT * FROM fine WHERE len(v) = (SELECT len(v) FROM fine GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
 ), linked AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
-  WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+  WHERE CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) >= 0.98 END
 ), reached AS (
   SELECT a, b FROM linked UNION SELECT r.a, l.b FROM reached r JOIN linked l ON r.b = l.a
 ), lowest AS (

@@ -245,3 +245,24 @@ def test_pipeline_stages_keep_their_contract(spark):
     none = spark.createDataFrame([], docs.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).count() == 0
+
+
+def test_vectors_of_every_length_take_part(spark):
+    """Three lengths side by side: links and neighbours inside each, never across."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for base, d in ((0, 8), (1000, 3), (2000, 1)):
+        seeds = rng.normal(size=(6, d))
+        for i in range(30):
+            rows.append((base + i, (seeds[i % 6] * (1 + i) + (1e-3 * rng.normal(size=d) if d > 1 else 0)).tolist(), i % 2))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in tree_forest.near_duplicates(df).collect()}
+    for i, v, label in rows:
+        near = [j for j, w, other in rows if j != i and other == label and len(w) == len(v) and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.98]
+        assert got[i]["n_links"] == len(near)
+    found = posting_lists.search(df, df.filter("vec_id % 1000 < 3")).collect()
+    for q in (0, 1, 2, 1000, 1001, 1002, 2000, 2001, 2002):
+        v = next(np.array(w) for i, w, _ in rows if i == q)
+        want = sorted((float(np.sqrt(((v - np.array(w)) ** 2).sum())), i) for i, w, _ in rows if i != q and len(w) == len(v))[:10]
+        mine = sorted((r["rank"], r["vec_id"]) for r in found if r["query_id"] == q)
+        assert [i for _, i in mine] == [i for _, i in want]
