@@ -34,7 +34,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Every document as often as the mix takes it, the last copy of a source cut where its target is met."""
+    """Every document, whole, as often as the mix takes it; a copy taken in part stays if that is at least half."""
     return mixing.taken_copies(docs, mixing.mix(docs))
 
 
@@ -51,7 +51,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packed),
 ]
 
-#: The learned classifier and the tokenizer have no SQL form; the tests hold every stage against brute force.
+#: The learned classifier and the tokenizer have no SQL form; tests/llm/test_pipeline.py holds every stage against brute force.
 ORACLE_SQL = None
 
 
